@@ -87,12 +87,12 @@ def mask_field(value: Column, field_type: str, salt: str, **options) -> Column:
 def mask_record(df: DataFrame, fields: Mapping[str, str], salt: str, **options) -> DataFrame:
     """Mask the configured fields (name -> field type), leave the rest, mark the record."""
     present = {n: t for n, t in fields.items() if n in df.columns}
-    out = df.withColumns({n: mask_field(F.col(n), t, salt, **options) for n, t in present.items()})
     if "metadata" in df.columns:
         flags = F.struct(F.lit(True).alias("anonymized"), F.col("metadata.pii_fields").alias("pii_fields"))
     else:
         flags = F.struct(
             F.lit(True).alias("anonymized"),
-            F.array_compact(F.array(*[F.when(df[n].isNotNull(), F.lit(n)) for n in present])).alias("pii_fields"),
+            F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in present])).alias("pii_fields"),
         )
-    return out.withColumn("metadata", flags.cast(METADATA))
+    masks = {n: mask_field(F.col(n), t, salt, **options) for n, t in present.items()}
+    return df.withColumns({**masks, "metadata": flags.cast(METADATA)})

@@ -71,7 +71,7 @@ def is_pii(value: Column, kinds: Sequence[str] = tuple(PII_PATTERNS)) -> Column:
 
 def _hits(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(PII_PATTERNS[kind][0]), F.lit(0))
-    return F.filter(F.transform(found, F.trim), lambda h: is_kind(h, kind))
+    return F.filter(F.transform(found, lambda h: F.trim(h)), lambda h: is_kind(h, kind))
 
 
 def pii_hits(df: DataFrame, text: str, kinds: Sequence[str] = tuple(PII_PATTERNS)) -> DataFrame:

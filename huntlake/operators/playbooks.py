@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntlake.operators.filters import between, contains_like
+from huntlake.plans.sizes import local_rows
 from huntlake.session import scratch_path
 
 # Tactic names and hunt types.
@@ -127,5 +128,5 @@ def report_sections(findings: DataFrame, title: str, hypothesis: str, conclusion
     text = [("summary", "title", title), ("summary", "hypothesis", hypothesis)]
     text += [("conclusions", str(i + 1), t) for i, t in enumerate(conclusions)]
     text += [("recommendations", str(i + 1), t) for i, t in enumerate(recommendations)]
-    given = spark.createDataFrame(text, "section string, metric string, value string")
+    given = local_rows(spark, text, "section string, metric string, value string")
     return given.unionByName(totals).unionByName(best)

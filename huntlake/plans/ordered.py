@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from huntlake.plans.sizes import local_rows
 from huntlake.session import pin
 
 HOT_ROWS = 1_000_000
@@ -38,7 +39,7 @@ def hot_key_table(df: DataFrame, key: Sequence[str], limit: int = HOT_ROWS) -> D
     )
     if not rows:
         return None
-    return df.sparkSession.createDataFrame(rows, df.select(*key).schema)
+    return local_rows(df.sparkSession, rows, df.select(*key).schema)
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:

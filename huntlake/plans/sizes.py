@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 BROADCAST_ROWS = 500_000
 
@@ -13,3 +18,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     that the join is planned as a shuffle join with adaptive skew handling."""
     seen = df.limit(max_rows + 1).count()
     return F.broadcast(df) if seen <= max_rows else df
+
+
+def local_rows(spark: SparkSession, rows: Sequence[Sequence], schema: StructType | str) -> DataFrame:
+    """A frame from a few driver-side rows. It is planned as a local relation, so its size is known."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], type=to_arrow_type(f.dataType)) for i, f in enumerate(schema)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)

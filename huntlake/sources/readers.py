@@ -7,16 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from huntlake.functions.parse import parse_winevent
+from huntlake.plans.sizes import local_rows
 
 CORRUPT = "_corrupt"
 
 
 def _permissive(schema: StructType) -> StructType:
-    return schema if CORRUPT in schema.names else StructType(schema.fields).add(CORRUPT, StringType())
+    return schema if CORRUPT in schema.names else StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
 def _reader(spark: SparkSession, live: bool):
@@ -114,5 +115,5 @@ def collect_sources(spark: SparkSession, sources: Sequence[Source]) -> tuple[Dat
     merged = None
     for frame in frames:
         merged = frame if merged is None else merged.unionByName(frame, allowMissingColumns=True)
-    report = spark.createDataFrame(status, "source string, status string, error string")  # one row per source
+    report = local_rows(spark, status, "source string, status string, error string")  # one row per source
     return merged, report

@@ -1 +1,118 @@
+"""Validation, constraints, gates and policies."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from huntlake.operators import quality as Q
+from huntlake.suite.base import ev_sql, events, query, table
+
+STRICT = {
+    "properties": {"name": {"type": "string"}, "port": {"type": "integer"}},
+    "required": ["name"],
+    "additionalProperties": False,
+}
+LOOSE = {
+    "properties": {"name": {"type": "string"}, "port": {"type": ["integer", "number"]}, "settings": {"type": "object"}},
+    "required": ["name", "port"],
+}
+
+RECORDS = """recs AS (
+  SELECT event_id, 'v' || CAST(event_id % 3 AS VARCHAR) AS version, CASE event_id % 7
+    WHEN 0 THEN '{"name":"' || user_id || '","port":' || CAST(event_id AS VARCHAR) || '}'
+    WHEN 1 THEN '{"port":1}'
+    WHEN 2 THEN '{"name":"' || user_id || '","extra_key":"not allowed"}'
+    WHEN 3 THEN '{"name":' || CAST(event_id AS VARCHAR) || '}'
+    WHEN 4 THEN '{"name":null,"port":2.0}'
+    WHEN 5 THEN '{"name":"x","port":1.5,"settings":[1]}'
+    ELSE '{"name" broken' END AS j FROM ev)"""
+
+STRICT_SQL = """CASE WHEN NOT json_valid(j) THEN 'type:$' ELSE concat_ws(',',
+  CASE WHEN json_exists(j, '$.extra_key') THEN 'additional:extra_key' END,
+  CASE WHEN json_exists(j, '$.settings') THEN 'additional:settings' END,
+  CASE WHEN NOT json_exists(j, '$.name') THEN 'required:name' END,
+  CASE WHEN json_exists(j, '$.name') AND json_type(j, '$.name') <> 'VARCHAR' THEN 'type:name' END,
+  CASE WHEN json_exists(j, '$.port') AND CAST(json_extract_string(j, '$.port') AS DOUBLE) % 1 <> 0 THEN 'type:port' END) END"""
+LOOSE_SQL = """CASE WHEN NOT json_valid(j) THEN 'type:$' ELSE concat_ws(',',
+  CASE WHEN NOT json_exists(j, '$.name') THEN 'required:name' END,
+  CASE WHEN NOT json_exists(j, '$.port') THEN 'required:port' END,
+  CASE WHEN json_exists(j, '$.name') AND json_type(j, '$.name') <> 'VARCHAR' THEN 'type:name' END,
+  CASE WHEN json_exists(j, '$.settings') AND json_type(j, '$.settings') <> 'OBJECT' THEN 'type:settings' END) END"""
+
+
+def records(spark, sf):
+    kind, user, num = F.col("event_id") % 7, F.col("user_id"), F.col("event_id").cast("string")
+    j = (
+        F.when(kind == 0, F.concat(F.lit('{"name":"'), user, F.lit('","port":'), num, F.lit("}")))
+        .when(kind == 1, F.lit('{"port":1}'))
+        .when(kind == 2, F.concat(F.lit('{"name":"'), user, F.lit('","extra_key":"not allowed"}')))
+        .when(kind == 3, F.concat(F.lit('{"name":'), num, F.lit("}")))
+        .when(kind == 4, F.lit('{"name":null,"port":2.0}'))
+        .when(kind == 5, F.lit('{"name":"x","port":1.5,"settings":[1]}'))
+        .otherwise(F.lit('{"name" broken'))
+    )
+    version = F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string"))
+    return events(spark, sf).select("event_id", version.alias("version"), j.alias("j"))
+
+
+@query("dq_required", ev_sql("""
+SELECT event_id, concat_ws(',', CASE WHEN NOT json_valid(j) OR NOT json_exists(j, '$.name') THEN 'name' END,
+                           CASE WHEN NOT json_valid(j) OR NOT json_exists(j, '$.port') THEN 'port' END) AS missing FROM recs""", RECORDS))
+def dq_required(spark, sf):
+    return records(spark, sf).select("event_id", F.array_join(Q.missing_required(F.col("j"), ["name", "port"]), ",").alias("missing"))
+
+
+@query("dq_validate", ev_sql(f"SELECT event_id, {STRICT_SQL} AS errors FROM recs", RECORDS))
+def dq_validate(spark, sf):
+    return Q.validate(records(spark, sf), "j", STRICT).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("dq_versioned", ev_sql(f"""
+SELECT event_id, version, CASE WHEN version = 'v1' THEN {LOOSE_SQL} ELSE {STRICT_SQL} END AS errors FROM recs""", RECORDS))
+def dq_versioned(spark, sf):
+    out = Q.validate_versioned(records(spark, sf), "j", "version", {"v1": LOOSE}, STRICT)
+    return out.select("event_id", "version", F.array_join("errors", ",").alias("errors"))
+
+
+@query("dq_gate", ev_sql("""
+SELECT source_system, count(*) AS n_rows, count(*) FILTER (value > 300) AS violations,
+       CASE WHEN count(*) FILTER (value > 300) > 2 THEN 'block' ELSE 'pass' END AS verdict FROM ev GROUP BY 1"""))
+def dq_gate(spark, sf):
+    ev = Q.gate(events(spark, sf), F.col("value") < 0)  # nothing negative: the batch passes on
+    return Q.gate_report(ev, F.col("value") > 300, 2, "source_system")
+
+
+@query("dq_unique", """
+SELECT k, count(*) AS n FROM (SELECT event_id - CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END AS k FROM events)
+GROUP BY 1 HAVING count(*) > 1""")
+def dq_unique(spark, sf):
+    k = F.col("event_id") - F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)
+    return Q.duplicate_keys(table(spark, sf, "events").select(k.alias("k")), "k")
+
+
+@query("dq_not_null", """
+SELECT event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END AS event_type FROM events WHERE event_id % 97 = 0""")
+def dq_not_null(spark, sf):
+    holes = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 97 != 0, F.col("event_type")).alias("event_type"))
+    return Q.null_keys(holes, "event_id", "event_type")
+
+
+def _profile(column: str) -> str:
+    return f"""SELECT '{column}' AS column_name, count(*) AS n_rows, count(*) - count({column}) AS n_null,
+       count(DISTINCT {column}) AS n_distinct, round((count(*) - count({column})) / count(*), 6) AS null_share FROM holes"""
+
+
+@query("dq_profile", ev_sql(" UNION ALL ".join(_profile(c) for c in ("event_id", "user_id", "process_name")),
+    """holes AS (SELECT event_id, user_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE process_name END AS process_name FROM ev)"""))
+def dq_profile(spark, sf):
+    holes = events(spark, sf).withColumn("process_name", F.when(F.col("event_id") % 97 != 0, F.col("process_name")))
+    return Q.profile(holes, ["event_id", "user_id", "process_name"])
+
+
+@query("policy_check", """
+SELECT c_custkey, d AS retention_days, CASE WHEN d = 90 THEN 'pass' ELSE 'warn' END AS result,
+       CASE WHEN d = 90 THEN 'as expected' WHEN d > 0 THEN 'unexpected period' ELSE 'not configured' END AS reason
+FROM (SELECT c_custkey, CAST(c_nationkey * 10 AS INTEGER) AS d FROM customer)""")
+def policy_check(spark, sf):
+    policy = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") * 10).alias("retention_days"))
+    return Q.policy_check(policy)
