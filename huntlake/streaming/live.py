@@ -12,7 +12,7 @@ WATERMARK = "1 hour"
 
 
 def live_table(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None,
-               max_bytes: str = "64g") -> DataFrame:
+               max_bytes: int = 64 << 30) -> DataFrame:
     """New Parquet files of a folder. ``max_bytes`` bounds one micro-batch."""
     reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
     if glob:
@@ -85,6 +85,6 @@ def live_sequence(df: DataFrame, is_a: Column, is_b: Column, key: str = "user_id
     cond = (
         (F.col("a_key") == F.col("b_key")) & (F.col("a_bucket") == F.col("b_bucket"))
         & (F.col("b_ts") > F.col("a_ts"))
-        & (F.col("b_ts") <= F.col("a_ts") + F.make_dt_interval(secs=F.lit(within_seconds)))
+        & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {within_seconds} SECONDS"))
     )
     return a.join(b, cond, "left_semi").select(F.col("a_key").alias(key), "a_id", "a_ts")
