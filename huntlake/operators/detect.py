@@ -72,6 +72,11 @@ def user_sessions(df: DataFrame, key: str = "user_id", ts: str = "ts", event_id:
     return by_key(df.select(key, event_id, ts), [key], [ts, event_id], step, hot_rows)
 
 
+def _events_of(df: DataFrame, source: str, ts: str, event_id: str) -> DataFrame:
+    """Fixed inner names, so that the caller's column names cannot clash with working columns."""
+    return df.select(F.col(source).alias("_src"), F.col(ts).alias("_ts"), F.col(event_id).alias("_id"))
+
+
 def burst_detect(df: DataFrame, source: str = "source_ip", ts: str = "ts", event_id: str = "event_id",
                  maxretry: int = 5, findtime: int = 600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Failures with at least ``maxretry`` failures of the same source in the ``findtime`` seconds up
@@ -80,108 +85,107 @@ def burst_detect(df: DataFrame, source: str = "source_ip", ts: str = "ts", event
     The count is a difference of two running totals (at the event, and just before the window), so
     each row is touched a fixed number of times however many failures the window holds.
     """
-    back = F.col(ts) - _secs(findtime)
+    back = F.col("_ts") - _secs(findtime)
+    at_event = F.max(F.when(F.col("kind") == 1, F.col("c")))
+    before_window = F.max(F.when(F.col("kind") == 0, F.col("c")))
 
-    def step(o: Ordered) -> DataFrame:
-        marks = o.df.select(
-            source, event_id, ts,
-            F.explode(F.array(
-                F.struct(F.col(ts).alias("t"), F.lit(1).alias("kind")),
-                F.struct(back.alias("t"), F.lit(0).alias("kind")),
-            )).alias("m"),
-        )
-        w = Window.partitionBy(source).orderBy("m.t", "m.kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        total = marks.withColumn("c", F.sum("m.kind").over(w))
-        return (
-            total.groupBy(source, event_id, ts)
-            .agg((F.max(F.when(F.col("m.kind") == 1, F.col("c"))) - F.max(F.when(F.col("m.kind") == 0, F.col("c")))).alias("n_failures"))
-            .where(F.col("n_failures") >= maxretry)
+    def marks(rows: DataFrame, weight: Column) -> DataFrame:
+        both = F.array(
+            F.struct(F.col("_ts").alias("t"), F.lit(1).alias("kind"), weight.alias("w")),
+            F.struct(back.alias("t"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("w")),
         )
+        return rows.withColumn("m", F.explode(both)).select(*[c for c in rows.columns if c != "w"], "m.*")
+
+    def step(o: Ordered) -> DataFrame:
+        w = Window.partitionBy("_src").orderBy("t", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        total = marks(o.df, F.lit(1).cast("long")).withColumn("c", F.sum("w").over(w))
+        counted = total.groupBy("_src", "_id", "_ts").agg((at_event - before_window).alias("n_failures"))
+        return counted.where(F.col("n_failures") >= maxretry)
 
     def hot(rows: DataFrame) -> DataFrame:
-        instants = rows.groupBy(source, ts).agg(F.count(F.lit(1)).alias("w"))
-        marks = instants.select(source, F.col(ts).alias("at"), F.explode(F.array(
-            F.struct(F.col(ts).alias("t"), F.lit(1).alias("kind"), F.col("w").alias("w")),
-            F.struct(back.alias("t"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("w")),
-        )).alias("m")).select(source, "at", "m.*")
-        total = Ordered.slices(marks, [source], ["t", "kind"]).running_sum("c", F.col("w")).df
-        full = (
-            total.groupBy(source, "at")
-            .agg((F.max(F.when(F.col("kind") == 1, F.col("c"))) - F.max(F.when(F.col("kind") == 0, F.col("c")))).alias("n_failures"))
+        # one mark pair per instant, so that many rows at one instant stay one weighted mark
+        instants = rows.groupBy("_src", "_ts").agg(F.count(F.lit(1)).alias("w"))
+        total = Ordered.slices(marks(instants, F.col("w")), ["_src"], ["t", "kind"]).running_sum("c", F.col("w")).df
+        full = total.groupBy("_src", "_ts").agg((at_event - before_window).alias("n_failures")) \
             .where(F.col("n_failures") >= maxretry)
-        )
-        return rows.join(full, (rows[source].eqNullSafe(full[source])) & (rows[ts] == full["at"])).select(
-            rows[source], event_id, rows[ts], "n_failures")
+        same = rows["_src"].eqNullSafe(full["_src"]) & (rows["_ts"] == full["_ts"])
+        return rows.join(full, same).select(rows["_src"], rows["_id"], rows["_ts"], "n_failures")
 
-    return by_key(df.select(source, event_id, ts), [source], [ts, event_id], step, hot_rows, hot)
+    rows = _events_of(df, source, ts, event_id)
+    return by_key(rows, ["_src"], ["_ts", "_id"], step, hot_rows, hot).withColumnsRenamed(
+        {"_src": source, "_id": event_id, "_ts": ts})
 
 
 def ban_intervals(df: DataFrame, source: str = "source_ip", ts: str = "ts", event_id: str = "event_id",
                   maxretry: int = 5, findtime: int = 600, bantime: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Bans per source: the failure that completes ``maxretry`` within ``findtime`` opens a ban of
     ``bantime`` seconds; failures inside it are ignored and counting restarts after it."""
-    rows = df.where(F.col(source).isNotNull()).select(source, event_id, ts)  # no source, nobody to ban
-    out = rows.select(source, event_id, F.col(ts).alias("ban_start")).schema
+    rows = _events_of(df, source, ts, event_id).where(F.col("_src").isNotNull())  # no source, nobody to ban
 
     def bans_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, event_id], kind="stable")
-        t = pdf[ts].to_numpy().astype("datetime64[us]").astype("int64")
-        full = np.flatnonzero(t[maxretry - 1:] - t[: len(t) - maxretry + 1] <= findtime * 1_000_000) + maxretry - 1
+        pdf = pdf.sort_values(["_ts", "_id"], kind="stable")
+        t = pdf["_ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        m = maxretry - 1
+        full = np.flatnonzero(t[m:] - t[: max(len(t) - m, 0)] <= findtime * 1_000_000) + m
         start, found = 0, []
         while True:
-            at = np.searchsorted(full, start + maxretry - 1)
+            at = np.searchsorted(full, start + m)
             if at == len(full):
                 break
             found.append(full[at])
             start = np.searchsorted(t, t[full[at]] + bantime * 1_000_000, side="left")
-        return pdf.iloc[found].rename(columns={ts: "ban_start"})
+        return pdf.iloc[found]
 
     def step(o: Ordered) -> DataFrame:
-        return o.df.groupBy(source).applyInPandas(bans_of, out)
+        # ordinary sources only: at most hot_rows failures, or 1/MAX_HOT_KEYS of all
+        return o.df.groupBy("_src").applyInPandas(bans_of, rows.schema)
 
     def hot(part: DataFrame) -> DataFrame:
-        return _chained_bans(part, source, ts, event_id, maxretry, findtime, bantime)
+        return _chained_bans(part, maxretry, findtime, bantime)
 
-    bans = by_key(rows, [source], [ts, event_id], step, hot_rows, hot)
-    return bans.withColumn("ban_end", F.col("ban_start") + _secs(bantime))
+    return by_key(rows, ["_src"], ["_ts", "_id"], step, hot_rows, hot).select(
+        F.col("_src").alias(source), F.col("_id").alias(event_id), F.col("_ts").alias("ban_start"),
+        (F.col("_ts") + _secs(bantime)).alias("ban_end"))
 
 
-def _chained_bans(rows: DataFrame, source: str, ts: str, event_id: str, maxretry: int, findtime: int,
-                  bantime: int) -> DataFrame:
+def _chained_bans(rows: DataFrame, maxretry: int, findtime: int, bantime: int) -> DataFrame:
     """Bans of hot sources without gathering a source in one place.
 
     Rank the failures. A full point is a failure whose (maxretry-1)-th predecessor lies within
     findtime. A ban opened at one full point fixes the next possible one, so full points form a
     chain; the points on the chain from the first one are found by doubling the stride each round.
     """
-    ranked = Ordered.slices(rows, [source], [ts, event_id]).running_sum("r", F.lit(1).cast("long"))
-    base = pin(ranked.df)  # used several times below
-    back = base.select(F.col(source), (F.col("r") + (maxretry - 1)).alias("r"), F.col(ts).alias("back_ts"))
-    full = F.coalesce(F.col(ts) <= F.col("back_ts") + _secs(findtime), F.lit(False))
-    flagged = base.join(back, [source, "r"], "left").withColumn("full", full.cast("long")).drop("back_ts", "_slice")
-    points = pin(
-        Ordered.slices(flagged, [source], [ts, event_id]).running_sum("k", F.col("full")).df
-        .select(source, event_id, ts, "r", "k", "full")
-    )
+    one = F.lit(1).cast("long")
+    base = pin(Ordered.slices(rows, ["_src"], ["_ts", "_id"]).running_sum("r", one).df.drop("_slice"))
+    back = base.select("_src", (F.col("r") + (maxretry - 1)).alias("r"), F.col("_ts").alias("back_ts"))
+    full = F.coalesce(F.col("_ts") <= F.col("back_ts") + _secs(findtime), F.lit(False))
+    flagged = base.join(back, ["_src", "r"], "left").select("_src", "_id", "_ts", "r", full.cast("long").alias("full"))
+    # k: number of full points so far
+    points = pin(Ordered.slices(flagged, ["_src"], ["_ts", "_id"]).running_sum("k", F.col("full")).df.drop("_slice"))
     bursts = points.where("full = 1")
     # how many failures lie before the end of a ban opened here
-    marks = points.select(source, F.col(ts).alias("t"), F.lit(1).alias("kind"), F.col("r").alias("id"),
-                          F.lit(1).cast("long").alias("w")).unionByName(
-        bursts.select(source, (F.col(ts) + _secs(bantime)).alias("t"), F.lit(0).alias("kind"), F.col("k").alias("id"),
+    marks = points.select("_src", F.col("_ts").alias("t"), F.lit(1).alias("kind"), F.col("r").alias("no"), one.alias("w")).unionByName(
+        bursts.select("_src", (F.col("_ts") + _secs(bantime)).alias("t"), F.lit(0).alias("kind"), F.col("k").alias("no"),
                       F.lit(0).cast("long").alias("w")))
-    before = Ordered.slices(marks, [source], ["t", "kind", "id"]).running_sum("c", F.col("w")).df.where("kind = 0")
-    resume = before.select(source, F.col("id").alias("k"), (F.col("c") + (maxretry - 1)).alias("r"))
+    before = Ordered.slices(marks, ["_src"], ["t", "kind", "no"]).running_sum("c", F.col("w")).df.where("kind = 0")
+    resume = before.select("_src", F.col("no").alias("k"), (F.col("c") + (maxretry - 1)).alias("r"))
+    if maxretry == 1:
+        # the rank just before the first failure after the ban may be 0, where nothing has passed
+        points = points.unionByName(points.select("_src", "_id", "_ts", F.lit(0).cast("long").alias("r"),
+                                                  F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("full"))
+                                    .dropDuplicates(["_src"]))
     jump = pin(
-        resume.join(points.select(source, "r", F.col("k").alias("passed")), [source, "r"])
-        .select(source, "k", (F.col("passed") + 1).alias("nk"))
+        resume.join(points.select("_src", "r", F.col("k").alias("passed")), ["_src", "r"])
+        .select("_src", "k", (F.col("passed") + 1).alias("nk"))
+        .join(bursts.select("_src", F.col("k").alias("nk")), ["_src", "nk"], "left_semi").select("_src", "k", "nk")
     )
-    reach = bursts.where("k = 1").select(source, "k")
+    reach = bursts.where("k = 1").select("_src", "k")
     while not jump.isEmpty():
-        step = jump.select(source, "k", "nk")
-        reach = pin(reach.unionByName(reach.join(step, [source, "k"]).select(source, F.col("nk").alias("k"))))
-        far = jump.select(source, F.col("k").alias("nk"), F.col("nk").alias("nnk"))
-        jump = pin(step.join(far, [source, "nk"]).select(source, "k", F.col("nnk").alias("nk")))
-    return bursts.join(reach, [source, "k"]).select(source, event_id, F.col(ts).alias("ban_start"))
+        ahead = reach.join(jump, ["_src", "k"]).select("_src", F.col("nk").alias("k"))
+        reach = pin(reach.unionByName(ahead))
+        far = jump.select("_src", F.col("k").alias("nk"), F.col("nk").alias("nnk"))
+        jump = pin(jump.join(far, ["_src", "nk"]).select("_src", "k", F.col("nnk").alias("nk")))
+    return bursts.join(reach, ["_src", "k"]).select("_src", "_ts", "_id").select(*rows.columns)
 
 
 # ---- sequences ------------------------------------------------------------------------------
@@ -189,27 +193,31 @@ def _chained_bans(rows: DataFrame, source: str, ts: str, event_id: str, maxretry
 def _followers(df: DataFrame, key: Sequence[str], is_a: Column, is_b: Column, ts: str, event_id: str,
                within: int, hot_rows: int) -> DataFrame:
     """Per A row: how many B rows of the same key follow strictly later, at most ``within`` seconds,
-    and the running number of the first of them. Running totals only; no pairs are formed."""
+    and the running number of the first of them. Running totals only; no pairs are formed.
+    Keys come back as ``_k0``, ``_k1``…, the event as ``_id`` and ``_ts``."""
+    keys = [f"_k{i}" for i in range(len(key))]
     a_marks = F.array(
-        F.struct(F.col(ts).alias("t"), F.lit(1).alias("kind")),
-        F.struct((F.col(ts) + _secs(within)).alias("t"), F.lit(2).alias("kind")),
+        F.struct(F.col("_ts").alias("t"), F.lit(1).alias("kind")),
+        F.struct((F.col("_ts") + _secs(within)).alias("t"), F.lit(2).alias("kind")),
     )
-    b_marks = F.array(F.struct(F.col(ts).alias("t"), F.lit(0).alias("kind")))
+    b_marks = F.array(F.struct(F.col("_ts").alias("t"), F.lit(0).alias("kind")))
     none = F.filter(a_marks, lambda _: F.lit(False))
     marks = (
         df.where((is_a | is_b) & F.col(key[0]).isNotNull())  # no entity, nothing to follow
-        .withColumn("m", F.explode(F.concat(F.when(is_a, a_marks).otherwise(none), F.when(is_b, b_marks).otherwise(none))))
-        .select(*key, event_id, F.col(ts).alias("at"), "m.t", "m.kind")
+        .select(*[F.col(k).alias(n) for k, n in zip(key, keys)], F.col(event_id).alias("_id"), F.col(ts).alias("_ts"),
+                is_a.alias("a"), is_b.alias("b"))
+        .withColumn("m", F.explode(F.concat(F.when(F.col("a"), a_marks).otherwise(none),
+                                            F.when(F.col("b"), b_marks).otherwise(none))))
+        .select(*keys, "_id", "_ts", "m.*")
     )
 
     def step(o: Ordered) -> DataFrame:
         o = o.running_sum("c", F.when(F.col("kind") == 0, 1).otherwise(0).cast("long"))
-        b_no = F.max(F.when(F.col("kind") == 0, F.col("c")))
-        lo = F.max(F.when(F.col("kind") == 1, F.col("c")))
-        hi = F.max(F.when(F.col("kind") == 2, F.col("c")))
-        return o.df.groupBy(*key, event_id, "at").agg(b_no.alias("b_no"), (lo + 1).alias("first_no"), (hi - lo).alias("n"))
+        at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("c")))
+        return o.df.groupBy(*keys, "_id", "_ts").agg(
+            at(0).alias("b_no"), (at(1) + 1).alias("first_no"), (at(2) - at(1)).alias("n"))
 
-    return by_key(marks, key, ["t", "kind", event_id], step, hot_rows)
+    return by_key(marks, keys, ["t", "kind", "_id"], step, hot_rows)
 
 
 def correlate_interval(df: DataFrame, is_a: Column, is_b: Column, key: str = "user_id", ts: str = "ts",
@@ -217,10 +225,10 @@ def correlate_interval(df: DataFrame, is_a: Column, is_b: Column, key: str = "us
     """A rows followed by B rows of the same entity: the first follower, and how many there are."""
     rows = pin(_followers(df, [key], is_a, is_b, ts, event_id, within, hot_rows))  # joined with itself below
     a = rows.where(F.col("n") > 0).select(
-        key, F.col(event_id).alias("a_id"), F.col("at").alias("a_ts"), F.col("first_no").alias("no"), F.col("n").alias("n_followers"))
+        "_k0", F.col("_id").alias("a_id"), F.col("_ts").alias("a_ts"), F.col("first_no").alias("no"), F.col("n").alias("n_followers"))
     b = rows.where(F.col("b_no").isNotNull()).select(
-        key, F.col("b_no").alias("no"), F.col(event_id).alias("b_id"), F.col("at").alias("b_ts"))
-    return a.join(b, [key, "no"]).select(key, "a_id", "a_ts", "b_id", "b_ts", "n_followers")
+        "_k0", F.col("b_no").alias("no"), F.col("_id").alias("b_id"), F.col("_ts").alias("b_ts"))
+    return a.join(b, ["_k0", "no"]).select(F.col("_k0").alias(key), "a_id", "a_ts", "b_id", "b_ts", "n_followers")
 
 
 def correlate_sources(df: DataFrame, is_a: Column, is_b: Column, key: str = "user_id", source: str = "source_system",
@@ -228,13 +236,14 @@ def correlate_sources(df: DataFrame, is_a: Column, is_b: Column, key: str = "use
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """A rows followed by B rows of the same entity seen by another source system, with their number:
     all followers less those of the same source."""
+    df = df.where(F.col(source).isNotNull())  # an unknown source is neither the same nor another
     every = _followers(df, [key], is_a, is_b, ts, event_id, within, hot_rows).where(F.col("n") > 0)
     same = _followers(df, [key, source], is_a, is_b, ts, event_id, within, hot_rows).where(F.col("n") > 0)
-    same = same.select(event_id, F.col("n").alias("n_same"))
+    same = same.select("_id", F.col("n").alias("n_same"))
     other = F.col("n") - F.coalesce("n_same", F.lit(0))
     return (
-        every.join(same, event_id, "left").withColumn("n_other", other).where(F.col("n_other") > 0)
-        .select(key, F.col(event_id).alias("a_id"), F.col("at").alias("a_ts"), "n_other")
+        every.join(same, "_id", "left").withColumn("n_other", other).where(F.col("n_other") > 0)
+        .select(F.col("_k0").alias(key), F.col("_id").alias("a_id"), F.col("_ts").alias("a_ts"), "n_other")
     )
 
 

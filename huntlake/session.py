@@ -19,6 +19,7 @@ def build_session(app: str = "huntlake", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # keys and salts are literals in masking plans; keep them out of logs and the UI
         "spark.sql.redaction.string.regex": "(?i)secret|salt|aes_(en|de)crypt|password",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
