@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huntlake.functions.common import MARK, let
 from huntlake.schema import METADATA
 
 # File extensions and name parts treated as sensitive in paths.
@@ -54,17 +55,19 @@ def mask_path(value: Column, salt: str, short: int | None = None) -> Column:
     """Structure kept; the component after Users or home is masked, and a sensitive file name
     becomes ``file_<hash>`` without its extension."""
     home = r"(?i)^(.*?[\\/](?:users|home)[\\/])([^\\/]+)(.*)$"
-    has_home = value.rlike(home)
-    head = F.when(has_home, F.regexp_extract(value, home, 1)).otherwise(F.lit(""))
-    owner = F.when(has_home, mask_user(F.regexp_extract(value, home, 2), salt, short)).otherwise(F.lit(""))
-    rest = F.when(has_home, F.regexp_extract(value, home, 3)).otherwise(value)
-    leaf = r"^(.*[\\/])?([^\\/]+)$"
-    name = F.regexp_extract(rest, leaf, 2)
-    folder = F.regexp_extract(rest, leaf, 1)
-    tail = F.when(
-        name.rlike(SENSITIVE_NAME), F.concat(folder, F.lit("file_"), mask_hash(name, salt, short))
-    ).otherwise(rest)
-    return F.when(value.isNotNull(), F.concat(head, owner, tail))
+
+    def leaf(rest: Column) -> Column:
+        name = F.substring_index(F.substring_index(rest, "\\", -1), "/", -1)
+        folder = F.substring(rest, F.lit(1), F.length(rest) - F.length(name))
+        hidden = F.concat(folder, F.lit("file_"), mask_hash(name, salt, short))
+        return F.when(name.rlike(SENSITIVE_NAME), hidden).otherwise(rest)
+
+    def rebuild(p: Column) -> Column:
+        owned = F.concat(F.get(p, F.lit(0)), mask_user(F.get(p, F.lit(1)), salt, short), leaf(F.get(p, F.lit(2))))
+        return F.when(F.size(p) == 3, owned).otherwise(leaf(F.get(p, F.lit(0))))
+
+    clean = F.replace(value, F.lit(MARK), F.lit(" "))
+    return let(F.split(F.regexp_replace(clean, home, f"$1{MARK}$2{MARK}$3"), MARK), rebuild)
 
 
 def mask_kinds(salt: str, *, keep_prefix: bool = False, keep_domain: bool = False,

@@ -7,11 +7,13 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from huntlake.functions.common import group_of, groups, let
+
 STR_MAP = "map<string,string>"
 
 # Audit line layout, fields joined by " | ".
 AUDIT_LINE = (
-    r"^(?:.* \| )?user_id=(.*?) \| vm_id=(.*?) \| operation=(.*) \| start=([^|]*) \| end=([^|]*)"
+    r"^(?:.*? \| )??user_id=(.*?) \| vm_id=(.*?) \| operation=(.*) \| start=([^|]*) \| end=([^|]*)"
     r" \| status=([^| ]*)(?: \| exit_code=(-?[0-9]+))?(?: \| extra=(\{.*\}))?$"
 )
 # Database log prefix "%t [%p]: [%l-1] user=%u,db=%d,app=%a,client=%h ".
@@ -65,8 +67,11 @@ def detect_format(line: Column) -> Column:
 
 def json_or_raw(text: Column) -> Column:
     """A JSON object as a string map; anything else under the key ``_raw``."""
-    obj = F.when(F.ltrim(text).startswith("{"), F.from_json(text, STR_MAP))
-    return F.when(text.isNotNull(), F.coalesce(obj, F.create_map(F.lit("_raw"), text)))
+    def read(t: Column) -> Column:
+        obj = F.when(F.ltrim(t).startswith("{"), F.from_json(t, STR_MAP))
+        return F.when(t.isNotNull(), F.coalesce(obj, F.create_map(F.lit("_raw"), t)))
+
+    return let(text, read)
 
 
 def redact_map(extra: Column, keys: Sequence[str] = REDACTED_KEYS) -> Column:
@@ -103,16 +108,15 @@ def convert_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 def parse_audit(df: DataFrame, line: str = "line") -> DataFrame:
     """Audit lines. The operation may contain pipes, so the fields around it are anchored."""
-    c = F.col(line)
-    get = {n: _part(c, AUDIT_LINE, i + 1)
-           for i, n in enumerate(("user_id", "vm_id", "operation", "start", "end", "status", "exit_code", "extra"))}
-    return df.withColumns({
+    names = ("user_id", "vm_id", "operation", "start", "end", "status", "exit_code", "extra")
+    get = {n: group_of(F.col("_p"), len(names), i) for i, n in enumerate(names, 1)}
+    return df.withColumn("_p", groups(F.col(line), AUDIT_LINE, len(names))).withColumns({
         **{n: get[n] for n in ("user_id", "vm_id", "operation", "status")},
         "start": iso_timestamp(get["start"]),
         "end": iso_timestamp(get["end"]),
         "exit_code": get["exit_code"].try_cast("int"),
         "extra": redact_map(json_or_raw(get["extra"])),
-    })
+    }).drop("_p")
 
 
 def format_audit(user_id: Column, vm_id: Column, operation: Column, start: Column, end: Column,
@@ -132,18 +136,18 @@ def format_audit(user_id: Column, vm_id: Column, operation: Column, start: Colum
 
 
 def parse_pglog(df: DataFrame, line: str = "line") -> DataFrame:
-    c = F.col(line)
-    return df.withColumns({
-        "ts": iso_timestamp(_part(c, PG_LINE, 1)),
-        "pid": _part(c, PG_LINE, 3).try_cast("int"),
-        "line_no": _part(c, PG_LINE, 4).try_cast("int"),
-        "user_id": _part(c, PG_LINE, 5),
-        "db": _part(c, PG_LINE, 6),
-        "app": _part(c, PG_LINE, 7),
-        "client": _part(c, PG_LINE, 8),
-        "level": _part(c, PG_LINE, 9),
-        "message": _part(c, PG_LINE, 10),
-    })
+    get = lambda i: group_of(F.col("_p"), 10, i)
+    return df.withColumn("_p", groups(F.col(line), PG_LINE, 10)).withColumns({
+        "ts": iso_timestamp(get(1)),
+        "pid": get(3).try_cast("int"),
+        "line_no": get(4).try_cast("int"),
+        "user_id": get(5),
+        "db": get(6),
+        "app": get(7),
+        "client": get(8),
+        "level": get(9),
+        "message": get(10),
+    }).drop("_p")
 
 
 def failed_login(message: Column) -> Column:
@@ -154,23 +158,25 @@ def failed_login(message: Column) -> Column:
 def parse_syslog(df: DataFrame, line: str = "line", year: int = 1970) -> DataFrame:
     """Both syslog forms. The older one carries no year, so the caller gives it."""
     c = F.col(line)
-    new = c.rlike(r"^<[0-9]+>1 ")
-    pri = F.regexp_extract(c, r"^<([0-9]+)>", 1).try_cast("int")
+    new = F.col("_new")
+    get = lambda i: group_of(F.col("_p"), 8, i)
+    pri = get(1).try_cast("int")
     old_ts = F.try_to_timestamp(
-        F.concat_ws(" ", F.lit(str(year)), _part(c, SYSLOG_3164, 2), _part(c, SYSLOG_3164, 3), _part(c, SYSLOG_3164, 4)),
-        F.lit("yyyy MMM d HH:mm:ss"),
+        F.concat_ws(" ", F.lit(str(year)), get(2), get(3), get(4)), F.lit("yyyy MMM d HH:mm:ss"),
     ).cast("timestamp_ntz")
-    pick = lambda a, b: F.when(new, _part(c, SYSLOG_5424, a)).otherwise(_part(c, SYSLOG_3164, b))
+    pick = lambda a, b: F.when(new, get(a)).otherwise(get(b))
     dash = lambda v: F.nullif(v, F.lit("-"))
+    df = df.withColumn("_new", c.rlike(r"^<[0-9]+>1 "))
+    df = df.withColumn("_p", F.when(new, groups(c, SYSLOG_5424, 8)).otherwise(groups(c, SYSLOG_3164, 8)))
     return df.withColumns({
         "facility": F.floor(pri / 8).cast("int"),
         "severity": (pri % 8).cast("int"),
-        "ts": F.when(new, iso_timestamp(_part(c, SYSLOG_5424, 2))).otherwise(old_ts),
+        "ts": F.when(new, iso_timestamp(get(2))).otherwise(old_ts),
         "host": dash(pick(3, 5)),
         "app": dash(pick(4, 6)),
         "pid": dash(pick(5, 7)),
-        "message": pick(8, 8),
-    })
+        "message": get(8),
+    }).drop("_new", "_p")
 
 
 def parse_winevent(df: DataFrame, line: str = "line") -> DataFrame:
@@ -188,8 +194,10 @@ def parse_winevent(df: DataFrame, line: str = "line") -> DataFrame:
 
 def _last_wins(pairs: Column) -> Column:
     """A map from (k, v) structs; of repeated keys the last one stays."""
-    unique = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(unique)
+    def unique(p: Column) -> Column:
+        return F.filter(p, lambda e, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda o: o["k"] == e["k"]))
+
+    return let(pairs, lambda p: F.map_from_entries(unique(p)))
 
 
 def _kv(line: Column) -> Column:

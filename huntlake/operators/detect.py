@@ -190,61 +190,86 @@ def _chained_bans(rows: DataFrame, maxretry: int, findtime: int, bantime: int) -
 
 # ---- sequences ------------------------------------------------------------------------------
 
-def _followers(df: DataFrame, key: Sequence[str], is_a: Column, is_b: Column, ts: str, event_id: str,
-               within: int, hot_rows: int) -> DataFrame:
-    """Per A row: how many B rows of the same key follow strictly later, at most ``within`` seconds,
-    and the running number of the first of them. Running totals only; no pairs are formed.
-    Keys come back as ``_k0``, ``_k1``…, the event as ``_id`` and ``_ts``."""
-    keys = [f"_k{i}" for i in range(len(key))]
+_A_START, _A_END, _B = 1, 2, 0  # at one instant B comes first: it is not later than A, but still within A's reach
+
+
+def _marks(df: DataFrame, keys: dict[str, str], is_a: Column, is_b: Column, ts: str, event_id: str, within: int) -> DataFrame:
+    """Points in time: the start and the end of every A row's reach, and every B row."""
     a_marks = F.array(
-        F.struct(F.col("_ts").alias("t"), F.lit(1).alias("kind")),
-        F.struct((F.col("_ts") + _secs(within)).alias("t"), F.lit(2).alias("kind")),
+        F.struct(F.col("_ts").alias("t"), F.lit(_A_START).alias("kind")),
+        F.struct((F.col("_ts") + _secs(within)).alias("t"), F.lit(_A_END).alias("kind")),
     )
-    b_marks = F.array(F.struct(F.col("_ts").alias("t"), F.lit(0).alias("kind")))
+    b_marks = F.array(F.struct(F.col("_ts").alias("t"), F.lit(_B).alias("kind")))
     none = F.filter(a_marks, lambda _: F.lit(False))
-    marks = (
-        df.where((is_a | is_b) & F.col(key[0]).isNotNull())  # no entity, nothing to follow
-        .select(*[F.col(k).alias(n) for k, n in zip(key, keys)], F.col(event_id).alias("_id"), F.col(ts).alias("_ts"),
-                is_a.alias("a"), is_b.alias("b"))
-        .withColumn("m", F.explode(F.concat(F.when(F.col("a"), a_marks).otherwise(none),
-                                            F.when(F.col("b"), b_marks).otherwise(none))))
-        .select(*keys, "_id", "_ts", "m.*")
-    )
+    rows = df.where(is_a | is_b).select(
+        *[F.col(c).alias(n) for n, c in keys.items()], F.col(event_id).alias("_id"), F.col(ts).alias("_ts"),
+        is_a.alias("a"), is_b.alias("b"))
+    for n in keys:
+        rows = rows.where(F.col(n).isNotNull())  # no entity, nothing to follow
+    marks = F.concat(F.when(F.col("a"), a_marks).otherwise(none), F.when(F.col("b"), b_marks).otherwise(none))
+    return rows.withColumn("m", F.explode(marks)).select(*keys, "_id", "_ts", "m.*")
 
-    def step(o: Ordered) -> DataFrame:
-        o = o.running_sum("c", F.when(F.col("kind") == 0, 1).otherwise(0).cast("long"))
-        at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("c")))
-        return o.df.groupBy(*keys, "_id", "_ts").agg(
-            at(0).alias("b_no"), (at(1) + 1).alias("first_no"), (at(2) - at(1)).alias("n"))
 
-    return by_key(marks, keys, ["t", "kind", "_id"], step, hot_rows)
+_ORDER = ["t", "kind", "_id"]
+
+
+def _at(kind: int, column: str = "c") -> Column:
+    return F.max(F.when(F.col("kind") == kind, F.col(column)))
+
+
+def _b_weight() -> Column:
+    return F.when(F.col("kind") == _B, 1).otherwise(0).cast("long")
 
 
 def correlate_interval(df: DataFrame, is_a: Column, is_b: Column, key: str = "user_id", ts: str = "ts",
                        event_id: str = "event_id", within: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """A rows followed by B rows of the same entity: the first follower, and how many there are."""
-    rows = pin(_followers(df, [key], is_a, is_b, ts, event_id, within, hot_rows))  # joined with itself below
-    a = rows.where(F.col("n") > 0).select(
-        "_k0", F.col("_id").alias("a_id"), F.col("_ts").alias("a_ts"), F.col("first_no").alias("no"), F.col("n").alias("n_followers"))
-    b = rows.where(F.col("b_no").isNotNull()).select(
-        "_k0", F.col("b_no").alias("no"), F.col("_id").alias("b_id"), F.col("_ts").alias("b_ts"))
-    return a.join(b, ["_k0", "no"]).select(F.col("_k0").alias(key), "a_id", "a_ts", "b_id", "b_ts", "n_followers")
+    """A rows followed by B rows of the same entity, strictly later and at most ``within`` seconds:
+    the first follower, and how many there are. Running totals only; no pairs are formed."""
+
+    def cold(o: Ordered) -> DataFrame:
+        back = Window.partitionBy("_k").orderBy(*[F.desc(c) for c in _ORDER]).rowsBetween(Window.unboundedPreceding, 0)
+        b_row = F.when(F.col("kind") == _B, F.struct(F.col("_id").alias("b_id"), F.col("_ts").alias("b_ts")))
+        df = o.running_sum("c", _b_weight()).df.withColumn("next_b", F.last(b_row, ignorenulls=True).over(back))
+        one = df.groupBy("_k", "_id", "_ts").agg((_at(_A_END) - _at(_A_START)).alias("n"), _at(_A_START, "next_b").alias("b"))
+        return one.where(F.col("n") > 0).select("_k", "_id", "_ts", "b.b_id", "b.b_ts", "n")
+
+    def hot(rows: DataFrame) -> DataFrame:
+        total = Ordered.slices(rows, ["_k"], _ORDER).running_sum("c", _b_weight()).df
+        one = pin(total.groupBy("_k", "_id", "_ts").agg(
+            _at(_B).alias("b_no"), (_at(_A_START) + 1).alias("no"), (_at(_A_END) - _at(_A_START)).alias("n")))
+        b = one.where(F.col("b_no").isNotNull()).select(
+            "_k", F.col("b_no").alias("no"), F.col("_id").alias("b_id"), F.col("_ts").alias("b_ts"))
+        return one.where(F.col("n") > 0).join(b, ["_k", "no"]).select("_k", "_id", "_ts", "b_id", "b_ts", "n")
+
+    marks = _marks(df, {"_k": key}, is_a, is_b, ts, event_id, within)
+    return by_key(marks, ["_k"], _ORDER, cold, hot_rows, hot).withColumnsRenamed(
+        {"_k": key, "_id": "a_id", "_ts": "a_ts", "n": "n_followers"})
 
 
 def correlate_sources(df: DataFrame, is_a: Column, is_b: Column, key: str = "user_id", source: str = "source_system",
                       ts: str = "ts", event_id: str = "event_id", within: int = 3600,
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """A rows followed by B rows of the same entity seen by another source system, with their number:
-    all followers less those of the same source."""
-    df = df.where(F.col(source).isNotNull())  # an unknown source is neither the same nor another
-    every = _followers(df, [key], is_a, is_b, ts, event_id, within, hot_rows).where(F.col("n") > 0)
-    same = _followers(df, [key, source], is_a, is_b, ts, event_id, within, hot_rows).where(F.col("n") > 0)
-    same = same.select("_id", F.col("n").alias("n_same"))
-    other = F.col("n") - F.coalesce("n_same", F.lit(0))
-    return (
-        every.join(same, "_id", "left").withColumn("n_other", other).where(F.col("n_other") > 0)
-        .select(F.col("_k0").alias(key), F.col("_id").alias("a_id"), F.col("_ts").alias("a_ts"), "n_other")
-    )
+    all followers less those of the same source. Rows of unknown source are neither."""
+
+    def cold(o: Ordered) -> DataFrame:
+        # both windows are served by one shuffle on the entity
+        both = Ordered(o.running_sum("c", _b_weight()).df, ["_k", "_s"], _ORDER).running_sum("d", _b_weight()).df
+        n = (_at(_A_END) - _at(_A_START)) - (_at(_A_END, "d") - _at(_A_START, "d"))
+        return both.groupBy("_k", "_id", "_ts").agg(n.alias("n_other")).where(F.col("n_other") > 0)
+
+    def hot(rows: DataFrame) -> DataFrame:
+        def followers(keys: list[str]) -> DataFrame:
+            total = Ordered.slices(rows, keys, _ORDER).running_sum("c", _b_weight()).df
+            return total.groupBy("_k", "_id", "_ts").agg((_at(_A_END) - _at(_A_START)).alias("n")).where(F.col("n") > 0)
+
+        same = followers(["_k", "_s"]).select("_k", "_id", F.col("n").alias("same"))
+        out = followers(["_k"]).join(same, ["_k", "_id"], "left")
+        return out.select("_k", "_id", "_ts", (F.col("n") - F.coalesce("same", F.lit(0))).alias("n_other")) \
+            .where(F.col("n_other") > 0)
+
+    marks = _marks(df, {"_k": key, "_s": source}, is_a, is_b, ts, event_id, within)
+    return by_key(marks, ["_k"], _ORDER, cold, hot_rows, hot).withColumnsRenamed({"_k": key, "_id": "a_id", "_ts": "a_ts"})
 
 
 # ---- rules and indicators -------------------------------------------------------------------
