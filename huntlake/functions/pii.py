@@ -1,7 +1,7 @@
 """Personal data and secrets in text, fields and columns. Built-in expressions only.
 
-Patterns avoid look-around: a loose pattern takes the longest candidate and a full-match test
-decides, so ``1234.1.1.1`` is not read as an address.
+A loose pattern takes the longest candidate and a full-match test decides, so ``1234.1.1.1`` is not
+read as an address.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ PII_PATTERNS = {
     ),
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
               r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
-    "phone": (r"\+?[0-9]*[ .-]?\(?[0-9]+\)?[ .-][0-9]+[ .-][0-9]+",
+    "phone": (r"\+?[0-9]{0,4}[ .-]?\(?[0-9]{1,4}\)?[ .-][0-9]{1,4}[ .-][0-9]{1,8}",
               r"^(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}$"),
 }
 
@@ -73,38 +73,37 @@ def is_pii(value: Column, kinds: Sequence[str] = tuple(PII_PATTERNS)) -> Column:
 
 
 def _hits(text: Column, kind: str) -> Column:
-    pattern = PII_PATTERNS[kind][0]
-    if kind == "email":
-        # a token that fails from its start fails from everywhere in it: do not try again
-        pattern = r"(?<![A-Za-z0-9._%+-])" + pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # what fails from the start of a token fails from everywhere in it: do not try again
+    start = {"email": "(?<![A-Za-z0-9._%+-])", "phone": ""}.get(kind, "(?<![0-9])")
+    found = F.regexp_extract_all(text, F.lit(start + PII_PATTERNS[kind][0]), F.lit(0))
     return F.filter(F.transform(found, lambda h: F.trim(h)), lambda h: is_kind(h, kind))
 
 
 def pii_hits(df: DataFrame, text: str, kinds: Sequence[str] = tuple(PII_PATTERNS)) -> DataFrame:
-    """Adds ``hits``: MAP kind -> values found. Each value found is taken out of the text before
-    the next kind is looked for, so a card number is not counted again as a phone number.
+    """Adds ``hits``: ARRAY<STRUCT<pii_type, found>> of the kinds present. Each value found is taken
+    out of the text before the next kind is looked for, so a card number is not counted again as a
+    phone number.
 
     Without an @ there is only numeric data to find. It lies inside runs of digits and separators,
     none shorter than 7 characters, so one pass reduces the text to those runs.
     """
     runs = F.array_join(F.regexp_extract_all(F.col(text), F.lit("[0-9+() .-]{7,}"), F.lit(0)), "\n")
-    reduced = F.when(F.contains(F.col(text), F.lit("@")), F.col(text)).otherwise(runs)
-    out = df.withColumn("_rest", reduced).where(F.col("_rest").rlike("[0-9@]"))
+    out = df.withColumn("_rest", F.when(F.contains(F.col(text), F.lit("@")), F.col(text)).otherwise(runs))
     for kind in kinds:
         out = out.withColumn(f"_h_{kind}", _hits(F.col("_rest"), kind))
         left = F.aggregate(f"_h_{kind}", F.col("_rest"), lambda acc, h: F.replace(acc, h, F.lit(" ")))
         out = out.withColumn("_rest", F.when(F.size(f"_h_{kind}") > 0, left).otherwise(F.col("_rest")))
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_h_{k}").alias("v")) for k in kinds])
-    filled = F.filter(entries, lambda e: F.size(e["v"]) > 0)
-    return out.withColumn("hits", F.map_from_entries(filled)).drop("_rest", *[f"_h_{k}" for k in kinds])
+    entries = F.array(*[F.struct(F.lit(k).alias("pii_type"), F.col(f"_h_{k}").alias("found")) for k in kinds])
+    return out.withColumn("hits", F.filter(entries, lambda e: F.size(e["found"]) > 0)).drop(
+        "_rest", *[f"_h_{k}" for k in kinds])
 
 
 def pii_scan(df: DataFrame, id_col: str, text: str, kinds: Sequence[str] = tuple(PII_PATTERNS)) -> DataFrame:
     """Rows (id, pii_type, n) for every record with at least one value found."""
-    found = pii_hits(df.select(id_col, text), text, kinds)
-    return found.select(id_col, F.explode("hits").alias("pii_type", "v")).select(
-        id_col, "pii_type", F.size("v").cast("long").alias("n")
+    # the outer form keeps the optimizer from evaluating the whole scan a second time as a filter
+    hits = pii_hits(df.select(id_col, text), text, kinds).select(id_col, F.explode_outer("hits").alias("h"))
+    return hits.where(F.col("h").isNotNull()).select(
+        id_col, "h.pii_type", F.size("h.found").cast("long").alias("n")
     )
 
 

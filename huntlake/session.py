@@ -15,6 +15,8 @@ def build_session(app: str = "huntlake", master: str | None = None, **conf: str)
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        # recording the call site of every Column costs more than building it
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # keys and salts are literals in masking plans; keep them out of logs and the UI
