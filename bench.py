@@ -1,6 +1,6 @@
 """Times the registered queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query is run once to warm up and then five times; its time is the median, and includes
+Each query is run once to warm up and then three times; its time is the median, and includes
 building the query, since some operators run jobs while they plan. BENCH_QUERIES picks a subset.
 """
 
@@ -29,7 +29,7 @@ reconcile_tables retention_report policy_resolve status_diff stream_tumbling
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     names = list(QUERIES) if names == ["all"] else names
     spark = build_session("huntlake-bench", master=f"local[{cpus}]", **{

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntlake.plans.quantiles import exact_quantiles
@@ -22,13 +22,16 @@ def daily_counts(df: DataFrame, ts: str = "ts") -> DataFrame:
 def resample_hourly(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Events per hour from the first to the last bucket, empty hours as 0.
 
-    Events are counted first; the calendar is built from those hourly counts, not from events.
+    Events are counted first. Each counted hour then fills the gap up to the next one; that window
+    sees one row per hour, so one task for it is enough, and the events are read once.
     """
-    counts = df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("bucket")) \
+    counts = df.where(F.col(ts).isNotNull()).groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    span = counts.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    calendar = span.select(F.explode(F.expr("sequence(lo, hi, interval 1 hour)")).alias("bucket"))
-    return calendar.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    following = F.lead("hour").over(Window.orderBy("hour"))
+    last = F.coalesce(following - F.expr("INTERVAL 1 HOUR"), F.col("hour"))
+    filled = counts.withColumn("last", last).select(
+        "hour", "n", F.explode(F.sequence("hour", "last", F.expr("INTERVAL 1 HOUR"))).alias("bucket"))
+    return filled.select("bucket", F.when(F.col("bucket") == F.col("hour"), F.col("n")).otherwise(0).alias("n"))
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

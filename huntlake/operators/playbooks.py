@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from huntlake.operators.filters import between, contains_like
 from huntlake.plans.sizes import local_rows
-from huntlake.session import scratch_path
+from huntlake.session import pin, scratch_path
 
 # Tactic names and hunt types.
 TACTICS = (
@@ -112,8 +112,8 @@ def report_sections(findings: DataFrame, title: str, hypothesis: str, conclusion
     """Report data as rows (section, metric, value): counts, span, top entities, and the given text."""
     spark = findings.sparkSession
     stamp = "yyyy-MM-dd HH:mm:ss"
-    # one partial aggregate per entity feeds both the totals and the ranking
-    per = findings.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    # one row per entity, kept because both the totals and the ranking read it
+    per = pin(findings.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")))
     one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.count("entity").alias("entities"),
                   F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
     cell = lambda m, v: F.struct(F.lit("findings").alias("section"), F.lit(m).alias("metric"), v.alias("value"))

@@ -23,15 +23,20 @@ def time_column(df: DataFrame, candidates: Sequence[str] = TIME_COLUMNS) -> str
 
 
 def expired(ts: str, as_of: datetime, days: int = 0, hours: int = 0) -> Column:
-    """Strictly older than the period; rows without a time stay."""
-    cutoff = as_of - timedelta(days=days, hours=hours)
-    return F.coalesce(F.col(ts) < F.lit(cutoff).cast("timestamp_ntz"), F.lit(False))
+    """Strictly older than the period. NULL for rows without a time: they are neither deleted nor counted."""
+    return F.col(ts) < F.lit(as_of - timedelta(days=days, hours=hours)).cast("timestamp_ntz")
+
+
+def kept(ts: str, as_of: datetime, days: int = 0, hours: int = 0) -> Column:
+    """The rest, in a form the Parquet scan can use."""
+    cutoff = F.lit(as_of - timedelta(days=days, hours=hours)).cast("timestamp_ntz")
+    return F.col(ts).isNull() | (F.col(ts) >= cutoff)
 
 
 def retention_keep(df: DataFrame, as_of: datetime, days: int = 0, hours: int = 0, ts: str | None = None) -> DataFrame:
     """What stays after clean-up."""
     ts = ts or time_column(df)
-    return df if ts is None else df.where(~expired(ts, as_of, days, hours))
+    return df if ts is None else df.where(kept(ts, as_of, days, hours))
 
 
 def retention_report(tables: Mapping[str, DataFrame], days: Mapping[str, int], as_of: datetime, default_days: int = 90,
@@ -43,7 +48,7 @@ def retention_report(tables: Mapping[str, DataFrame], days: Mapping[str, int], a
         if name in EXEMPT_TABLES or ts is None:
             continue
         period = days.get(name, default_days)
-        parts.append(df.agg(F.count_if(expired(ts, as_of, period)).alias("rows_deleted")).select(
+        parts.append(df.where(expired(ts, as_of, period)).agg(F.count(F.lit(1)).alias("rows_deleted")).select(
             F.lit(name).alias("table_name"), "rows_deleted",
             F.lit(as_of).cast("timestamp_ntz").alias("cleanup_time"), F.lit(period).alias("retention_days")))
     out = None
@@ -97,9 +102,8 @@ def clean_partitioned(spark: SparkSession, path: str, as_of: datetime, days: int
     edge = table.where(F.col(partition) == day)
     n_edge = edge.where(expired(ts, as_of, days)).count()
     if n_edge:
-        kept = edge.where(~expired(ts, as_of, days))
         aside = scratch_path(spark, "retention")
-        kept.write.parquet(aside)
+        edge.where(kept(ts, as_of, days)).write.parquet(aside)
         copy = spark.read.parquet(aside)
         if copy.isEmpty():
             old_days.append(cutoff.date())

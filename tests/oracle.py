@@ -47,9 +47,8 @@ def kinds(spark_types, duck_types):
     return {n: (t, duck_types.get(n)) for n, t in spark_types.items() if same.get(t) != duck_types.get(n)}
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
+def compare(con, df, sql):
     """None when equal, else a short text."""
-    df = fn(spark, sf_dir)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
@@ -72,7 +71,11 @@ if __name__ == "__main__":
     from huntlake.session import build_session
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+    if os.environ.get("PLAIN"):  # a session without the library's settings
+        from pyspark.sql import SparkSession
+        SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "America/New_York") \
+            .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.getOrCreate() if os.environ.get("PLAIN") else build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                                 "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
@@ -85,7 +88,7 @@ if __name__ == "__main__":
         t = time.time()
         try:
             if name in sqls:
-                res = compare(spark, con, name, fn, sqls[name], sf_dir)
+                res = compare(con, fn(spark, sf_dir), sqls[name])
             else:
                 res = None if fn(spark, sf_dir).count() else "no rows"
         except Exception as exc:
