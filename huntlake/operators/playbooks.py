@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huntlake.operators.detect import baseline_zscore, model_anomaly, user_features
 from huntlake.operators.filters import between, contains_like
 from huntlake.plans.sizes import local_rows
 from huntlake.session import pin, scratch_path
@@ -79,6 +80,28 @@ def process_hunt(name: str, tactic: str, hypothesis: str, pattern: str) -> Playb
     return register(Playbook(name, tactic, "hypothesis", hypothesis, build))
 
 
+def baseline_hunt(name: str, tactic: str, hypothesis: str, **options) -> Playbook:
+    """A baseline hunt: days on which an entity was far from its own recent days."""
+    def build(events: DataFrame, params: Params) -> DataFrame:
+        odd = baseline_zscore(scope(events, params), **options)
+        return odd.select(F.col("user_id").alias("entity"), F.col("day").cast("timestamp_ntz").alias("ts"),
+                          F.concat(F.lit("events="), F.col("n").cast("string")).alias("detail"))
+
+    return register(Playbook(name, tactic, "baseline", hypothesis, build))
+
+
+def model_hunt(name: str, tactic: str, hypothesis: str, columns: Sequence[str], **options) -> Playbook:
+    """A model-assisted hunt: entities far from every group of similar ones."""
+    def build(events: DataFrame, params: Params) -> DataFrame:
+        inside = scope(events, params)
+        odd = model_anomaly(user_features(inside), "user_id", columns, **options)
+        last = inside.groupBy("user_id").agg(F.max("ts").alias("ts"))
+        return odd.join(last, "user_id").select(
+            F.col("user_id").alias("entity"), "ts", F.concat(F.lit("cluster="), F.col("cluster").cast("string")).alias("detail"))
+
+    return register(Playbook(name, tactic, "model", hypothesis, build))
+
+
 def run_playbooks(spark: SparkSession, events: DataFrame, playbooks: Sequence[Playbook], params: Params) -> DataFrame:
     """All results in one frame: playbook, tactic, hunt_type, entity, ts, detail, status.
 

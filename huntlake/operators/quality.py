@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huntlake.functions.common import let
+from huntlake.functions.pii import secret_scan
 
 
 class QualityError(Exception):
@@ -84,6 +85,14 @@ def gate(df: DataFrame, violation: Column, limit: int = 0) -> DataFrame:
     return df
 
 
+def secret_gate(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Pass the batch through when no record holds a secret, else raise; the message names rules, not values."""
+    found = secret_scan(df, id_col, text).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per rule
+    if found:
+        raise QualityError("secrets found: " + ", ".join(f"{r.rule} in {r.n} records" for r in sorted(found)))
+    return df
+
+
 def gate_report(df: DataFrame, violation: Column, limit: int = 0, *group: str) -> DataFrame:
     """What the gate would decide, per group."""
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(violation).alias("violations")) \

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,12 @@ def scan_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def register_views(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
+    """Name frames so that hunts can be written as SQL text."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def scan_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower, upper,
               partitions: int, **options: str) -> DataFrame:
     """A database table, read in ``partitions`` ranges of ``partition_column``."""

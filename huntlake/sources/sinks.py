@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from huntlake.schema import CHECK_RESULT
 
 
+def write_events(df: DataFrame, path: str, ts: str = "timestamp", partition: str = "event_date", files: int | None = None,
+                 mode: str = "append") -> None:
+    """Store events in one folder per day, ordered by time inside each file so that row groups can be
+    skipped. Files are cut by range over time, so a busy day becomes more files instead of one task."""
+    parts = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.withColumn(partition, F.to_date(ts)).repartitionByRange(parts, partition, ts)
+        .sortWithinPartitions(partition, ts).write.mode(mode).partitionBy(partition).parquet(path)
+    )
+
+
 def append_verify(df: DataFrame, path: str, batch_id: str) -> DataFrame:
     """Append one batch, read that batch back, and report (batch_id, rows_written, rows_read, ok).
 

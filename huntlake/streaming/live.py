@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from huntlake.session import scratch_path
@@ -27,15 +28,23 @@ def event_time(df: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFra
 
 def run_available(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Process everything there is with exactly-once file output, then read it back."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    query = (
+    path = path or scratch_path(df.sparkSession, name)
+    start_available(df, path).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def start_available(df: DataFrame, path: str) -> StreamingQuery:
+    """Process what is there into Parquet files and stop; a later call with the same path goes on from there."""
+    return (
         df.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", path + "-state")
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped so far because they came after the watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def tumbling_counts(df: DataFrame, ts: str = "ts", width: str = "1 hour", *keys: str) -> DataFrame:

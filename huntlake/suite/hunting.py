@@ -8,6 +8,9 @@ from huntlake.functions.masking import mask_ip
 from huntlake.operators import aggregate as A
 from huntlake.operators import filters as P
 from huntlake.operators import playbooks as B
+from huntlake.session import scratch_path
+from huntlake.sources import readers as R
+from huntlake.sources.sinks import write_events
 from huntlake.suite.base import SALT, ev_sql, events, query, table
 
 
@@ -30,6 +33,25 @@ def hunt_window(spark, sf):
         .orderBy(F.desc("ts"), "event_id").limit(1000)
 
 
+@query("hunt_sql", ev_sql("""
+SELECT event_id, ts, user_id, process_name FROM ev WHERE process_name LIKE '%powershell%' AND ts >= TIMESTAMP '2024-01-10'"""))
+def hunt_sql(spark, sf):
+    R.register_views(spark, {"security_events": events(spark, sf)})
+    return spark.sql(
+        "SELECT event_id, ts, user_id, process_name FROM security_events "
+        "WHERE process_name LIKE :pattern AND ts >= CAST(:start AS TIMESTAMP_NTZ)",
+        args={"pattern": "%powershell%", "start": "2024-01-10"})
+
+
+@query("store_events", ev_sql("""
+SELECT event_id, ts, user_id, event_type FROM ev WHERE ts >= TIMESTAMP '2024-01-05 12:00:00' AND ts < TIMESTAMP '2024-01-08'"""))
+def store_events(spark, sf):
+    path = scratch_path(spark, "events")
+    write_events(events(spark, sf).select("event_id", "ts", "user_id", "event_type"), path, "ts")
+    stored = P.between(spark.read.parquet(path), "ts", "2024-01-05 12:00:00", "2024-01-08", partition_date="event_date")
+    return stored.select("event_id", "ts", "user_id", "event_type")
+
+
 @query("recent_events", ev_sql("""
 SELECT event_id, ts, event_type, user_id FROM ev
 WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR ORDER BY ts DESC"""))

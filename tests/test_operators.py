@@ -66,6 +66,14 @@ def test_gate(spark):
     assert Q.gate(df, F.col("x") > 1, limit=1).count() == 3
 
 
+def test_secret_gate(spark):
+    df = spark.createDataFrame([(1, "fine"), (2, "password=hunter2hunter2")], "id long, text string")
+    assert Q.secret_gate(df.where("id = 1"), "id", "text").count() == 1
+    with pytest.raises(Q.QualityError, match="assignment in 1 records") as err:
+        Q.secret_gate(df, "id", "text")
+    assert "hunter2" not in str(err.value)
+
+
 def test_policy_check(spark):
     df = spark.createDataFrame([(90,), (30,), (0,), (-1,), (None,)], "retention_days int")
     assert [r.result for r in Q.policy_check(df).collect()] == ["pass", "warn", "warn", "warn", "warn"]
@@ -230,6 +238,23 @@ def test_playbook_rules(spark, sf):
         {("late", "error"): 1, ("good", "ok"): 3}
 
 
+def test_baseline_and_model_playbooks(spark, sf):
+    books = [B.baseline_hunt("t-base", "discovery", "odd days", limit=1.0),
+             B.model_hunt("t-model", "exfiltration", "odd users", ["n_click", "n_error"], quantile=0.8)]
+    out = B.run_playbooks(spark, events(spark, sf), books, B.Params())
+    assert {(r.playbook, r.status) for r in out.select("playbook", "status").distinct().collect()} == {("t-base", "ok"), ("t-model", "ok")}
+
+
+def test_stored_events_are_pruned(spark, sf):
+    path = scratch_path(spark, "stored")
+    W.write_events(events(spark, sf), path, "ts")
+    day = P.between(spark.read.parquet(path), "ts", "2024-01-05", "2024-01-06", partition_date="event_date")
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "GreaterThanOrEqual(ts" in plan
+    want = P.between(events(spark, sf), "ts", "2024-01-05", "2024-01-06").count()
+    assert day.count() == want > 0
+
+
 def test_append_and_read_back(spark):
     path = scratch_path(spark, "probe")
     df = spark.range(10)

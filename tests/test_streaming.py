@@ -75,5 +75,9 @@ def test_late_rows_are_dropped(spark):
     for when in (t, t + timedelta(hours=5), t + timedelta(hours=6), t + timedelta(minutes=1), t + timedelta(hours=9)):
         spark.createDataFrame([(when,)], "ts timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema("ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(path)
-    got = L.run_available(L.tumbling_counts(stream), "t-late")
+    out = scratch_path(spark, "t-late")
+    query = L.start_available(L.tumbling_counts(stream), out)
+    query.awaitTermination()
+    assert L.late_rows(query) == 1
+    got = spark.read.parquet(out)
     assert sorted((r.window_start.hour, r.n) for r in got.collect()) == [(12, 1), (17, 1), (18, 1)]
