@@ -225,9 +225,13 @@ def parse_custom(df: DataFrame, fmt: str, line: str = "line") -> DataFrame:
     return df.withColumn("fields", _PARSERS[fmt](F.col(line)))
 
 
+def is_malformed(corrupt: str = "_corrupt", timestamp: str = "timestamp") -> Column:
+    return F.col(corrupt).isNotNull() | F.col(timestamp).isNull()
+
+
 def split_quarantine(df: DataFrame, corrupt: str = "_corrupt", timestamp: str = "timestamp") -> tuple[DataFrame, DataFrame]:
     """(good, quarantine): malformed means unreadable, or no usable timestamp. Nothing is lost."""
-    bad = F.col(corrupt).isNotNull() | F.col(timestamp).isNull()
+    bad = is_malformed(corrupt, timestamp)
     return df.where(~bad).drop(corrupt), df.where(bad)
 
 

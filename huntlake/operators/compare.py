@@ -43,17 +43,27 @@ def content_hash(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None
     )
 
 
+def _match(a: DataFrame, b: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Join on ``by`` with NULL equal to NULL."""
+    right = b.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    cond = F.lit(True)
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    joined = a.withColumn("_left", F.lit(True)).join(right, cond, how)
+    return joined.withColumns({c: F.when(F.col("_left"), F.col(c)).otherwise(F.col(f"_r_{c}")) for c in by}).drop(
+        "_left", *[f"_r_{c}" for c in by])
+
+
 def reconcile(source: DataFrame, copy: DataFrame, by: Sequence[str]) -> DataFrame:
     """Source against copy per group. A group absent on one side is not in sync."""
     columns = [c for c in source.columns if c not in by]
     a = content_hash(source, by, columns).withColumnsRenamed({"n_rows": "source_rows", "content_hash": "source_hash"})
     b = content_hash(copy, by, columns).withColumnsRenamed({"n_rows": "copy_rows", "content_hash": "copy_hash"})
-    same = F.col("source_hash").eqNullSafe(F.col("copy_hash")) & F.col("source_hash").isNotNull() \
-        & F.col("source_rows").eqNullSafe(F.col("copy_rows"))
+    same = (F.col("source_hash") == F.col("copy_hash")) & (F.col("source_rows") == F.col("copy_rows"))
     zero = F.lit(0).cast("long")
-    return a.join(b, list(by), "full_outer").select(
+    return _match(a, b, by, "full_outer").select(
         *by, F.coalesce("source_rows", zero).alias("source_rows"), F.coalesce("copy_rows", zero).alias("copy_rows"),
-        "source_hash", "copy_hash", same.alias("is_synced"),
+        "source_hash", "copy_hash", F.coalesce(same, F.lit(False)).alias("is_synced"),
     )
 
 
@@ -61,7 +71,7 @@ def manifest_mismatches(manifest: DataFrame, actual: DataFrame, by: Sequence[str
     """Manifest entries whose content differs from, or is missing in, what was transferred."""
     got = actual.select(*by, F.col("content_hash").alias("actual_hash"))
     return (
-        manifest.join(got, list(by), "left")
+        _match(manifest, got, by, "left")
         .where(~F.col("content_hash").eqNullSafe(F.col("actual_hash")))
         .select(*by, F.col("content_hash").alias("expected_hash"), "actual_hash")
     )

@@ -36,10 +36,13 @@ def baseline_zscore(df: DataFrame, key: str = "user_id", ts: str = "ts", days: i
 
 
 def first_seen(df: DataFrame, entity: str, value: str, ts: str, baseline: tuple, recent: tuple) -> DataFrame:
-    """Pairs seen in the recent window and never in the baseline window; both are half-open."""
+    """Pairs seen in the recent window and never in the baseline window; both are half-open. Missing
+    entities and values are not pairs."""
+    known_pair = F.col(entity).isNotNull() & F.col(value).isNotNull()
+
     def pairs(window):
         lo, hi = (F.lit(x).cast("timestamp_ntz") for x in window)
-        return df.where((F.col(ts) >= lo) & (F.col(ts) < hi))
+        return df.where((F.col(ts) >= lo) & (F.col(ts) < hi) & known_pair)
 
     known = pairs(baseline).select(entity, value).distinct()
     fresh = pairs(recent).groupBy(entity, value).agg(F.min(ts).alias("first_ts"), F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from huntlake.functions.parse import is_malformed
 from huntlake.schema import CHECK_RESULT
 
 
@@ -38,6 +40,22 @@ def append_verify(df: DataFrame, path: str, batch_id: str) -> DataFrame:
     )
 
 
+def store_split(df: DataFrame, path: str, corrupt: str = "_corrupt", timestamp: str = "timestamp") -> tuple[DataFrame, DataFrame, dict]:
+    """Read the source once, storing good and malformed records side by side. Returns both, read back,
+    and their counts as seen while writing."""
+    bad = is_malformed(corrupt, timestamp)
+    seen = Observation()
+    (
+        df.withColumn("part", F.when(bad, "quarantine").otherwise("good"))
+        .observe(seen, F.count_if(~bad).alias("good"), F.count_if(bad).alias("quarantine"))
+        .write.partitionBy("part").parquet(path)
+    )
+    counts = seen.get
+    stored = df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("part", StringType())])).parquet(path)
+    good = stored.where("part = 'good'").drop("part", corrupt)
+    return good, stored.where("part = 'quarantine'").drop("part"), counts
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Analysis results as JSON lines or CSV with a header."""
     if fmt == "json":

@@ -190,7 +190,7 @@ def quarantine(spark, sf):
     doc = F.to_json(F.struct("event_id", F.when(~_bad(89), F.col("ts").cast("string")).alias("ts"), "user_id"))
     path = _write_lines(events(spark, sf), spark, "quarantine", F.when(_bad(), F.lit("<<not json")).otherwise(doc))
     df = X.convert_types(R.scan_json(spark, path, RAW), {"ts": "timestamp"})
-    good, bad = X.split_quarantine(df, timestamp="ts")
+    good, bad, _ = W.store_split(df, scratch_path(spark, "split"), timestamp="ts")
     why = F.when(F.col("_corrupt").isNotNull(), "unreadable").otherwise("no timestamp")
     both = good.select(F.lit("good").alias("part"), "event_id").unionByName(bad.select(why.alias("part"), "event_id"))
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("n"))

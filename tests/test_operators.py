@@ -58,6 +58,15 @@ def test_missing_required(spark):
     assert df.select(Q.missing_required(F.col("j"), [])).first()[0] == []
 
 
+def test_store_split(spark):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1), None), (2, None, None), (None, None, "{bad")],
+                               "id long, timestamp timestamp_ntz, _corrupt string")
+    good, bad, counts = W.store_split(df, scratch_path(spark, "split"))
+    assert counts == {"good": 1, "quarantine": 2}
+    assert [r.id for r in good.collect()] == [1] and sorted(str(r.id) for r in bad.collect()) == ["2", "None"]
+    assert good.columns == ["id", "timestamp"] and bad.columns == df.columns
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
     assert Q.gate(df, F.col("x") > 5).count() == 3
@@ -106,6 +115,12 @@ def test_content_hash(spark):
     assert h([("g", "a|b", "c")]) != h([("g", "a", "b|c")])
     rec = C.reconcile(make(base + [("only", "x", "y")]), make(base), ["g"])
     assert {r.g: r.is_synced for r in rec.collect()} == {"g": True, "only": False}
+    nulls = [(None, "1", "2"), ("g", "1", "2")]
+    rec = C.reconcile(make(nulls), make(nulls), ["g"])
+    assert [(r.g, r.is_synced) for r in rec.orderBy("g").collect()] == [(None, True), ("g", True)]
+    h_all = C.content_hash(make(nulls), ["g"])
+    assert C.manifest_mismatches(h_all, h_all, ["g"]).isEmpty()
+    assert [r.g for r in C.manifest_mismatches(h_all, h_all.where("g = 'g'"), ["g"]).collect()] == [None]
 
 
 def test_resample_fills_gaps(spark):
