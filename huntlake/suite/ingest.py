@@ -292,7 +292,8 @@ def collect_status(spark, sf):
     df, report = R.collect_sources(spark, [R.Source("edr", base + "/edr", "json", schema),
                                            R.Source("gone", base + "/gone", "json", schema)])
     per = df.groupBy(F.col("collected_from").alias("source")).agg(F.count("event_id").alias("n"))
-    return report.join(F.broadcast(per), "source", "left").select("source", "status", F.coalesce("n", F.lit(0)).alias("n"))
+    both = report.select("source", "status").unionByName(per, allowMissingColumns=True)
+    return both.groupBy("source").agg(F.max("status").alias("status"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 @query("scan_table", """
