@@ -59,7 +59,7 @@ def rule_errors(text: Column, schema: Mapping) -> Column:
                 F.when(~_type_ok(doc, k, t), F.lit(f"type:{k}")) for k, t in typed.items()]))))
         if schema.get("additionalProperties", True) is False:
             parts.append(tag("additional:", F.array_except(keys, names(props))))
-        return F.when(keys.isNull(), F.array(F.lit("type:$"))).otherwise(F.array_sort(F.concat(*parts)))
+        return F.when(keys.isNull(), F.array(F.lit("type:$"))).otherwise(F.sort_array(F.concat(*parts)))
 
     return let(F.json_object_keys(text), errors)
 

@@ -79,7 +79,7 @@ def check_documents(tests: DataFrame, group: str, timestamp: str, config_file: s
                 F.count_if(status == "WARN").alias("warnings"),
                 F.count(F.lit(1)).alias("total"),
             ).alias("summary"),
-            F.array_sort(F.collect_list(F.struct("name", "status"))).alias("tests"),
+            F.sort_array(F.collect_list(F.struct("name", "status"))).alias("tests"),
         )
         .select(
             F.lit(timestamp).alias("timestamp"), F.col(group).alias("hostname"),

@@ -127,7 +127,7 @@ SELECT event_id, user_id, source_system AS vm_id, 'ls | grep ' || process_name A
        'Secret=kept,k=' || event_type AS extra FROM ev"""))
 def audit_parse(spark, sf):
     df = X.parse_audit(_audit_lines(events(spark, sf)))
-    pairs = F.transform(F.array_sort(F.map_keys("extra")), lambda k: F.concat(k, F.lit("="), F.col("extra")[k]))
+    pairs = F.transform(F.sort_array(F.map_keys("extra")), lambda k: F.concat(k, F.lit("="), F.col("extra")[k]))
     return df.drop("line").withColumn("extra", F.array_join(pairs, ","))
 
 
@@ -136,7 +136,7 @@ SELECT event_id, 'Password,host' AS keys FROM ev"""))
 def redact_map(spark, sf):
     extra = F.create_map(*[x for k in ("password", "key", "secret", "Password", "host") for x in (F.lit(k), F.col("user_id"))])
     kept = X.redact_map(extra)
-    return events(spark, sf).select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"))
+    return events(spark, sf).select("event_id", F.array_join(F.sort_array(F.map_keys(kept)), ",").alias("keys"))
 
 
 @query("truncate_text", r"""

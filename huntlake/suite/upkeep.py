@@ -10,6 +10,7 @@ from huntlake.functions.parse import compact_stamp, parse_audit
 from huntlake.operators import aggregate as A
 from huntlake.operators import compare as C
 from huntlake.operators import retention as T
+from huntlake.plans.sizes import small_side
 from huntlake.session import scratch_path
 from huntlake.sources import snapshots as S
 from huntlake.suite.base import ev_sql, events, query, table
@@ -81,7 +82,7 @@ def policy_resolve(spark, sf):
     base = table(spark, sf, "region").where("r_name <> 'ASIA'").select(
         F.concat(F.lit("region"), F.col("r_regionkey").cast("string")).alias("kind"), F.lit("default").alias("subject"),
         (F.col("r_regionkey") * 20 + 60).alias("retention_days"))
-    targets = table(spark, sf, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")) \
+    targets = table(spark, sf, "customer").join(small_side(nation), F.col("c_nationkey") == F.col("n_nationkey")) \
         .select("c_custkey", kind, F.col("n_name").alias("subject"))
     return T.resolve_policy(targets, own.unionByName(base), floor=90)
 

@@ -140,3 +140,17 @@ def test_quantiles(spark):
     for c in ("a", "b"):
         for p in (0.0, 0.25, 0.5, 0.9, 1.0):
             assert abs(got[(c, p)] - pdf[c].quantile(p)) < 1e-9
+
+
+def test_empty_input_and_no_findings(skewed):
+    none = skewed.where("false")
+    a, b = F.col("event_type") == "a", F.col("event_type") == "b"
+    for df in (none,):
+        assert D.behavior_gaps(df, "k").isEmpty()
+        assert D.user_sessions(df, "k").isEmpty()
+        assert D.burst_detect(df, "k").isEmpty()
+        assert D.ban_intervals(df, "k").isEmpty()
+        assert D.correlate_interval(df, a, b, "k").isEmpty()
+    hot = skewed.where("k = 'hot'")
+    assert D.ban_intervals(hot, "k", maxretry=1000, hot_rows=10).isEmpty()
+    assert D.burst_detect(hot, "k", maxretry=1000, hot_rows=10).isEmpty()
