@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import sys
 from collections.abc import Iterator
 from itertools import chain
@@ -65,12 +64,12 @@ class Splitter:
         import regex
 
         self.matches, self.find = regex.compile(pattern).finditer, regex.compile(pattern).findall
-        self.odd = re.compile("[" + re.escape(odd) + "]") if odd else re.compile("(?!)")
+        self.odd, self.plain = frozenset(odd), dict.fromkeys(map(ord, odd), "\ue000")
 
     def whole(self, text: str) -> list[str]:
-        if not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(text):
             return self.find(text)
-        return [text[m.start():m.end()] for m in self.matches(self.odd.sub("\ue000", text))]
+        return [text[m.start():m.end()] for m in self.matches(text.translate(self.plain))]
 
     def after_space(self, word: str) -> list[str] | None:
         """Pre-tokens of a space and ``word``; None where ``word`` may not be cut alone."""
