@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from huntlake.llm import bpe
 from huntlake.llm.common import documents
+from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.repetition import quality_rules
 from huntlake.llm.token_counts import token_counts
 
@@ -22,6 +23,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(documents(spark, sf_dir))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
