@@ -12,6 +12,7 @@ from huntlake.llm import bpe
 from huntlake.llm.common import documents
 from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.repetition import quality_rules
+from huntlake.llm.sanitise import KINDS, find_personal, printed
 from huntlake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(printed(F.col("base")), 256).alias("base_sha256"),
+                        printed(F.col("spans")).alias("spans"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
