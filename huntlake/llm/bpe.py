@@ -112,10 +112,18 @@ class Blocks:
         self.docs.append(np.array(flat, np.uint32))
         self.bytes += len(text)
 
-    def name(self) -> bytes:
-        """Names a block by its distinct pre-tokens in order: equal names have equal numbers."""
-        joined = "\x00".join(f"{len(t)}:{t}" for t in self.numbers)
-        return hashlib.blake2b(joined.encode(), digest_size=12).digest()
+    def finish(self) -> tuple[int, list[str]]:
+        """The block's name and its distinct pre-tokens, numbered anew by falling frequency. The
+        name is a hash of those in order: blocks with equal names have equal numbers."""
+        tokens = list(self.numbers)
+        counts = np.bincount(np.concatenate(self.docs), minlength=len(tokens))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        self.docs = [rank[d] for d in self.docs]
+        tokens = [tokens[i] for i in order]
+        joined = "".join(f"{len(t)}:{t}" for t in tokens)
+        return int.from_bytes(hashlib.blake2b(joined.encode(), digest_size=8).digest(), "little", signed=True), tokens
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch], splitter: Splitter, block_bytes: int) -> Iterator[Blocks]:
@@ -132,16 +140,22 @@ def blocks_of(batches: Iterator[pa.RecordBatch], splitter: Splitter, block_bytes
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Numbers in as few bytes as their size needs, compressed."""
-    kind = np.uint16 if numbers.max(initial=0) < 65536 else np.uint32
-    planes = numbers.astype(kind).view(np.uint8).reshape(-1, kind().itemsize).T
-    return bytes([kind().itemsize]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    """Numbers, mostly small, in one byte each and those from 255 on in two or four more, compressed."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    rest = numbers[numbers >= 255] - 255
+    width = 2 if rest.max(initial=0) < 65536 else 4
+    planes = np.ascontiguousarray(rest.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    low = press(np.minimum(numbers, 255).astype(np.uint8).tobytes())
+    return len(low).to_bytes(8, "little") + bytes([width]) + low + press(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    open_ = zstandard.ZstdDecompressor().decompress
+    split, width = 9 + int.from_bytes(data[:8], "little"), data[8]
+    numbers = np.frombuffer(open_(data[9:split]), np.uint8).astype(np.int64)
+    planes = np.frombuffer(open_(data[split:]), np.uint8).reshape(width, -1)
+    numbers[numbers == 255] += np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+    return numbers
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -156,14 +170,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     source, odd = id_and_text(docs), odd_characters()
+    width = "<u2" if max(ranks.values(), default=0) < 65536 else "<u4"
 
     def words(batches):
         for block in blocks_of(batches, Splitter(pattern, odd), block_bytes):
-            name, tokens = block.name(), list(block.numbers)
+            name, tokens = block.finish()
             for i in range(0, len(tokens), 20_000):
                 part = tokens[i:i + 20_000]
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([name] * len(part), pa.binary()),
+                    "block": pa.array([name] * len(part), pa.int64()),
                     "number": pa.array(range(i, i + len(part)), pa.int32()), "word": pa.array(part, pa.string()),
                 })
 
@@ -176,7 +191,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             out = []
             for word in batch.column("word").to_pylist():
                 if word != last:  # rows are sorted by word
-                    last, ids = word, np.array(merge.encode_ordinary(word), "<i4").tobytes()
+                    last, ids = word, np.array(merge.encode_ordinary(word), width).tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_pydict({
                 "block": batch.column("block"), "number": batch.column("number"), "ids": pa.array(out, pa.binary()),
@@ -184,11 +199,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
 
     def places(batches):
         for block in blocks_of(batches, Splitter(pattern, odd), block_bytes):
-            name = block.name()
+            name, _ = block.finish()
             for i in range(0, len(block.ids), 512):
                 part = block.docs[i:i + 512]
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([name], pa.binary()),
+                    "block": pa.array([name], pa.int64()),
                     "doc_ids": pa.array([block.ids[i:i + 512]], pa.list_(pa.int64())),
                     "sizes": pa.array([[len(d) for d in part]], pa.list_(pa.int64())),
                     "numbers": pa.array([packed(np.concatenate(part))], pa.binary()),
@@ -199,8 +214,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         number = coded.column("number").to_numpy()
         order = np.unique(number, return_index=True)[1]
         ids = coded.column("ids").combine_chunks().take(pa.array(order))
-        flat = np.frombuffer(b"".join(ids.to_pylist()), "<i4")
-        length = pa.compute.binary_length(ids).to_numpy() // 4
+        flat = np.frombuffer(b"".join(ids.to_pylist()), width)
+        length = pa.compute.binary_length(ids).to_numpy() // int(width[-1])
         begin = np.cumsum(length) - length
         done = []
         for row in range(placed.num_rows):
@@ -214,16 +229,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             offsets = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
             done.append(pa.table({
                 "doc_id": pa.array(placed.column("doc_ids")[row].as_py(), pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked, pa.int32())),
+                "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked.astype(np.int32), pa.int32())),
             }))
         return pa.concat_tables(done) if done else table
 
     coded = (
-        source.mapInArrow(words, "block binary, number int, word string")
+        source.mapInArrow(words, "block long, number int, word string")
         .repartition("word").sortWithinPartitions("word")
-        .mapInArrow(merged, "block binary, number int, ids binary")
+        .mapInArrow(merged, "block long, number int, ids binary")
     )
-    placed = source.mapInArrow(places, "block binary, doc_ids array<long>, sizes array<long>, numbers binary")
+    placed = source.mapInArrow(places, "block long, doc_ids array<long>, sizes array<long>, numbers binary")
     return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
 
