@@ -1,7 +1,8 @@
 """Severity of toxic language by cumulative-link ordinal regression.
 
-Grades 0 < 1 < 2 have ordered thresholds t1 < t2 and share one weight per word:
-P(grade >= k) = 1 / (1 + exp(t_k - w . x)), x = which vocabulary words a document has. The expected
+Grades 0 < 1 < 2 have ordered thresholds t1 < t2 and share one weight per feature:
+P(grade >= k) = 1 / (1 + exp(t_k - w . x)), x = which words and beginnings of words of a
+vocabulary a document has. The expected
 severity is P(grade >= 1) + P(grade >= 2). Labels only say toxic or not; a document labelled toxic
 is of grade 2 when it has more words that mark toxic documents than the median one, else of grade 1.
 
@@ -23,12 +24,13 @@ from huntlake.llm.common import column, id_and_text, map_slices
 from huntlake.session import pin
 
 SAMPLE = 20_000
-VOCABULARY = 2_000
+VOCABULARY = 5_000
 #: Documents of the sample that a word must be in.
 MIN_DOCUMENTS = 5
 #: Standard errors by which a word's shares in toxic and other documents must differ to be a feature;
 #: those more frequent in toxic documents mark them. Chance and wrong labels stay below.
-MARKER = 5.0
+MARKER = 4.0
+HEADS = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,6 +44,15 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+def features_of(text: str) -> set[str]:
+    """Words, and the heads of longer ones with a dash: inflected forms share a head."""
+    words = words_of(text)
+    found = set(words)
+    for k in HEADS:
+        found.update([w[:k] + "-" for w in words if len(w) > k])
+    return found
+
+
 @dataclass
 class Ordinal:
     weights: dict[str, float]
@@ -87,13 +98,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
         .dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    marked = id_and_text(docs).join(F.broadcast(chosen), "doc_id").limit(sample)  # at most `sample` rows of two numbers
+    # broadcast: at most `sample` rows of two numbers
+    marked = pin(id_and_text(docs).join(F.broadcast(chosen), "doc_id").limit(sample).select("toxic", "text"))
 
     def split():
-        return lambda rows: {"toxic": rows.column("toxic"), "words": [sorted(words_of(t)) for t in rows.column("text").to_pylist()]}
+        return lambda rows: {"toxic": rows.column("toxic"), "words": [sorted(features_of(t)) for t in rows.column("text").to_pylist()]}
 
-    seen = pin(map_slices(marked, split, "toxic int, words array<string>"))
-    n, n1 = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    seen = map_slices(marked, split, "toxic int, words array<string>")
+    n, n1 = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n0 = n - n1
     if not n1 or not n0:
         return Ordinal({}, np.array([50.0, 50.0]) if not n1 else np.array([-50.0, 50.0]))
@@ -111,9 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
 
     def numbered():
         return lambda rows: {"toxic": rows.column("toxic"), "places": [
-            [place[w] for w in words if w in place] for words in rows.column("words").to_pylist()]}
+            [place[w] for w in sorted(features_of(t) & place.keys())] for t in rows.column("text").to_pylist()]}
 
-    data = map_slices(seen.withColumn("text", F.lit("")), numbered, "toxic int, places array<int>").toArrow()
+    data = map_slices(marked, numbered, "toxic int, places array<int>").toArrow()
     places = data.column("places").combine_chunks()
     cols = places.flatten().to_numpy().astype(np.int64)
     rows = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy())
@@ -139,7 +151,7 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
         weight, known = own.weights, own.weights.keys()
 
         def step(rows):
-            scores = np.array([sum(weight[w] for w in sorted(known & words_of(t))) for t in rows.column("text").to_pylist()], float)
+            scores = np.array([sum(weight[w] for w in sorted(known & features_of(t))) for t in rows.column("text").to_pylist()], float)
             p = own.at_least(scores)
             grade = np.argmax(np.c_[1 - p[:, 0], p[:, 0] - p[:, 1], p[:, 1]], axis=1).astype(np.int32)
             return {"doc_id": rows.column("doc_id"), "severity": p.sum(axis=1), "grade": grade, "toxic": p[:, 0] > 0.5}
