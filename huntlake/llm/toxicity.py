@@ -26,10 +26,10 @@ from huntlake.session import pin
 SAMPLE = 20_000
 VOCABULARY = 5_000
 #: Documents of the sample that a word must be in.
-MIN_DOCUMENTS = 5
+MIN_DOCUMENTS = 8
 #: Standard errors by which a word's shares in toxic and other documents must differ to be a feature;
 #: those more frequent in toxic documents mark them. Chance and wrong labels stay below.
-MARKER = 4.0
+MARKER = 4.5
 HEADS = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -64,7 +64,7 @@ class Ordinal:
 
 
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_words: int,
-                ridge: float = 0.1, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+                ridge: float = 0.2, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient ascent (Adam) on the penalised likelihood. ``rows`` and
     ``cols`` are the places of the ones in the document by word matrix. Thresholds are kept in order
     by fitting the first and the logarithm of the step to the second."""
