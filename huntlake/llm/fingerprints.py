@@ -20,6 +20,8 @@ from huntlake.session import pin
 
 PASSAGE = 32
 DIGEST = 12
+#: Stands for a missing id inside a shuffle.
+NO_ID = -(1 << 63)
 _CUT = rf"[^.,;:!?|]{{1,{PASSAGE}}}[.,;:!?|]{{0,{PASSAGE}}}|[.,;:!?|]{{1,{PASSAGE}}}"
 
 
@@ -105,22 +107,24 @@ def with_following(docs: DataFrame) -> DataFrame:
     Where rows share an id, the least of their texts stands for it and all of them are followed
     alike. A row without an id is followed by the empty text. NULL text counts as empty.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    sliced = pin(ids.repartitionByRange("doc_id").withColumn("slice", F.spark_partition_id()))
-    ends = sliced.groupBy("slice").agg(F.max("doc_id").alias("greatest"))  # a row per slice
+    # never NULL, so that Spark adds no filter to one side and both joins below use the same shuffle
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    ids = rows.where(F.col("key") != NO_ID).select("key").distinct()
+    sliced = pin(ids.repartitionByRange("key").withColumn("slice", F.spark_partition_id()))
+    ends = sliced.groupBy("slice").agg(F.max("key").alias("greatest"))  # a row per slice
     before = ends.withColumn("carried", F.lag("greatest").over(Window.orderBy("slice")))
     last = ends.agg(F.max("greatest")).first()[0]
-    smaller = F.lag("doc_id").over(Window.partitionBy("slice").orderBy("doc_id"))
+    smaller = F.lag("key").over(Window.partitionBy("slice").orderBy("key"))
     pairs = (
         sliced.join(F.broadcast(before.select("slice", "carried")), "slice")
-        .select(F.col("doc_id").alias("owner"), F.coalesce(smaller, "carried", F.lit(last)).alias("next_id"))
+        .select(F.col("key").alias("owner"), F.coalesce(smaller, "carried", F.lit(last)).alias("next_key"))
     )
-    # lag, not row_number: the shuffle stays the one that the last join uses too
-    first = F.lag("doc_id").over(Window.partitionBy("doc_id").orderBy("text")).isNull()
-    once = rows.withColumn("first", first).where("first").select(F.col("doc_id").alias("next_id"), F.col("text").alias("following"))
-    found = once.join(pairs, "next_id").select(F.col("owner").alias("doc_id"), "following")
-    return rows.join(found, "doc_id", "left").withColumn("following", F.coalesce("following", F.lit("")))
+    first = F.lag("key").over(Window.partitionBy("key").orderBy("text")).isNull()
+    once = rows.withColumn("first", first).where("first").select(F.col("key").alias("next_key"), F.col("text").alias("following"))
+    found = once.join(pairs, "next_key").select(F.col("owner").alias("key"), "following")
+    joined = rows.join(found, "key", "left")
+    return joined.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce("following", F.lit("")).alias("following"))
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:
