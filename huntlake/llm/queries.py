@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from huntlake.llm import bpe, mixing, toxicity
 from huntlake.llm.common import documents
 from huntlake.llm.fingerprints import compared_with_next
+from huntlake.llm.ngram_join import near_duplicates
 from huntlake.llm.repetition import quality_rules
 from huntlake.llm.sanitise import KINDS, find_personal, printed
 from huntlake.llm.token_counts import token_counts
@@ -37,6 +38,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
