@@ -53,14 +53,15 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         start += rows
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """``make()`` once per task gives a function from a slice of rows to columns of ``schema``."""
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str = "text") -> DataFrame:
+    """``make()`` once per task gives a function from a slice of rows to columns of ``schema``;
+    ``text`` is the column whose bytes a slice bounds."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         step = make()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, text):
                 out = step(piece)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow

@@ -14,6 +14,7 @@ from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.ngram_join import near_duplicates
 from huntlake.llm.repetition import quality_rules
 from huntlake.llm.sanitise import KINDS, find_personal, printed
+from huntlake.llm.substrings import without_repeats
 from huntlake.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))[0]
