@@ -81,14 +81,15 @@ class Splitter:
 class Blocks:
     """Numbers the pre-tokens of a block."""
 
-    def __init__(self, splitter: Splitter):
-        self.splitter = splitter
+    def __init__(self, splitter: Splitter, digest: bool = False):
+        self.splitter, self.digest = splitter, digest
         self.start()
 
     def start(self):
         self.numbers: dict[str, int] = {}
         self.pieces = Cache(self._piece, PIECES)
         self.ids: list = []
+        self.digests: list[str] = []
         self.docs: list[np.ndarray] = []
         self.bytes = 0
 
@@ -109,6 +110,8 @@ class Blocks:
             flat = self._numbered(self.splitter.whole(head))
             flat.extend(chain.from_iterable(coded))
         self.ids.append(doc_id)
+        if self.digest:
+            self.digests.append(hashlib.sha256(text.encode()).hexdigest())
         self.docs.append(np.array(flat, np.uint32))
         self.bytes += len(text)
 
@@ -126,8 +129,8 @@ class Blocks:
         return int.from_bytes(hashlib.blake2b(joined.encode(), digest_size=8).digest(), "little", signed=True), tokens
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], splitter: Splitter, block_bytes: int) -> Iterator[Blocks]:
-    block = Blocks(splitter)
+def blocks_of(batches: Iterator[pa.RecordBatch], splitter: Splitter, block_bytes: int, digest: bool = False) -> Iterator[Blocks]:
+    block = Blocks(splitter, digest)
     for batch in batches:
         for rows in slices(batch):
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
@@ -158,8 +161,9 @@ def unpacked(data: bytes) -> np.ndarray:
     return numbers
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int) per row of ``docs``.
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES,
+           digest: bool = False) -> DataFrame:
+    """``doc_id`` and ``ids`` (array of int) per row of ``docs``; with ``digest`` also ``text_sha256``.
 
     NULL text counts as empty and gives an empty array. Repeated rows and equal ids give one
     result each, an empty table gives no rows, other columns are ignored; a very long text is a
@@ -198,7 +202,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             })
 
     def places(batches):
-        for block in blocks_of(batches, Splitter(pattern, odd), block_bytes):
+        for block in blocks_of(batches, Splitter(pattern, odd), block_bytes, digest):
             name, _ = block.finish()
             for i in range(0, len(block.ids), 512):
                 part = block.docs[i:i + 512]
@@ -207,10 +211,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
                     "doc_ids": pa.array([block.ids[i:i + 512]], pa.list_(pa.int64())),
                     "sizes": pa.array([[len(d) for d in part]], pa.list_(pa.int64())),
                     "numbers": pa.array([packed(np.concatenate(part))], pa.binary()),
+                    "digests": pa.array([block.digests[i:i + 512]], pa.list_(pa.string())),
                 })
 
     def assembled(placed: pa.Table, coded: pa.Table) -> pa.Table:
-        table = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+        table = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}
+                         | ({"text_sha256": pa.array([], pa.string())} if digest else {}))
         number = coded.column("number").to_numpy()
         order = np.unique(number, return_index=True)[1]
         ids = coded.column("ids").combine_chunks().take(pa.array(order))
@@ -230,7 +236,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             done.append(pa.table({
                 "doc_id": pa.array(placed.column("doc_ids")[row].as_py(), pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked.astype(np.int32), pa.int32())),
-            }))
+            } | ({"text_sha256": pa.array(placed.column("digests")[row].as_py(), pa.string())} if digest else {})))
         return pa.concat_tables(done) if done else table
 
     coded = (
@@ -238,8 +244,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         .repartition("word").sortWithinPartitions("word")
         .mapInArrow(merged, "block long, number int, ids binary")
     )
-    placed = source.mapInArrow(places, "block long, doc_ids array<long>, sizes array<long>, numbers binary")
-    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
+    placed = source.mapInArrow(places, "block long, doc_ids array<long>, sizes array<long>, numbers binary, digests array<string>")
+    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
+        assembled, "doc_id long, ids array<int>" + (", text_sha256 string" if digest else ""))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -269,3 +276,22 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def _values(cell: pa.ListScalar):
     return None if cell.values is None else cell.values.to_numpy()
+
+
+def with_round_trip(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """``encoded`` (with ``text_sha256``) as ``doc_id``, ``ids``, ``n_tokens`` and ``intact``: whether
+    the ids decode to the very text."""
+    shared = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+
+    def checked(batches):
+        token = shared.value.__getitem__
+        for batch in batches:
+            ids = [_values(x) for x in batch.column("ids")]
+            whole = [hashlib.sha256(b"".join(map(token, x.tolist()))).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "n_tokens": pa.array(map(len, ids), pa.int64()),
+                "intact": pa.array([a == b for a, b in zip(whole, batch.column("text_sha256").to_pylist())], pa.bool_()),
+            })
+
+    return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(
+        checked, "doc_id long, ids array<int>, n_tokens long, intact boolean")

@@ -17,6 +17,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,3 +160,18 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
         return step
 
     return map_slices(id_and_text(docs), make, "doc_id long, severity double, grade int, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """``docs`` without the rows that ``score`` would call toxic; columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        own = Ordinal(*shared.value)
+        weight, known = own.weights, own.weights.keys()
+        for batch in batches:
+            scores = np.array([sum(weight[w] for w in sorted(known & features_of(t or ""))) for t in batch.column(at).to_pylist()], float)
+            yield batch.filter(pa.array(own.at_least(scores)[:, 0] <= 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
