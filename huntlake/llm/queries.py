@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from huntlake.llm import bpe, mixing, toxicity
+from huntlake.llm import bpe, mixing, secret_scan, toxicity
 from huntlake.llm.common import documents
 from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.ngram_join import near_duplicates
@@ -44,6 +44,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
