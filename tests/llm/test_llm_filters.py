@@ -203,8 +203,8 @@ def test_schedule(spark, monkeypatch):
 
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    extra = docs.withColumns({"_kept": F.lit(1), "turn": F.lit("x"), "n_tokens": F.lit(None).cast("string")})
-    nulls = spark.createDataFrame([(None, None, None, None, None, None, None, None), (10 ** 7, None, "en", None, 0, 1, "", None)], extra.schema)
+    extra = docs.withColumns({"_kept": F.lit(None).cast("int"), "turn": F.lit(None).cast("string"), "_previous": F.lit(None).cast("string"), "n_tokens": F.lit(None).cast("string")})
+    nulls = spark.createDataFrame([(None,) * 9, (10 ** 7, None, "en", None, 0, 1, "", "x", None)], extra.schema)
     docs = extra.unionByName(nulls)
     sizes = []
     for name, stage in corpus_pipeline.STAGES:
