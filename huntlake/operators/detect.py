@@ -6,11 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huntlake.plans.ordered import HOT_ROWS, Ordered, by_key
+from huntlake.plans.quantiles import exact_quantiles
 from huntlake.plans.sizes import small_side
 from huntlake.session import pin
 
@@ -35,18 +37,23 @@ def baseline_zscore(df: DataFrame, key: str = "user_id", ts: str = "ts", days: i
     )
 
 
-def first_seen(df: DataFrame, entity: str, value: str, ts: str, baseline: tuple, recent: tuple) -> DataFrame:
+def first_seen(df: DataFrame, entity: str, value: str, ts: str, baseline: tuple, recent: tuple,
+               partition_date: str | None = None) -> DataFrame:
     """Pairs seen in the recent window and never in the baseline window; both are half-open. Missing
-    entities and values are not pairs."""
-    known_pair = F.col(entity).isNotNull() & F.col(value).isNotNull()
-
-    def pairs(window):
+    entities and values are not pairs. One scan and one shuffle; name the date partition column to
+    read only the folders of the two windows."""
+    def inside(window) -> Column:
         lo, hi = (F.lit(x).cast("timestamp_ntz") for x in window)
-        return df.where((F.col(ts) >= lo) & (F.col(ts) < hi) & known_pair)
+        time = (F.col(ts) >= lo) & (F.col(ts) < hi)
+        if partition_date:
+            time = time & (F.col(partition_date) >= F.to_date(lo)) & (F.col(partition_date) <= F.to_date(hi))
+        return time
 
-    known = pairs(baseline).select(entity, value).distinct()
-    fresh = pairs(recent).groupBy(entity, value).agg(F.min(ts).alias("first_ts"), F.count(F.lit(1)).alias("n"))
-    return fresh.join(known, [entity, value], "left_anti")
+    rows = df.where((inside(baseline) | inside(recent)) & F.col(entity).isNotNull() & F.col(value).isNotNull())
+    seen = rows.groupBy(entity, value).agg(
+        F.min(F.when(inside(recent), F.col(ts))).alias("first_ts"), F.count_if(inside(recent)).alias("n"),
+        F.count_if(inside(baseline)).alias("_known"))
+    return seen.where("_known = 0 and n > 0").drop("_known")
 
 
 # ---- order inside an entity -----------------------------------------------------------------
@@ -76,14 +83,21 @@ def user_sessions(df: DataFrame, key: str = "user_id", ts: str = "ts", event_id:
 
 
 def _events_of(df: DataFrame, source: str, ts: str, event_id: str) -> DataFrame:
-    """Fixed inner names, so that the caller's column names cannot clash with working columns."""
-    return df.select(F.col(source).alias("_src"), F.col(ts).alias("_ts"), F.col(event_id).alias("_id"))
+    """Fixed inner names, so that the caller's column names cannot clash with working columns. A row
+    without a time is in no window and is left out."""
+    return df.select(F.col(source).alias("_src"), F.col(ts).alias("_ts"), F.col(event_id).alias("_id")).where(F.col("_ts").isNotNull())
+
+
+def _each(df: DataFrame, copies: str) -> DataFrame:
+    """Every row as often as ``copies`` says: events delivered more than once count and are returned each time."""
+    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop("_copy", copies)
 
 
 def burst_detect(df: DataFrame, source: str = "source_ip", ts: str = "ts", event_id: str = "event_id",
                  maxretry: int = 5, findtime: int = 600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Failures with at least ``maxretry`` failures of the same source in the ``findtime`` seconds up
-    to and including their instant.
+    to and including their instant. Failures without a time are in no window; repeated rows count
+    and are returned each.
 
     The count is a difference of two running totals (at the event, and just before the window), so
     each row is touched a fixed number of times however many failures the window holds.
@@ -101,20 +115,20 @@ def burst_detect(df: DataFrame, source: str = "source_ip", ts: str = "ts", event
 
     def step(o: Ordered) -> DataFrame:
         w = Window.partitionBy("_src").orderBy("t", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        total = marks(o.df, F.lit(1).cast("long")).withColumn("c", F.sum("w").over(w))
-        counted = total.groupBy("_src", "_id", "_ts").agg((at_event - before_window).alias("n_failures"))
-        return counted.where(F.col("n_failures") >= maxretry)
+        total = marks(o.df, F.col("copies")).withColumn("c", F.sum("w").over(w))
+        counted = total.groupBy("_src", "_id", "_ts", "copies").agg((at_event - before_window).alias("n_failures"))
+        return _each(counted.where(F.col("n_failures") >= maxretry), "copies")
 
     def hot(rows: DataFrame) -> DataFrame:
         # one mark pair per instant, so that many rows at one instant stay one weighted mark
-        instants = rows.groupBy("_src", "_ts").agg(F.count(F.lit(1)).alias("w"))
+        instants = rows.groupBy("_src", "_ts").agg(F.sum("copies").alias("w"))
         total = Ordered.slices(marks(instants, F.col("w")), ["_src"], ["t", "kind"]).running_sum("c", F.col("w")).df
         full = total.groupBy("_src", "_ts").agg((at_event - before_window).alias("n_failures")) \
             .where(F.col("n_failures") >= maxretry)
         same = rows["_src"].eqNullSafe(full["_src"]) & (rows["_ts"] == full["_ts"])
-        return rows.join(full, same).select(rows["_src"], rows["_id"], rows["_ts"], "n_failures")
+        return _each(rows.join(full, same).select(rows["_src"], rows["_id"], rows["_ts"], "copies", "n_failures"), "copies")
 
-    rows = _events_of(df, source, ts, event_id)
+    rows = _events_of(df, source, ts, event_id).groupBy("_src", "_id", "_ts").agg(F.count(F.lit(1)).alias("copies"))
     return by_key(rows, ["_src"], ["_ts", "_id"], step, hot_rows, hot).withColumnsRenamed(
         {"_src": source, "_id": event_id, "_ts": ts})
 
@@ -122,12 +136,14 @@ def burst_detect(df: DataFrame, source: str = "source_ip", ts: str = "ts", event
 def ban_intervals(df: DataFrame, source: str = "source_ip", ts: str = "ts", event_id: str = "event_id",
                   maxretry: int = 5, findtime: int = 600, bantime: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Bans per source: the failure that completes ``maxretry`` within ``findtime`` opens a ban of
-    ``bantime`` seconds; failures inside it are ignored and counting restarts after it."""
+    ``bantime`` seconds; failures inside it are ignored and counting restarts after it. Failures
+    without a time are left out; repeated rows count each."""
     rows = _events_of(df, source, ts, event_id).where(F.col("_src").isNotNull())  # no source, nobody to ban
 
-    def bans_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_ts", "_id"], kind="stable")
-        t = pdf["_ts"].to_numpy().astype("datetime64[us]").astype("int64")
+    def bans_of(events: pa.Table) -> pa.Table:
+        # NULL ids first, as Spark sorts them
+        events = events.take(pc.sort_indices(events, [("_ts", "ascending"), ("_id", "ascending")], null_placement="at_start"))
+        t = events.column("_ts").to_numpy().astype("datetime64[us]").astype("int64")
         m = maxretry - 1
         full = np.flatnonzero(t[m:] - t[: max(len(t) - m, 0)] <= findtime * 1_000_000) + m
         start, found = 0, []
@@ -137,11 +153,11 @@ def ban_intervals(df: DataFrame, source: str = "source_ip", ts: str = "ts", even
                 break
             found.append(full[at])
             start = np.searchsorted(t, t[full[at]] + bantime * 1_000_000, side="left")
-        return pdf.iloc[found]
+        return events.take(pa.array(found, pa.int64()))
 
     def step(o: Ordered) -> DataFrame:
         # ordinary sources only: at most hot_rows failures, or 1/MAX_HOT_KEYS of all
-        return o.df.groupBy("_src").applyInPandas(bans_of, rows.schema)
+        return o.df.groupBy("_src").applyInArrow(bans_of, rows.schema)
 
     def hot(part: DataFrame) -> DataFrame:
         return _chained_bans(part, maxretry, findtime, bantime)
@@ -164,7 +180,7 @@ def _chained_bans(rows: DataFrame, maxretry: int, findtime: int, bantime: int) -
     full = F.coalesce(F.col("_ts") <= F.col("back_ts") + _secs(findtime), F.lit(False))
     flagged = base.join(back, ["_src", "r"], "left").select("_src", "_id", "_ts", "r", full.cast("long").alias("full"))
     # k: number of full points so far
-    points = pin(Ordered.slices(flagged, ["_src"], ["_ts", "_id"]).running_sum("k", F.col("full")).df.drop("_slice"))
+    points = pin(Ordered.slices(flagged, ["_src"], ["r"]).running_sum("k", F.col("full")).df.drop("_slice"))
     bursts = points.where("full = 1")
     # how many failures lie before the end of a ban opened here
     marks = points.select("_src", F.col("_ts").alias("t"), F.lit(1).alias("kind"), F.col("r").alias("no"), one.alias("w")).unionByName(
@@ -204,13 +220,16 @@ def _marks(df: DataFrame, keys: dict[str, str], is_a: Column, is_b: Column, ts:
     )
     b_marks = F.array(F.struct(F.col("_ts").alias("t"), F.lit(_B).alias("kind")))
     none = F.filter(a_marks, lambda _: F.lit(False))
-    rows = df.where(is_a | is_b).select(
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = df.where(yes(is_a) | yes(is_b)).select(
         *[F.col(c).alias(n) for n, c in keys.items()], F.col(event_id).alias("_id"), F.col(ts).alias("_ts"),
-        is_a.alias("a"), is_b.alias("b"))
-    for n in keys:
-        rows = rows.where(F.col(n).isNotNull())  # no entity, nothing to follow
+        yes(is_a).alias("a"), yes(is_b).alias("b"))
+    for n in [*keys, "_ts"]:
+        rows = rows.where(F.col(n).isNotNull())  # no entity, nothing to follow; no time, in no window
+    # an event delivered more than once is one row that counts so often
+    rows = rows.groupBy(*keys, "_id", "_ts", "a", "b").agg(F.count(F.lit(1)).alias("copies"))
     marks = F.concat(F.when(F.col("a"), a_marks).otherwise(none), F.when(F.col("b"), b_marks).otherwise(none))
-    return rows.withColumn("m", F.explode(marks)).select(*keys, "_id", "_ts", "m.*")
+    return rows.withColumn("m", F.explode(marks)).select(*keys, "_id", "_ts", "a", "b", "copies", "m.*")
 
 
 _ORDER = ["t", "kind", "_id"]
@@ -221,28 +240,32 @@ def _at(kind: int, column: str = "c") -> Column:
 
 
 def _b_weight() -> Column:
-    return F.when(F.col("kind") == _B, 1).otherwise(0).cast("long")
+    return F.when(F.col("kind") == _B, F.col("copies")).otherwise(0).cast("long")
 
 
 def correlate_interval(df: DataFrame, is_a: Column, is_b: Column, key: str = "user_id", ts: str = "ts",
                        event_id: str = "event_id", within: int = 3600, hot_rows: int = HOT_ROWS) -> DataFrame:
     """A rows followed by B rows of the same entity, strictly later and at most ``within`` seconds:
-    the first follower, and how many there are. Running totals only; no pairs are formed."""
+    the first follower, and how many there are. Rows without a time take no part; repeated rows count
+    and are returned each. Running totals only; no pairs are formed."""
+
+    event = ["_k", "_id", "_ts", "a", "b", "copies"]
 
     def cold(o: Ordered) -> DataFrame:
         back = Window.partitionBy("_k").orderBy(*[F.desc(c) for c in _ORDER]).rowsBetween(Window.unboundedPreceding, 0)
         b_row = F.when(F.col("kind") == _B, F.struct(F.col("_id").alias("b_id"), F.col("_ts").alias("b_ts")))
         df = o.running_sum("c", _b_weight()).df.withColumn("next_b", F.last(b_row, ignorenulls=True).over(back))
-        one = df.groupBy("_k", "_id", "_ts").agg((_at(_A_END) - _at(_A_START)).alias("n"), _at(_A_START, "next_b").alias("b"))
-        return one.where(F.col("n") > 0).select("_k", "_id", "_ts", "b.b_id", "b.b_ts", "n")
+        one = df.groupBy(*event).agg((_at(_A_END) - _at(_A_START)).alias("n"), _at(_A_START, "next_b").alias("first_b"))
+        return _each(one.where(F.col("n") > 0).select("_k", "_id", "_ts", "copies", "first_b.b_id", "first_b.b_ts", "n"), "copies")
 
     def hot(rows: DataFrame) -> DataFrame:
         total = Ordered.slices(rows, ["_k"], _ORDER).running_sum("c", _b_weight()).df
-        one = pin(total.groupBy("_k", "_id", "_ts").agg(
-            _at(_B).alias("b_no"), (_at(_A_START) + 1).alias("no"), (_at(_A_END) - _at(_A_START)).alias("n")))
+        # a B row is numbered by the first of its copies: the total before it, and one
+        one = pin(total.groupBy(*event).agg(
+            (_at(_B) - F.col("copies") + 1).alias("b_no"), (_at(_A_START) + 1).alias("no"), (_at(_A_END) - _at(_A_START)).alias("n")))
         b = one.where(F.col("b_no").isNotNull()).select(
             "_k", F.col("b_no").alias("no"), F.col("_id").alias("b_id"), F.col("_ts").alias("b_ts"))
-        return one.where(F.col("n") > 0).join(b, ["_k", "no"]).select("_k", "_id", "_ts", "b_id", "b_ts", "n")
+        return _each(one.where(F.col("n") > 0).join(b, ["_k", "no"]).select("_k", "_id", "_ts", "copies", "b_id", "b_ts", "n"), "copies")
 
     marks = _marks(df, {"_k": key}, is_a, is_b, ts, event_id, within)
     return by_key(marks, ["_k"], _ORDER, cold, hot_rows, hot).withColumnsRenamed(
@@ -255,21 +278,27 @@ def correlate_sources(df: DataFrame, is_a: Column, is_b: Column, key: str = "use
     """A rows followed by B rows of the same entity seen by another source system, with their number:
     all followers less those of the same source. Rows of unknown source are neither."""
 
+    event = ["_k", "_s", "_id", "_ts", "a", "b", "copies"]
+
     def cold(o: Ordered) -> DataFrame:
         # both windows are served by one shuffle on the entity
         both = Ordered(o.running_sum("c", _b_weight()).df, ["_k", "_s"], _ORDER).running_sum("d", _b_weight()).df
         n = (_at(_A_END) - _at(_A_START)) - (_at(_A_END, "d") - _at(_A_START, "d"))
-        return both.groupBy("_k", "_id", "_ts").agg(n.alias("n_other")).where(F.col("n_other") > 0)
+        found = both.groupBy(*event).agg(n.alias("n_other")).where(F.col("n_other") > 0)
+        return _each(found.select("_k", "_id", "_ts", "copies", "n_other"), "copies")
 
     def hot(rows: DataFrame) -> DataFrame:
-        def followers(keys: list[str]) -> DataFrame:
-            total = Ordered.slices(rows, keys, _ORDER).running_sum("c", _b_weight()).df
-            return total.groupBy("_k", "_id", "_ts").agg((_at(_A_END) - _at(_A_START)).alias("n")).where(F.col("n") > 0)
-
-        same = followers(["_k", "_s"]).select("_k", "_id", F.col("n").alias("same"))
-        out = followers(["_k"]).join(same, ["_k", "_id"], "left")
-        return out.select("_k", "_id", "_ts", (F.col("n") - F.coalesce("same", F.lit(0))).alias("n_other")) \
-            .where(F.col("n_other") > 0)
+        def followers(keys: list[str], out: str) -> DataFrame:
+            total = Ordered.slices(rows, keys, [*_ORDER, "_s"]).running_sum("c", _b_weight()).df
+            return total.groupBy(*event).agg((_at(_A_END) - _at(_A_START)).alias(out)).where(F.col(out) > 0)
+
+        every, same = followers(["_k"], "n"), followers(["_k", "_s"], "same")
+        match = F.lit(True)
+        for c in event:
+            match = match & every[c].eqNullSafe(same[c])
+        out = every.join(same, match, "left").select(
+            every["_k"], every["_id"], every["_ts"], every["copies"], (F.col("n") - F.coalesce("same", F.lit(0))).alias("n_other"))
+        return _each(out.where(F.col("n_other") > 0), "copies")
 
     marks = _marks(df, {"_k": key, "_s": source}, is_a, is_b, ts, event_id, within)
     return by_key(marks, ["_k"], _ORDER, cold, hot_rows, hot).withColumnsRenamed({"_k": key, "_id": "a_id", "_ts": "a_ts"})
@@ -341,7 +370,7 @@ def user_features(df: DataFrame, key: str = "user_id", event_type: str = "event_
 def model_anomaly(features: DataFrame, key: str, columns: Sequence[str], k: int = 5, seed: int = 42,
                   quantile: float = 0.99) -> DataFrame:
     """Entities far from their cluster centre: standardized features, KMeans, distance above the
-    given quantile."""
+    exact given quantile."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -354,5 +383,6 @@ def model_anomaly(features: DataFrame, key: str, columns: Sequence[str], k: int
     diff = F.zip_with(vector_to_array("_x"), F.get(centers, F.col("cluster")), lambda a, b: (a - b) * (a - b))
     scored = model.transform(data).withColumn(
         "distance", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, d: acc + d)))
-    cut = scored.agg(F.percentile_approx("distance", quantile, 10_000)).scalar()
-    return scored.where(F.col("distance") > cut).select(key, "cluster", "distance")
+    scored = pin(scored.select(key, "cluster", "distance"))
+    cut = exact_quantiles(scored, ["distance"], [quantile]).select("q").first()
+    return scored.where(F.col("distance") > F.lit(cut.q if cut else None).cast("double"))

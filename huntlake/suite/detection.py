@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from huntlake.operators import detect as D
-from huntlake.suite.base import ev_sql, events, query, table
+from huntlake.suite.base import ORACLES, ev_sql, events, query, table
 
 
 @query("baseline_zscore", ev_sql("""
@@ -81,8 +81,6 @@ def ban_intervals(spark, sf):
     return D.ban_intervals(events(spark, sf).where("event_type = 'error'"), **BAN_RULE)
 
 
-
-
 @query("correlate_interval", ev_sql("""
 SELECT a.user_id, a.event_id AS a_id, a.ts AS a_ts, arg_min(b.event_id, (b.ts, b.event_id)) AS b_id, min(b.ts) AS b_ts, count(*) AS n_followers
 FROM ev a JOIN ev b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
@@ -102,6 +100,42 @@ def correlate_sources(spark, sf):
     return D.correlate_sources(events(spark, sf), t == "error", t == "purchase")
 
 
+# The same answers when keys are cut into slices: every entity with more than HOT rows counts as hot.
+HOT = 20
+
+
+@query("behavior_gaps_hot", ORACLES["behavior_gaps"])
+def behavior_gaps_hot(spark, sf):
+    return D.behavior_gaps(events(spark, sf), hot_rows=HOT)
+
+
+@query("user_sessions_hot", ORACLES["user_sessions"])
+def user_sessions_hot(spark, sf):
+    return D.user_sessions(events(spark, sf), gap_seconds=6 * 3600, hot_rows=HOT)
+
+
+@query("burst_detect_hot", ORACLES["burst_detect"])
+def burst_detect_hot(spark, sf):
+    return D.burst_detect(events(spark, sf).where("event_type = 'error'"), maxretry=2, hot_rows=HOT)
+
+
+@query("ban_intervals_hot", BANS_SQL)
+def ban_intervals_hot(spark, sf):
+    return D.ban_intervals(events(spark, sf).where("event_type = 'error'"), **BAN_RULE, hot_rows=HOT)
+
+
+@query("correlate_interval_hot", ORACLES["correlate_interval"])
+def correlate_interval_hot(spark, sf):
+    t = F.col("event_type")
+    return D.correlate_interval(events(spark, sf), t == "error", t == "purchase", hot_rows=HOT)
+
+
+@query("correlate_sources_hot", ORACLES["correlate_sources"])
+def correlate_sources_hot(spark, sf):
+    t = F.col("event_type")
+    return D.correlate_sources(events(spark, sf), t == "error", t == "purchase", hot_rows=HOT)
+
+
 @query("attack_map", ev_sql("""
 SELECT event_id, user_id, process_name, technique, 'execution' AS tactic FROM ev JOIN (VALUES
   ('T1059.001', '%powershell%'), ('T1059.003', '%cmd.exe%'), ('T1059.004', '%bash%'), ('T1059.006', '%python%')) r(technique, pattern)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from huntlake.functions import masking as M
 from huntlake.functions import pii as D
 from huntlake.operators import privacy as P
-from huntlake.suite.base import KEY, SALT, ev_sql, events, query, table
+from huntlake.suite.base import KEY, ORACLES, SALT, ev_sql, events, query, table
 
 
 def _h(expr: str) -> str:
@@ -246,6 +246,11 @@ def deanonymize(spark, sf):
     return _answers(spark, sf).select("request_id", "user", "field_type", "reason_code", "revealed", "original_value")
 
 
+@query("deanonymize_hot", ORACLES["deanonymize"])
+def deanonymize_hot(spark, sf):
+    return _answers(spark, sf, hot_rows=20).select("request_id", "user", "field_type", "reason_code", "revealed", "original_value")
+
+
 @query("deanon_audit", ev_sql("""
 SELECT "user", req_ts AS timestamp, field_type AS field, reason, reason_code AS approval,
        reason_code IN ('level3', 'approved') AND original IS NOT NULL AS revealed, request_id FROM coded""", ANSWERS))

@@ -133,6 +133,42 @@ def test_cross_source_equals_pairs(skewed):
         assert data(got) == sorted(want, key=repr)
 
 
+@pytest.fixture(scope="module")
+def untidy(skewed):
+    """Events delivered up to three times, NULL times and NULL ids."""
+    again = skewed.where("event_id % 5 = 0").union(skewed.where("event_id % 10 = 0"))
+    odd = skewed.withColumns({"ts": F.when(F.col("event_id") % 7 != 0, F.col("ts")), "event_id": F.when(F.col("event_id") % 11 != 0, F.col("event_id"))})
+    df = odd.union(again).withColumn("source_system", F.concat(F.lit("s"), (F.hash("ts") % 3).cast("string")))
+    df.cache()
+    return df
+
+
+@pytest.mark.parametrize("hot_rows", [0, 20])
+def test_untidy_rows_give_one_answer(untidy, hot_rows):
+    a, b = F.col("event_type") == "a", F.col("event_type") == "b"
+    cases = [
+        lambda n: D.burst_detect(untidy, "k", maxretry=4, findtime=60, hot_rows=n),
+        lambda n: D.ban_intervals(untidy, "k", maxretry=3, findtime=200, bantime=400, hot_rows=n),
+        lambda n: D.correlate_interval(untidy, a, b, "k", within=30, hot_rows=n),
+        lambda n: D.correlate_sources(untidy, a, b, "k", within=30, hot_rows=n),
+    ]
+    for case in cases:
+        want = data(case(10**9))
+        assert want and data(case(hot_rows)) == want
+
+
+def test_untidy_counts(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(1, at(0), "x", "a")] * 3 + [(2, at(5), "x", "b")] * 2 + [(3, None, "x", "a")] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot_rows in (0, 10**9):
+        bursts = D.burst_detect(df.where("event_type = 'a'"), "k", maxretry=2, hot_rows=hot_rows).collect()
+        assert [(r.event_id, r.n_failures) for r in bursts] == [(1, 3)] * 3
+        assert D.ban_intervals(df.where("event_id = 3"), "k", maxretry=2, hot_rows=hot_rows).isEmpty()
+        found = D.correlate_interval(df, F.col("event_type") == "a", F.col("event_type") == "b", "k", hot_rows=hot_rows).collect()
+        assert [(r.a_id, r.b_id, r.n_followers) for r in found] == [(1, 2, 2)] * 3
+
+
 def test_quantiles(spark):
     df = spark.createDataFrame([(float(i % 17), i if i % 5 else None) for i in range(101)], "a double, b int")
     got = {(r.column_name, r.p): r.q for r in exact_quantiles(df, ["a", "b"], (0.0, 0.25, 0.5, 0.9, 1.0)).collect()}
