@@ -3,12 +3,11 @@
 Positions modulo 13 that lie in {0, 1, 3, 9} form a difference cover: for any two positions there is
 a shift below 13 that moves both into it. Two equal windows of 20 words therefore hold, at the same
 shift, two equal windows of 20 - 12 = 8 words that both start at cover positions. Only those short
-windows, 4 of 13, are hashed and shuffled. Where one occurs twice, it is extended: the windows of
-20 words around it are hashed, and of equal ones all but the earliest are removed. No pairs of
-documents are formed, so a passage that millions share costs a row for each.
+windows, 4 of 13, are hashed and compared between slices. Where one occurs twice, it is extended: the
+windows of 20 words around it are hashed, and of equal ones all but the earliest are removed. No
+pairs of documents are formed, so a passage that millions share costs one key per slice.
 
-Documents with equal words are one row of the search: of those, all but the first are removed whole.
-Within a slice of documents, what is repeated there already competes once for all its copies.
+Documents with equal words are searched once: of those, all but the first are removed whole.
 """
 
 from __future__ import annotations
@@ -17,14 +16,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from huntlake.llm.common import id_and_text, map_slices, slices
-from huntlake.llm.words import WordHashes, digest, mixed, runs
-from huntlake.session import pin
+from huntlake.llm.common import id_and_text
+from huntlake.llm.exchange import (
+    BLOCK, answers, blocks, bucket_count, grouped, make_slices, per_document, read_answers, store, unpack,
+)
+from huntlake.llm.words import WordHashes, digest, runs
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -33,144 +32,138 @@ ANCHOR = WINDOW - PERIOD + 1
 LAST_ID = (1 << 63) - 1
 
 
-def _sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
-def _sequences(docs: DataFrame) -> DataFrame:
-    """Per row: id, number of words, a hash of their sequence and the digest of all of them."""
-    def make():
+def _sha(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _describe():
+    """``n``: windows of a text; ``name``: hash of its sequence of words."""
+    hashes = WordHashes(lower=False)
+
+    def step(texts):
+        words = [hashes.words(t) for t in texts]
+        return {
+            "n": [max(len(w) - WINDOW + 1, 0) for w in words], "words": [len(w) for w in words],
+            "name": [digest(np.fromiter(map(hashes.known.__getitem__, w), np.uint64, len(w))) for w in words],
+            "whole": [_sha(w) for w in words],
+        }
+
+    return step
+
+
+class _Slice:
+    """The texts of a slice that are the first of their words, with the hashes of their windows."""
+
+    def __init__(self, row: dict, hashes: WordHashes, keep_words: bool = False):
+        first = {x["name"]: x["doc_id"] for x in row["own"]}
+        self.id, self.names, self.docs, self.hashed, self.words = row["slice"], [], [], [], []
+        for name, text in unpack(row):
+            if name in first:
+                self.names.append(name)
+                self.docs.append(first[name])
+                self.hashed.append(hashes(text))
+                if keep_words:
+                    self.words.append(hashes.words(text))
+
+    def anchors(self):
+        """Key, text and position of the short windows at cover positions."""
+        cover = np.isin(np.arange(PERIOD), COVER)
+        at = [np.flatnonzero(cover[np.arange(len(h) - ANCHOR + 1) % PERIOD]) for h in self.hashed]
+        key = np.concatenate([runs(h, ANCHOR)[a] for h, a in zip(self.hashed, at)])
+        return key, np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
+
+    def windows(self, row: dict, buckets: int):
+        """Key, text and start of the long windows that hold a repeated short one at a shift below
+        the period."""
+        key, text, at = self.anchors()
+        known, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        twice = ((count > 1) | read_answers(known, row["anchors"], buckets)[0])[inverse]
+        text, at = text[twice], at[twice]
+        borders = np.searchsorted(text, np.arange(len(self.hashed) + 1))
+        keys, starts = [], []
+        for i, h in enumerate(self.hashed):
+            mine, m = at[borders[i]:borders[i + 1]], len(h) - WINDOW + 1
+            low = np.maximum(mine - (PERIOD - 1), 0)
+            mine, low = mine[low < m], low[low < m]
+            edge = np.bincount(low, minlength=m + 1) - np.bincount(np.minimum(mine, m - 1) + 1, minlength=m + 1)
+            found = np.flatnonzero(np.cumsum(edge[:m]) > 0)
+            starts.append(found)
+            keys.append(runs(h, WINDOW)[found] if len(found) else np.empty(0, np.uint64))
+        text = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        return np.concatenate(keys), text, np.concatenate(starts)
+
+
+def _anchor_requests(work: DataFrame, buckets: int) -> DataFrame:
+    def run(batches):
         hashes = WordHashes(lower=False)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = _Slice(batch.slice(i, 1).to_pylist()[0], hashes)
+                key, count = np.unique(s.anchors()[0], return_counts=True)
+                same = np.full(len(key), s.id, np.int64)
+                yield _batch(blocks(s.id, key, same, np.zeros_like(same), count > 1, buckets))
 
-        def step(rows):
-            words = [hashes.words(t) for t in rows.column("text").to_pylist()]
-            return {
-                "doc_id": rows.column("doc_id"), "n_words": [len(w) for w in words],
-                "seq": [digest(np.fromiter(map(hashes.known.__getitem__, w), np.uint64, len(w))) for w in words],
-                "whole": [_sha(w) for w in words],
-            }
+    return work.mapInArrow(run, BLOCK)
 
-        return step
 
-    return map_slices(docs, make, "doc_id long, n_words long, seq long, whole string")
+def _batch(out: dict) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(key, seq, at, known) for the short windows at cover positions. ``known``: repeated in its
-    slice; such a row has a key of its own, and one more row competes for its short window."""
+def _window_requests(work: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
     def run(batches):
-        hashes, seen, cover = WordHashes(lower=False), set(), np.isin(np.arange(PERIOD), COVER)
+        hashes = WordHashes(lower=False)
         for batch in batches:
-            for rows in slices(batch):
-                found, names, places = [], [], []
-                for text in rows.column("text").to_pylist():
-                    h = hashes(text)
-                    if len(h) < WINDOW:
-                        continue
-                    name = digest(h)
-                    if name in seen:
-                        continue
-                    seen.add(name)
-                    at = np.flatnonzero(cover[np.arange(len(h) - ANCHOR + 1) % PERIOD])
-                    found.append(runs(h, ANCHOR)[at])
-                    names.append(np.full(len(at), name, np.int64))
-                    places.append(at.astype(np.int32))
-                if not found:
-                    continue
-                key, seq, at = map(np.concatenate, (found, names, places))
-                _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                known = count[inverse] > 1
-                own = mixed(seq.astype(np.uint64) * np.uint64(31) + at.astype(np.uint64))
-                competes = first[count > 1]
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.r_[np.where(known, own, key), key[competes]].astype(np.int64)),
-                    "seq": pa.array(np.r_[seq, seq[competes]]), "at": pa.array(np.r_[at, at[competes]]),
-                    "known": pa.array(np.r_[known, np.zeros(len(competes), bool)]),
-                })
-
-    return docs.mapInArrow(run, "key long, seq long, at int, known boolean")
-
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                s = _Slice(row, hashes)
+                key, text, _ = s.windows(row, anchor_buckets)
+                key, doc, name, several, _ = grouped(key, np.array(s.docs, np.int64)[text], np.array(s.names, np.int64)[text])
+                yield _batch(blocks(s.id, key, doc, name, several, buckets))
 
-def _packed(docs: DataFrame) -> DataFrame:
-    def make():
-        press = zstandard.ZstdCompressor(level=3).compress
-        return lambda rows: {"doc_id": rows.column("doc_id"), "body": [press(t.encode()) for t in rows.column("text").to_pylist()]}
+    return work.mapInArrow(run, BLOCK)
 
-    return map_slices(docs, make, "doc_id long, body binary")
 
-
-def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (doc_id, seq, places) with the packed text of that sequence; a task gives it once."""
-    def run(batches):
-        hashes, seen, open_ = WordHashes(lower=False), set(), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            keep = []
-            for name, body in zip(batch.column("seq").to_pylist(), batch.column("body").to_pylist()):
-                # rows that share an id may be different texts
-                good = name not in seen and digest(hashes(open_(body).decode())) == name
-                if good:
-                    seen.add(name)
-                keep.append(good)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    found = _packed(docs).join(wanted, "doc_id").select("doc_id", "seq", "places", "body")
-    return found.mapInArrow(run, "doc_id long, seq long, places array<int>, body binary")
-
-
-def _windows(bodies: DataFrame) -> DataFrame:
-    """(key, doc_id, seq, at, known) for the long windows that hold a repeated short one at a shift
-    below the period. ``known``: not the earliest of its slice."""
+def _cut(work: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
+    """(seq, n_removed, kept) for the searched texts that lose words."""
     def run(batches):
-        hashes, open_ = WordHashes(lower=False), zstandard.ZstdDecompressor().decompress
+        hashes = WordHashes(lower=False)
         for batch in batches:
-            for rows in slices(batch, "body"):
-                found, docs, names, places = [], [], [], []
-                for doc_id, name, at, body in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "seq", "places", "body"))):
-                    h = hashes(open_(body).decode())
-                    m = len(h) - WINDOW + 1
-                    edge, at = np.zeros(m + 1, np.int32), np.array(at, np.int64)
-                    low = np.maximum(at - (PERIOD - 1), 0)
-                    inside = low < m
-                    np.add.at(edge, low[inside], 1)
-                    np.add.at(edge, np.minimum(at[inside], m - 1) + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(edge[:m]) > 0)
-                    found.append(runs(h, WINDOW)[starts])
-                    docs.append(np.full(len(starts), doc_id, np.int64))
-                    names.append(np.full(len(starts), name, np.int64))
-                    places.append(starts.astype(np.int32))
-                key, doc, seq, at = map(np.concatenate, (found, docs, names, places))
-                order = np.lexsort((at, seq, doc, key))
-                key, doc, seq, at = key[order], doc[order], seq[order], at[order]
-                known = np.r_[False, key[1:] == key[:-1]] if len(key) else np.empty(0, bool)
-                own = mixed(seq.astype(np.uint64) * np.uint64(31) + at.astype(np.uint64))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                s = _Slice(row, hashes, keep_words=True)
+                key, text, at = s.windows(row, anchor_buckets)
+                doc, name = np.array(s.docs, np.int64)[text], np.array(s.names, np.int64)[text]
+                known, least, tie, _, _ = grouped(key, doc, name)
+                yes, other, other_tie = read_answers(known, row["windows"], buckets)
+                least, tie = np.where(yes, other, least), np.where(yes, other_tie, tie)
+                order = np.lexsort((at, name, doc, key))
+                key, doc, name, text, at = key[order], doc[order], name[order], text[order], at[order]
+                of = np.searchsorted(known, key)
+                stays = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+                stays &= (doc == least[of]) & (name == tie[of])
+                text, at = text[~stays], at[~stays]
+                order = np.argsort(text, kind="stable")
+                text, at = text[order], at[order]
+                out = {"seq": [], "n_removed": [], "kept": []}
+                for t, lo, hi in zip(*_runs_of(text)):
+                    words = s.words[t]
+                    edge = np.bincount(at[lo:hi], minlength=len(words) + 1) - np.bincount(at[lo:hi] + WINDOW, minlength=len(words) + 1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    out["seq"].append(s.names[t])
+                    out["n_removed"].append(int(gone.sum()))
+                    out["kept"].append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
                 yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(np.where(known, own, key).astype(np.int64)), "doc_id": pa.array(doc),
-                    "seq": pa.array(seq), "at": pa.array(at), "known": pa.array(known),
-                })
-
-    return bodies.mapInArrow(run, "key long, doc_id long, seq long, at int, known boolean")
-
-
-def _cut(bodies: DataFrame) -> DataFrame:
-    """(seq, n_removed, kept) for rows with a packed text and the starts of windows to remove."""
-    def make():
-        open_ = zstandard.ZstdDecompressor().decompress
+                    "seq": pa.array(out["seq"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
+                    "kept": pa.array(out["kept"], pa.string())})
 
-        def step(rows):
-            removed, kept = [], []
-            for starts, body in zip(rows.column("starts").to_pylist(), rows.column("body").to_pylist()):
-                words = open_(body).split()
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, np.array(starts) + WINDOW, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
-            return {"seq": rows.column("seq"), "n_removed": removed, "kept": kept}
+    return work.mapInArrow(run, "seq long, n_removed long, kept string")
 
-        return step
 
-    return map_slices(bodies, make, "seq long, n_removed long, kept string", "body")
+def _runs_of(sorted_: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    values, start = np.unique(sorted_, return_index=True)
+    return values.tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_)]
 
 
 def without_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,29 +176,26 @@ def without_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words. An empty table gives no rows; other columns are ignored.
     """
     rows = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)))
-    counted = pin(_sequences(rows))
-    first = counted.where(F.col("n_words") >= WINDOW).groupBy("seq").agg(F.min("doc_id").alias("first_id"))
-
-    of_key = Window.partitionBy("key")
-    place = F.struct("seq", "at")
-    anchors = (
-        _anchors(rows).withColumn("low", F.min(place).over(of_key)).withColumn("high", F.max(place).over(of_key))
-        .where("known or low <> high")
-    )
-    places = anchors.groupBy("seq").agg(F.collect_set("at").alias("places"))  # at most as many as words
-    wanted = places.join(first, "seq").select(F.col("first_id").alias("doc_id"), "seq", "places")
-    bodies = pin(_bodies(rows, wanted))
-
-    spot = F.struct("doc_id", "seq", "at")
-    later = _windows(bodies).withColumn("low", F.min(spot).over(of_key)).where(F.col("known") | (spot != F.col("low")))
-    starts = later.groupBy("seq").agg(F.collect_set("at").alias("starts"))
-    cut = _cut(bodies.join(starts, "seq").select("seq", "starts", "body"))
-
-    digests = cut.select("seq", F.col("n_removed").alias("cut_words"), F.sha2("kept", 256).alias("cut_sha"))
-    joined = counted.join(first, "seq", "left").join(digests, "seq", "left")
+    slices = make_slices(rows, _describe, ", words array<long>, whole array<binary>")
+    counted = per_document(slices, "doc_id", "n", "name", "words", "whole")
+    first = counted.where("n > 0").groupBy("name").agg(
+        F.min(F.struct("doc_id", "slice")).alias("at"), F.min("n").alias("n"))
+    first = store(first.select("name", F.col("at.slice").alias("slice"), F.col("at.doc_id").alias("first_id"), "n"), "first")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    own = first.groupBy("slice").agg(F.collect_list(F.struct("name", F.col("first_id").alias("doc_id"))).alias("own"))
+    work = slices.select("slice", "packed", "sizes", "body").join(own, "slice")
+
+    few, many = bucket_count(docs, total * len(COVER) // PERIOD), bucket_count(docs, total)
+    anchors = store(answers(_anchor_requests(work, few)), "anchors").withColumnRenamed("answers", "anchors")
+    work = work.join(anchors, "slice", "left")
+    windows = store(answers(_window_requests(work, few, many)), "windows").withColumnRenamed("answers", "windows")
+    cut = _cut(work.join(windows, "slice", "left"), few, many)
+
+    digests = cut.select(F.col("seq").alias("name"), F.col("n_removed").alias("cut_words"), F.sha2("kept", 256).alias("cut_sha"))
+    joined = counted.join(first.select("name", "first_id"), "name", "left").join(digests, "name", "left")
     copy = F.col("first_id").isNotNull() & (F.col("doc_id") > F.col("first_id"))
     out = joined.select(
-        F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("cut_words", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "whole")).alias("kept_sha256"))
+        F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.col("words").alias("n_words"),
+        F.when(copy, F.col("words")).otherwise(F.coalesce("cut_words", F.lit(0))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", F.lower(F.hex("whole")))).alias("kept_sha256"))
     return out, cut.select("seq", "kept")
