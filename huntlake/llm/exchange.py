@@ -124,6 +124,11 @@ def blocks(slice_id: int, key: np.ndarray, owner: np.ndarray, tie: np.ndarray, s
 BLOCK = "bucket int, slice long, n int, m int, block binary"
 
 
+def block_batch(out: dict) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
+
+
 def _bounds(key: np.ndarray, buckets: int) -> np.ndarray:
     """Where buckets, equal ranges of the key space, start among sorted keys."""
     edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)

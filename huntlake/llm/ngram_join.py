@@ -1,8 +1,8 @@
 """Near-duplicate documents: all links of Jaccard similarity 0.75 or more over word 5-grams.
 
 The overlaps of all pairs are a product of the sparse document by n-gram matrix with its
-transpose. It is worked out in blocks of columns (a shuffle by n-gram), partial counts are added up
-per pair, and size-derived bounds keep most of the product from being formed:
+transpose. It is worked out in blocks (slices of documents by ranges of n-grams), partial counts are
+added up per pair, and size-derived bounds keep most of the product from being formed:
 
 * Documents with equal sets are one row of the matrix.
 * Linked sets of sizes a and b share at least t = ceil(3 (a + b) / 7) n-grams, so in any common
@@ -25,12 +25,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from huntlake.llm.common import Cache, id_and_text, map_slices, slices
+from huntlake.llm.common import Cache, id_and_text
 from huntlake.llm.components import components
+from huntlake.llm.exchange import (
+    BLOCK, answers, block_batch, blocks, bucket_count, grouped, make_slices, per_document, read_answers, store, unpack,
+)
 from huntlake.llm.words import WordHashes, digest, shingles
-from huntlake.session import pin
 
 WORDS = 5
 #: An n-gram is frequent from so many documents on; at most so many are put last in the order.
@@ -47,15 +48,15 @@ def _need(n: Column) -> Column:
     return F.floor((n * 3 + 3) / 4).cast("long")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """A row per document, and per slice of documents one with the n-grams that three or more of
-    its different sets have."""
+def _describe(k: int):
+    """``n`` and ``name`` of the set of each text, and the n-grams that three or more different sets
+    of the slice have."""
     def make():
         hashes = WordHashes(lower=True)
 
-        def step(rows):
-            ids, sizes, names, distinct = rows.column("doc_id").to_pylist(), [], [], {}
-            for text in rows.column("text").to_pylist():
+        def step(texts):
+            sizes, names, distinct = [], [], {}
+            for text in texts:
                 found = _elements(hashes(text), k)
                 name = digest(found)
                 distinct[name] = found
@@ -63,69 +64,114 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 names.append(name)
             values, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
             often = counts >= 3
-            n = len(ids)
-            return {
-                "doc_id": pa.array(ids + [None], pa.int64()), "n": pa.array(sizes + [None], pa.int64()),
-                "set_id": pa.array(names + [None], pa.int64()),
-                "often": pa.array([None] * n + [values[often].astype(np.int64)], pa.list_(pa.int64())),
-                "counts": pa.array([None] * n + [counts[often].astype(np.int32)], pa.list_(pa.int32())),
-            }
+            return {"n": sizes, "name": names, "often": values[often].astype(np.int64), "counts": counts[often].astype(np.int32)}
 
         return step
 
-    return map_slices(docs, make, "doc_id long, n long, set_id long, often array<long>, counts array<int>")
-
-
-def _columns(docs: DataFrame, frequent: np.ndarray, k: int) -> DataFrame:
-    """(key, set_id) for the first n-grams of every set, frequent ones last. A task gives a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    return make
+
+
+def _first_columns(row: dict, owners: dict[int, int], frequent: np.ndarray, hashes: WordHashes, k: int):
+    """Column, owner and set of the first n-grams, frequent ones last, of the sets in ``owners``."""
+    keys, names = [np.empty(0, np.uint64)], []
+    for name, text in unpack(row):
+        if name not in owners:
+            continue
+        found = _elements(hashes(text), k)
+        n = len(found)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+            late = frequent[at] == found
+            found = np.concatenate([found[~late], found[late]])
+        keys.append(found[: n - (3 * n + 3) // 4 + 1] << np.uint64(2))
+        names.append(name)
+    sizes = [len(x) for x in keys[1:]]
+    owner = np.array([owners[x] for x in names], np.int64)
+    return np.concatenate(keys), np.repeat(owner, sizes), np.repeat(np.array(names, np.int64), sizes)
+
+
+class _Product:
+    """The columns of the sets in the slices ``work`` (with ``own``: set and owner)."""
+
+    def __init__(self, work: DataFrame, frequent: np.ndarray, k: int, buckets: int):
+        self.work, self.k, self.buckets = work, k, buckets
+        self.frequent = work.sparkSession.sparkContext.broadcast(frequent)
+
+    def _map(self, use, schema: str) -> DataFrame:
+        shared, k = self.frequent, self.k
+
+        def run(batches):
+            hashes = WordHashes(lower=True)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    owners = {x["name"]: x["owner"] for x in row["own"]}
+                    yield use(row, *_first_columns(row, owners, shared.value, hashes, k))
+
+        return self.work.mapInArrow(run, schema)
+
+    def requests(self, only: bool = False) -> DataFrame:
+        """Blocks of columns; ``only``: those that an earlier answer says several sets share."""
+        buckets = self.buckets
+
+        def use(row, key, owner, _):
+            if only:
+                known, inverse = np.unique(key, return_inverse=True)
+                yes = read_answers(known, row["answers"], buckets)[0][inverse]
+                key, owner = key[yes], owner[yes]
+            key, owner, tie, several, _ = grouped(key, owner, np.zeros_like(owner))
+            return block_batch(blocks(row["slice"], key, owner, tie, several, buckets))
+
+        return self._map(use, BLOCK)
+
+    def star(self) -> DataFrame:
+        """(a, b, c): ``b`` shares ``c`` columns with ``a``, the least of each of those columns."""
+        buckets = self.buckets
+
+        def use(row, key, _, name):
+            known, inverse = np.unique(key, return_inverse=True)
+            yes, least, _ = read_answers(known, row["answers"], buckets)
+            least, yes = least[inverse], yes[inverse]
+            yes &= least != name
+            pairs, count = np.unique(np.stack([least[yes], name[yes]], 1), axis=0, return_counts=True)
+            return pa.RecordBatch.from_pydict({
+                "a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()),
+                "c": pa.array(count, pa.int64())})
+
+        return self._map(use, "a long, b long, c long")
+
+    def mixed(self) -> DataFrame:
+        """(key, root, set_id) of columns that sets of several components share."""
+        buckets = self.buckets
+
+        def use(row, key, owner, name):
+            known, inverse = np.unique(key, return_inverse=True)
+            asked = read_answers(known, row["answers"], buckets)[0]
+            yes = np.zeros(len(known), bool)
+            yes[asked] = read_answers(known[asked], row["roots"], buckets)[0]
+            yes = yes[inverse]
+            return pa.RecordBatch.from_pydict({
+                "key": pa.array(key[yes].astype(np.int64)), "root": pa.array(owner[yes]), "set_id": pa.array(name[yes])})
+
+        return self._map(use, "key long, root long, set_id long")
+
+
+def _bodies(slices: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``set_id`` and packed text of the sets in ``pairs``."""
+    wanted = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct().join(classes, "name")
+    wanted = wanted.groupBy("slice").agg(F.collect_list("name").alias("wanted"))
 
     def run(batches):
-        hashes, last, seen = WordHashes(lower=True), shared.value, set()
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for rows in slices(batch):
-                keys, names, sizes = [], [], []
-                for text in rows.column("text").to_pylist():
-                    found = _elements(hashes(text), k)
-                    name = digest(found)
-                    if not len(found) or name in seen:
-                        continue
-                    seen.add(name)
-                    n = len(found)
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-                        found = np.sort(found | ((last[at] == found).astype(np.uint64) << np.uint64(62)))
-                    keys.append(found[: n - (3 * n + 3) // 4 + 1])
-                    names.append(name)
-                    sizes.append(len(keys[-1]))
-                if keys:
-                    yield pa.RecordBatch.from_pydict({
-                        "key": pa.array(np.concatenate(keys).astype(np.int64)),
-                        "set_id": pa.array(np.repeat(np.array(names, np.int64), sizes)),
-                    })
-
-    return docs.mapInArrow(run, "key long, set_id long")
-
-
-def _bodies(docs: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """Texts, packed, of the sets in ``held`` (set_id, doc_id). A task gives a set once."""
-    def make():
-        press, hashes, seen = zstandard.ZstdCompressor(level=3).compress, WordHashes(lower=True), set()
-
-        def step(rows):
-            names, bodies = [], []
-            for name, text in zip(rows.column("set_id").to_pylist(), rows.column("text").to_pylist()):
-                # rows that share an id may be different texts
-                if name not in seen and digest(_elements(hashes(text), k)) == name:
-                    seen.add(name)
-                    names.append(name)
-                    bodies.append(press(text.encode()))
-            return {"set_id": names, "body": bodies}
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                take = set(row["wanted"])
+                found = [(name, press(text.encode())) for name, text in unpack(row) if name in take]
+                yield pa.RecordBatch.from_pydict({
+                    "set_id": pa.array([x[0] for x in found], pa.int64()), "body": pa.array([x[1] for x in found], pa.binary())})
 
-        return step
-
-    found = docs.join(held.select("doc_id", "set_id"), "doc_id").select("set_id", "text")
-    return map_slices(found, make, "set_id long, body binary")
+    return slices.join(wanted, "slice").mapInArrow(run, "set_id long, body binary")
 
 
 def _linked(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
@@ -173,37 +219,37 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     ignored. Links are exact up to collisions of 62-bit hashes.
     """
     rows = id_and_text(docs)
-    sets = pin(_sets(rows, k))
+    slices = make_slices(rows, _describe(k), ", often array<long>, counts array<int>")
     counted = (
-        sets.where("often is not null").select(F.explode(F.arrays_zip("often", "counts")).alias("x"))
+        slices.select(F.explode(F.arrays_zip("often", "counts")).alias("x"))
         .groupBy(F.col("x.often").alias("key")).agg(F.sum("x.counts").alias("n")).where(F.col("n") >= FREQUENT)
         .orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).select("key").toArrow()
     )
     frequent = np.sort(counted.column("key").to_numpy().astype(np.uint64))
-    owned = sets.where("often is null").select("doc_id", "n", "set_id")
+    owned = per_document(slices, "doc_id", "n", "name")
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = owned.where(usable).groupBy("set_id").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"))
-
-    of_key = Window.partitionBy("key")
-    shared = pin(
-        _columns(rows, frequent, k)
-        .withColumn("a", F.min("set_id").over(of_key)).withColumn("last", F.max("set_id").over(of_key))
-        .where("a <> last").select("key", "set_id", "a")
-    )
-    held = shared.select("set_id").distinct().join(classes, "set_id")
-    bodies = pin(_bodies(rows, held, k))
-    sizes = held.select("set_id", "n")
-
-    star = shared.where("a <> set_id").groupBy("a", F.col("set_id").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    star = _sized(star, sizes).where(F.col("c") * 3 >= F.col("least"))
-    first = pin(_linked(star, bodies, k))
-    root = components(first).withColumnRenamed("node", "set_id")
-
-    members = shared.select("key", "set_id").join(root, "set_id", "left").select(
-        "key", "set_id", F.coalesce("root", "set_id").alias("root"))
-    of = members.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key))
-    mixed = of.where("low <> high").select("key", "set_id", "root").distinct()
-    mixed = pin(mixed)
+    classes = owned.where(usable).groupBy("name").agg(
+        F.min("n").alias("n"), F.min(F.struct("doc_id", "slice")).alias("at"))
+    classes = store(classes.select("name", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.slice").alias("slice")), "sets")
+    total = classes.agg(F.sum(F.col("n") - _need(F.col("n")) + 1)).first()[0] or 0
+    sizes = classes.select(F.col("name").alias("set_id"), "n")
+    packed = slices.select("slice", "packed", "sizes", "body")
+
+    def owning(frame: DataFrame) -> DataFrame:
+        return packed.join(frame.groupBy("slice").agg(F.collect_list(F.struct("name", "owner")).alias("own")), "slice")
+
+    buckets = bucket_count(docs, total)
+    alone = owning(classes.withColumn("owner", F.col("name")))
+    shared = store(answers(_Product(alone, frequent, k, buckets).requests()), "shared")
+    star = _sized(_Product(alone.join(shared, "slice"), frequent, k, buckets).star(), sizes)
+    star = store(star.where(F.col("c") * 3 >= F.col("least")).select("a", "b"), "star")
+    first = store(_linked(star, _bodies(packed, classes, star), k), "first")
+    root = components(first).withColumnRenamed("node", "name")
+
+    owners = classes.join(root, "name", "left").withColumn("owner", F.coalesce("root", "name"))
+    grown = owning(owners).join(shared, "slice")
+    roots = store(answers(_Product(grown, frequent, k, buckets).requests(only=True)), "roots").withColumnRenamed("answers", "roots")
+    mixed = store(_Product(grown.join(roots, "slice"), frequent, k, buckets).mixed(), "mixed")
     heads = mixed.select("key", "root").distinct()
     head_pairs = heads.select("key", F.col("root").alias("root_a")).join(
         heads.select("key", F.col("root").alias("root_b")), "key").where("root_a < root_b")
@@ -212,14 +258,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
         .join(mixed.select("key", F.col("root").alias("root_b"), F.col("set_id").alias("y")), ["key", "root_b"])
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     )
-    second = pin(_linked(_sized(cross, sizes).where(F.col("c") >= F.col("least")), bodies, k))
+    cross = store(_sized(cross, sizes).where(F.col("c") >= F.col("least")).select("a", "b"), "cross")
+    second = store(_linked(cross, _bodies(packed, classes, cross), k), "second")
     edges = first.union(second)
-    root = components(edges).withColumnRenamed("node", "set_id") if second.limit(1).count() else root
+    root = components(edges).withColumnRenamed("node", "name") if second.limit(1).count() else root
 
-    rooted = classes.select("set_id", "doc_id").join(root, "set_id", "left").select(
-        "set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
+    rooted = classes.select("name", "doc_id").join(root, "name", "left").select(
+        "name", "doc_id", F.coalesce("root", "name").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("set_id", "component_id")
-    linked = owned.where(usable).join(named, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = owned.where(~usable).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    named = rooted.join(least, "root").select("name", "component_id")
+    linked = owned.where(usable).join(named, "name").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    unlinked = owned.where(~usable).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(unlinked)

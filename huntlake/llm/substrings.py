@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from huntlake.llm.common import id_and_text
 from huntlake.llm.exchange import (
-    BLOCK, answers, blocks, bucket_count, grouped, make_slices, per_document, read_answers, store, unpack,
+    BLOCK, answers, block_batch, blocks, bucket_count, grouped, make_slices, per_document, read_answers, store, unpack,
 )
 from huntlake.llm.words import WordHashes, digest, runs
 
@@ -101,16 +101,11 @@ def _anchor_requests(work: DataFrame, buckets: int) -> DataFrame:
                 s = _Slice(batch.slice(i, 1).to_pylist()[0], hashes)
                 key, count = np.unique(s.anchors()[0], return_counts=True)
                 same = np.full(len(key), s.id, np.int64)
-                yield _batch(blocks(s.id, key, same, np.zeros_like(same), count > 1, buckets))
+                yield block_batch(blocks(s.id, key, same, np.zeros_like(same), count > 1, buckets))
 
     return work.mapInArrow(run, BLOCK)
 
 
-def _batch(out: dict) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
-
-
 def _window_requests(work: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes(lower=False)
@@ -120,7 +115,7 @@ def _window_requests(work: DataFrame, anchor_buckets: int, buckets: int) -> Data
                 s = _Slice(row, hashes)
                 key, text, _ = s.windows(row, anchor_buckets)
                 key, doc, name, several, _ = grouped(key, np.array(s.docs, np.int64)[text], np.array(s.names, np.int64)[text])
-                yield _batch(blocks(s.id, key, doc, name, several, buckets))
+                yield block_batch(blocks(s.id, key, doc, name, several, buckets))
 
     return work.mapInArrow(run, BLOCK)
 
