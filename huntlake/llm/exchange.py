@@ -70,11 +70,11 @@ def per_document(slices: DataFrame, *names: str) -> DataFrame:
     return slices.select("slice", F.explode(F.arrays_zip(*names)).alias("x")).select("slice", *[F.col(f"x.{c}") for c in names])
 
 
-def unpack(row: dict) -> Iterator[tuple[int, str]]:
+def unpack(row: dict) -> Iterator[tuple[int, bytes]]:
     """(name, text) of the packed texts of a slice."""
     body, at = zstandard.ZstdDecompressor().decompress(row["body"]), 0
     for name, size in zip(row["packed"], row["sizes"]):
-        yield name, body[at:at + size].decode()
+        yield name, body[at:at + size]
         at += size
 
 

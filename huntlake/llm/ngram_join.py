@@ -31,7 +31,7 @@ from huntlake.llm.components import components
 from huntlake.llm.exchange import (
     BLOCK, answers, block_batch, blocks, bucket_count, grouped, make_slices, per_document, read_answers, store, unpack,
 )
-from huntlake.llm.words import WordHashes, digest, shingles
+from huntlake.llm.words import WordHashes, digest
 
 WORDS = 5
 #: An n-gram is frequent from so many documents on; at most so many are put last in the order.
@@ -39,8 +39,8 @@ FREQUENT = 20
 FREQUENT_KEYS = 200_000
 
 
-def _elements(h: np.ndarray, k: int) -> np.ndarray:
-    return np.unique(shingles(h, k) >> np.uint64(2))
+def _sets(texts: list[bytes], hashes: WordHashes, k: int) -> list[np.ndarray]:
+    return [np.unique(x >> np.uint64(2)) for x in hashes.shingle_sets(texts, k)]
 
 
 def _need(n: Column) -> Column:
@@ -56,8 +56,7 @@ def _describe(k: int):
 
         def step(texts):
             sizes, names, distinct = [], [], {}
-            for text in texts:
-                found = _elements(hashes(text), k)
+            for found in _sets([t.encode() for t in texts], hashes, k):
                 name = digest(found)
                 distinct[name] = found
                 sizes.append(len(found))
@@ -73,18 +72,15 @@ def _describe(k: int):
 
 def _first_columns(row: dict, owners: dict[int, int], frequent: np.ndarray, hashes: WordHashes, k: int):
     """Column, owner and set of the first n-grams, frequent ones last, of the sets in ``owners``."""
-    keys, names = [np.empty(0, np.uint64)], []
-    for name, text in unpack(row):
-        if name not in owners:
-            continue
-        found = _elements(hashes(text), k)
+    keys, held = [np.empty(0, np.uint64)], [x for x in unpack(row) if x[0] in owners]
+    names = [name for name, _ in held]
+    for found in _sets([text for _, text in held], hashes, k):
         n = len(found)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
             late = frequent[at] == found
             found = np.concatenate([found[~late], found[late]])
         keys.append(found[: n - (3 * n + 3) // 4 + 1] << np.uint64(2))
-        names.append(name)
     sizes = [len(x) for x in keys[1:]]
     owner = np.array([owners[x] for x in names], np.int64)
     return np.concatenate(keys), np.repeat(owner, sizes), np.repeat(np.array(names, np.int64), sizes)
@@ -167,7 +163,7 @@ def _bodies(slices: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 take = set(row["wanted"])
-                found = [(name, press(text.encode())) for name, text in unpack(row) if name in take]
+                found = [(name, press(text)) for name, text in unpack(row) if name in take]
                 yield pa.RecordBatch.from_pydict({
                     "set_id": pa.array([x[0] for x in found], pa.int64()), "body": pa.array([x[1] for x in found], pa.binary())})
 
@@ -184,7 +180,7 @@ def _linked(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         hashes, open_ = WordHashes(lower=True), zstandard.ZstdDecompressor().decompress
-        found = Cache(lambda body: _elements(hashes(open_(body).decode()), k), 64)
+        found = Cache(lambda body: _sets([open_(body)], hashes, k)[0], 64)
         for batch in batches:
             keep = []
             for body_a, body_b in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist()):

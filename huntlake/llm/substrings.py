@@ -13,6 +13,7 @@ Documents with equal words are searched once: of those, all but the first are re
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,56 +42,49 @@ def _describe():
     hashes = WordHashes(lower=False)
 
     def step(texts):
-        words = [hashes.words(t) for t in texts]
+        texts = [t.encode() for t in texts]
+        h, at = hashes.many(texts)
+        n = np.diff(at)
         return {
-            "n": [max(len(w) - WINDOW + 1, 0) for w in words], "words": [len(w) for w in words],
-            "name": [digest(np.fromiter(map(hashes.known.__getitem__, w), np.uint64, len(w))) for w in words],
-            "whole": [_sha(w) for w in words],
+            "n": np.maximum(n - WINDOW + 1, 0).tolist(), "words": n.tolist(),
+            "name": [digest(h[i:j]) for i, j in zip(at[:-1], at[1:])], "whole": [_sha(t.split()) for t in texts],
         }
 
     return step
 
 
 class _Slice:
-    """The texts of a slice that are the first of their words, with the hashes of their windows."""
+    """The texts of a slice that are the first of their words, and the hashes of their windows.
+    Positions count words over all these texts."""
 
-    def __init__(self, row: dict, hashes: WordHashes, keep_words: bool = False):
+    def __init__(self, row: dict, hashes: WordHashes):
         first = {x["name"]: x["doc_id"] for x in row["own"]}
-        self.id, self.names, self.docs, self.hashed, self.words = row["slice"], [], [], [], []
-        for name, text in unpack(row):
-            if name in first:
-                self.names.append(name)
-                self.docs.append(first[name])
-                self.hashed.append(hashes(text))
-                if keep_words:
-                    self.words.append(hashes.words(text))
-
-    def anchors(self):
-        """Key, text and position of the short windows at cover positions."""
+        held = [x for x in unpack(row) if x[0] in first]
+        self.id, self.texts = row["slice"], [text for _, text in held]
+        self.names = np.array([name for name, _ in held], np.int64)
+        self.docs = np.array([first[name] for name, _ in held], np.int64)
+        self.hashed, self.start = hashes.many(self.texts)
+        self.text = np.repeat(np.arange(len(held)), np.diff(self.start))
+        self.place = np.arange(len(self.hashed)) - self.start[self.text]
+        self.left = self.start[self.text + 1] - np.arange(len(self.hashed))  # words from here to the end
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key and position of the short windows at cover positions."""
         cover = np.isin(np.arange(PERIOD), COVER)
-        at = [np.flatnonzero(cover[np.arange(len(h) - ANCHOR + 1) % PERIOD]) for h in self.hashed]
-        key = np.concatenate([runs(h, ANCHOR)[a] for h, a in zip(self.hashed, at)])
-        return key, np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
-
-    def windows(self, row: dict, buckets: int):
-        """Key, text and start of the long windows that hold a repeated short one at a shift below
-        the period."""
-        key, text, at = self.anchors()
+        at = np.flatnonzero(cover[self.place % PERIOD] & (self.left >= ANCHOR))
+        return runs(self.hashed, ANCHOR)[at], at
+
+    def windows(self, row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key and start of the long windows that hold a repeated short one at a shift below the
+        period."""
+        key, at = self.anchors()
         known, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        twice = ((count > 1) | read_answers(known, row["anchors"], buckets)[0])[inverse]
-        text, at = text[twice], at[twice]
-        borders = np.searchsorted(text, np.arange(len(self.hashed) + 1))
-        keys, starts = [], []
-        for i, h in enumerate(self.hashed):
-            mine, m = at[borders[i]:borders[i + 1]], len(h) - WINDOW + 1
-            low = np.maximum(mine - (PERIOD - 1), 0)
-            mine, low = mine[low < m], low[low < m]
-            edge = np.bincount(low, minlength=m + 1) - np.bincount(np.minimum(mine, m - 1) + 1, minlength=m + 1)
-            found = np.flatnonzero(np.cumsum(edge[:m]) > 0)
-            starts.append(found)
-            keys.append(runs(h, WINDOW)[found] if len(found) else np.empty(0, np.uint64))
-        text = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        return np.concatenate(keys), text, np.concatenate(starts)
+        at = at[((count > 1) | read_answers(known, row["anchors"], buckets)[0])[inverse]]
+        low = np.maximum(at - (PERIOD - 1), self.start[self.text[at]])
+        n = len(self.hashed)
+        edge = np.bincount(low, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1)
+        starts = np.flatnonzero((np.cumsum(edge[:n]) > 0) & (self.left >= WINDOW))
+        return runs(self.hashed, WINDOW)[starts], starts
 
 
 def _anchor_requests(work: DataFrame, buckets: int) -> DataFrame:
@@ -113,8 +107,8 @@ def _window_requests(work: DataFrame, anchor_buckets: int, buckets: int) -> Data
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 s = _Slice(row, hashes)
-                key, text, _ = s.windows(row, anchor_buckets)
-                key, doc, name, several, _ = grouped(key, np.array(s.docs, np.int64)[text], np.array(s.names, np.int64)[text])
+                key, at = s.windows(row, anchor_buckets)
+                key, doc, name, several, _ = grouped(key, s.docs[s.text[at]], s.names[s.text[at]])
                 yield block_batch(blocks(s.id, key, doc, name, several, buckets))
 
     return work.mapInArrow(run, BLOCK)
@@ -127,28 +121,25 @@ def _cut(work: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                s = _Slice(row, hashes, keep_words=True)
-                key, text, at = s.windows(row, anchor_buckets)
-                doc, name = np.array(s.docs, np.int64)[text], np.array(s.names, np.int64)[text]
+                s = _Slice(row, hashes)
+                key, at = s.windows(row, anchor_buckets)
+                doc, name = s.docs[s.text[at]], s.names[s.text[at]]
                 known, least, tie, _, _ = grouped(key, doc, name)
                 yes, other, other_tie = read_answers(known, row["windows"], buckets)
                 least, tie = np.where(yes, other, least), np.where(yes, other_tie, tie)
                 order = np.lexsort((at, name, doc, key))
-                key, doc, name, text, at = key[order], doc[order], name[order], text[order], at[order]
+                key, doc, name, at = key[order], doc[order], name[order], at[order]
                 of = np.searchsorted(known, key)
                 stays = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
                 stays &= (doc == least[of]) & (name == tie[of])
-                text, at = text[~stays], at[~stays]
-                order = np.argsort(text, kind="stable")
-                text, at = text[order], at[order]
+                at, n = at[~stays], len(s.hashed)
+                gone = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + WINDOW, minlength=n + 1))[:n] > 0
                 out = {"seq": [], "n_removed": [], "kept": []}
-                for t, lo, hi in zip(*_runs_of(text)):
-                    words = s.words[t]
-                    edge = np.bincount(at[lo:hi], minlength=len(words) + 1) - np.bincount(at[lo:hi] + WINDOW, minlength=len(words) + 1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    out["seq"].append(s.names[t])
-                    out["n_removed"].append(int(gone.sum()))
-                    out["kept"].append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
+                for t in np.unique(s.text[at]).tolist():
+                    lost = gone[s.start[t]:s.start[t + 1]]
+                    out["seq"].append(int(s.names[t]))
+                    out["n_removed"].append(int(lost.sum()))
+                    out["kept"].append(b" ".join(compress(s.texts[t].split(), (~lost).tolist())).decode())
                 yield pa.RecordBatch.from_pydict({
                     "seq": pa.array(out["seq"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
                     "kept": pa.array(out["kept"], pa.string())})
@@ -156,11 +147,6 @@ def _cut(work: DataFrame, anchor_buckets: int, buckets: int) -> DataFrame:
     return work.mapInArrow(run, "seq long, n_removed long, kept string")
 
 
-def _runs_of(sorted_: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    values, start = np.unique(sorted_, return_index=True)
-    return values.tolist(), start.tolist(), [*start[1:].tolist(), len(sorted_)]
-
-
 def without_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two frames: per row of ``docs`` ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``; and
     the texts left of sequences of words that lose some but are not removed whole (``seq``, ``kept``).

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from huntlake.llm.common import Cache
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -19,20 +17,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Words of more bytes are hashed one by one; the others in pieces of so many bytes of text.
+LONG, PIECE = 64, 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_POWERS = np.multiply.accumulate(np.full(PIECE + 1, _BASE, np.uint64))
+_INVERSES = np.multiply.accumulate(np.full(PIECE + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+
+
 class WordHashes:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, remembered up to a limit."""
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts: a polynomial in the bytes of a word, taken
+    from running sums over the text, or xxh3 for the long ones."""
 
     def __init__(self, lower: bool):
         self.lower = lower
-        self.known = Cache(lambda w: xxhash.xxh3_64_intdigest(w))
 
     def words(self, text: str) -> list[bytes]:
         data = text.encode()
         return (data.lower() if self.lower else data).split()  # bytes: A-Z and ASCII white space only
 
+    def many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one after the other, and where each text starts among
+        them (one entry more than texts)."""
+        joined = b" ".join([b"", *texts, b""])
+        data = np.frombuffer(joined.lower() if self.lower else joined, np.uint8)
+        space = (data == 32) | ((data - np.uint8(9)) < 5)
+        change = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, end = change[::2], change[1::2]
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            low = start[i]
+            j = max(int(np.searchsorted(end, low + PIECE, "right")), i + 1)
+            piece = data[low:min(end[j - 1], low + PIECE)]
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTES[piece] * _POWERS[:len(piece)], out=sums[1:])
+            s, e = start[i:j] - low, np.minimum(end[i:j] - low, len(piece))
+            out[i:j] = mixed((sums[e] - sums[s]) * _INVERSES[s] + (e - s).astype(np.uint64) * _MIX)
+            i = j
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[start[i]:end[i]].tobytes())
+        borders = np.r_[1, 1 + np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)] if texts else np.ones(1, np.int64)
+        return out, np.searchsorted(start, borders)
+
     def __call__(self, text: str) -> np.ndarray:
-        words = self.words(text)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        return self.many([text.encode()])[0]
+
+    def shingle_sets(self, texts: list[bytes], k: int) -> list[np.ndarray]:
+        """``shingles`` of each text."""
+        h, at = self.many(texts)
+        all_, out = runs(h, k), []
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            out.append(np.unique(all_[lo:hi - k + 1]) if hi - lo >= k else shingles(h[lo:hi], k))
+        return out
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:
