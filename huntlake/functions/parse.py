@@ -11,9 +11,10 @@ from huntlake.functions.common import group_of, groups, let
 
 STR_MAP = "map<string,string>"
 
-# Audit line layout, fields joined by " | ".
+# Audit line layout, fields joined by " | ". The first of each leading name decides, so
+# what follows it need not be tried again from a later one.
 AUDIT_LINE = (
-    r"^(?:.*? \| )??user_id=(.*?) \| vm_id=(.*?) \| operation=(.*) \| start=([^|]*) \| end=([^|]*)"
+    r"^(?>(?:.*? \| )??user_id=)(?>(.*?) \| vm_id=)(?>(.*?) \| operation=)(.*) \| start=([^|]*) \| end=([^|]*)"
     r" \| status=([^| ]*)(?: \| exit_code=(-?[0-9]+))?(?: \| extra=(\{.*\}))?$"
 )
 # Database log prefix "%t [%p]: [%l-1] user=%u,db=%d,app=%a,client=%h ".
@@ -22,7 +23,7 @@ PG_LINE = (
     r"(?:client|host)=([^ ]*) ([A-Z]+):  ?(.*)$"
 )
 SYSLOG_3164 = r"^<([0-9]+)>([A-Z][a-z]{2}) +([0-9]{1,2}) ([0-9:]{8}) ([^ ]+) ([^:\[ ]+)(?:\[([0-9]+)\])?: (.*)$"
-SYSLOG_5424 = r"^<([0-9]+)>1 ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:\[.*?\])+) ?(.*)$"
+SYSLOG_5424 = r"^<([0-9]+)>1 ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:\[(?:[^\]\\]|\\.)*+\])++) ?(.*)$"
 # Keys never kept in extras, compared exactly.
 REDACTED_KEYS = ("password", "key", "secret")
 
@@ -175,6 +176,8 @@ def parse_syslog(df: DataFrame, line: str = "line", year: int = 1970) -> DataFra
         "host": dash(pick(3, 5)),
         "app": dash(pick(4, 6)),
         "pid": dash(pick(5, 7)),
+        "msg_id": F.when(new, dash(get(6))),
+        "structured_data": F.when(new, dash(get(7))),
         "message": get(8),
     }).drop("_new", "_p")
 

@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from huntlake.functions.common import let
 
-# Detection order, candidate pattern, full-match pattern.
+# Detection order, candidate pattern, full-match pattern. Groups repeat possessively, or
+# the regex engine would recurse once per repetition and end on a long run of digits.
 PII_PATTERNS = {
-    "ssn": (r"[0-9]+(?:-[0-9]+)+", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
-    "credit_card": (r"[0-9](?:[ -]?[0-9]){12,}", r"^[0-9](?:[ -]?[0-9]){12,15}$"),
+    "ssn": (r"[0-9]+(?:-[0-9]+)++", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
+    "credit_card": (r"[0-9](?:[ -]?[0-9]){12,}+", r"^[0-9](?:[ -]?[0-9]){12,15}$"),
     "ip_address": (
-        r"[0-9]+(?:\.[0-9]+){3,}",
+        r"[0-9]+(?:\.[0-9]+){3,}+",
         r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$",
     ),
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-              r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
+              r"^[A-Za-z0-9._%+-]+@(?!\.)(?![A-Za-z0-9.-]*\.\.)[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
     "phone": (r"\+?[0-9]{0,4}[ .-]?\(?[0-9]{1,4}\)?[ .-][0-9]{1,4}[ .-][0-9]{1,8}",
               r"^(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}$"),
 }

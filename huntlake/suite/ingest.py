@@ -52,10 +52,11 @@ def scan_csv(spark, sf):
     return X.convert_types(df.where(F.col("_corrupt").isNull()).drop("_corrupt"), {"ts": "timestamp"})
 
 
-@query("parse_syslog", ev_sql("""
+@query("parse_syslog", ev_sql(r"""
 SELECT CAST((event_id % 192) // 8 AS INTEGER) AS facility, CAST(event_id % 8 AS INTEGER) AS severity,
        date_trunc('second', ts) AS ts, source_system AS host, process_name AS app,
-       CAST(event_id AS VARCHAR) AS pid, 'user ' || user_id || ' did: ' || event_type AS message FROM ev"""))
+       CAST(event_id AS VARCHAR) AS pid, CASE WHEN event_id % 2 <> 0 THEN 'ID47' END AS msg_id,
+       CASE WHEN event_id % 2 <> 0 THEN '[a@1 k="x\]y"]' END AS structured_data, 'user ' || user_id || ' did: ' || event_type AS message FROM ev"""))
 def parse_syslog(spark, sf):
     c = F.col
     pri = F.concat(F.lit("<"), (c("event_id") % 192).cast("string"), F.lit(">"))
@@ -63,7 +64,7 @@ def parse_syslog(spark, sf):
     old = F.concat(pri, F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" "), c("source_system"), F.lit(" "), c("process_name"),
                    F.lit("["), c("event_id").cast("string"), F.lit("]: "), msg)
     new = F.concat(pri, F.lit("1 "), X.iso_stamp(c("ts")), F.lit(" "), c("source_system"), F.lit(" "), c("process_name"),
-                   F.lit(" "), c("event_id").cast("string"), F.lit(" ID47 - "), msg)
+                   F.lit(" "), c("event_id").cast("string"), F.lit(r' ID47 [a@1 k="x\]y"] '), msg)
     path = _write_lines(events(spark, sf), spark, "syslog", F.when(c("event_id") % 2 == 0, old).otherwise(new))
     return X.parse_syslog(R.scan_lines(spark, path), year=2024).drop("line")
 

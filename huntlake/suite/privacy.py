@@ -75,6 +75,21 @@ def mask_record(spark, sf):
                      F.col("metadata.anonymized").alias("anonymized"), F.array_join("metadata.pii_fields", ",").alias("pii_fields"))
 
 
+# The expected kinds in the order of detection, candidate and full match, for the SQL alone.
+SQL_KINDS = {
+    "ssn": (r"[0-9]+(?:-[0-9]+)+", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
+    "credit_card": (r"[0-9](?:[ -]?[0-9]){12,}", r"^[0-9](?:[ -]?[0-9]){12,15}$"),
+    "ip_address": (
+        r"[0-9]+(?:\.[0-9]+){3,}",
+        r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$",
+    ),
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+              r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
+    "phone": (r"\+?[0-9]{0,4}[ .-]?\(?[0-9]{1,4}\)?[ .-][0-9]{1,4}[ .-][0-9]{1,8}",
+              r"^(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}$"),
+}
+
+
 def _digits(h: str) -> str:
     return f"regexp_replace({h}, '[ -]', '', 'g')"
 
@@ -88,14 +103,14 @@ LUHN = """list_sum(list_transform(range(1, length({d}) + 1), lambda i:
 def _pii_ctes(source: str, id_col: str, text: str) -> list[str]:
     """The detection order of the library as a chain of CTEs."""
     ctes, prev = [f"p0 AS (SELECT {id_col} AS id, {text} AS rest FROM {source})"], "p0"
-    for i, (kind, (loose, full)) in enumerate(D.PII_PATTERNS.items(), 1):
+    for i, (kind, (loose, full)) in enumerate(SQL_KINDS.items(), 1):
         test = f"regexp_matches(h, '{full}')" + (f" AND {LUHN}" if kind == "credit_card" else "")
         ctes.append(f"""p{i}h AS (SELECT *, list_filter(list_transform(regexp_extract_all(rest, '{loose}'), lambda x: trim(x)),
           lambda h: {test}) AS h_{kind} FROM {prev})""")
         ctes.append(f"""p{i} AS (SELECT * REPLACE (list_reduce(h_{kind}, lambda acc, h: replace(acc, h, ' '), rest) AS rest) FROM p{i}h)""")
         prev = f"p{i}"
     ctes.append("hits AS (" + " UNION ALL ".join(
-        f"SELECT id, '{k}' AS pii_type, CAST(len(h_{k}) AS BIGINT) AS n FROM {prev} WHERE len(h_{k}) > 0" for k in D.PII_PATTERNS) + ")")
+        f"SELECT id, '{k}' AS pii_type, CAST(len(h_{k}) AS BIGINT) AS n FROM {prev} WHERE len(h_{k}) > 0" for k in SQL_KINDS) + ")")
     return ctes
 
 
@@ -137,7 +152,7 @@ PROFILED = ("source_ip", "user_id", "contact")
     f"""SELECT '{c}' AS column_name, '{k}' AS pii_type, count({c}) AS n_values,
         count(*) FILTER (regexp_matches({c}, '{full}')) AS n_match,
         count({c}) >= 20 AND count(*) FILTER (regexp_matches({c}, '{full}')) >= 0.8 * count({c}) AS is_pii FROM prof"""
-    for c in PROFILED for k, (_, full) in D.PII_PATTERNS.items()),
+    for c in PROFILED for k, (_, full) in SQL_KINDS.items()),
     """prof AS (SELECT source_ip, user_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'n/a'
        ELSE user_id || '@example.com' END AS contact FROM ev)"""))
 def pii_profile(spark, sf):

@@ -176,3 +176,23 @@ def test_defaults_never_make_up_a_time(spark):
 def test_redaction_is_exact(spark):
     df = spark.range(1).select(F.create_map(*[F.lit(x) for x in ("password", "1", "Key", "2", "key", "3", "secret", "4")]).alias("m"))
     assert df.select(X.redact_map(F.col("m"))).first()[0] == {"Key": "2"}
+
+
+@pytest.mark.parametrize("unit", ["1 ", "1-", "1.", "12 34-", "a.", "a@b.", "+1 (2) "])
+def test_personal_data_in_very_long_runs(spark, unit):
+    text = unit * (1_000_000 // len(unit)) + " x@example.org"
+    rows = D.pii_scan(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").collect()
+    assert "email" in {r.pii_type for r in rows}
+
+
+def test_audit_line_of_many_field_names(spark):
+    hostile = "user_id=a | vm_id=b | operation=c | start=d" * 400
+    good = "x | user_id=u | vm_id=v | operation=a | b | start=2024-01-01T00:00:00Z | end=2024-01-01T00:00:01Z | status=ok"
+    rows = X.parse_audit(spark.createDataFrame([(hostile,), (good,)], "line string")).collect()
+    assert rows[0].user_id is None and (rows[1].user_id, rows[1].operation, rows[1].status) == ("u", "a | b", "ok")
+
+
+def test_syslog_structured_data(spark):
+    line = r'<34>1 2024-01-01T00:00:00Z h app 7 ID1 [a@1 k="x\]y"][b@1] said [so]'
+    r = X.parse_syslog(spark.createDataFrame([(line,)], "line string")).first()
+    assert (r.msg_id, r.structured_data, r.message) == ("ID1", r'[a@1 k="x\]y"][b@1]', "said [so]")
