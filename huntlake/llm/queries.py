@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntlake.llm import bpe, mixing, secret_scan, toxicity
+from huntlake.llm.collocations import collocations
 from huntlake.llm.common import documents
 from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.ngram_join import near_duplicates
@@ -84,3 +85,39 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))[0]
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+ORACLES["op12_collocations"] = """
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^ \\t]+') AS w FROM docs),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+counts AS (
+  SELECT lang, 1 AS k, w[i] AS w1, NULL AS w2, NULL AS w3, count(*) AS f FROM starts GROUP BY ALL
+  UNION ALL SELECT lang, 2, w[i], w[i + 1], NULL, count(*) FROM starts WHERE i < len(w) GROUP BY ALL
+  UNION ALL SELECT lang, 3, w[i], w[i + 1], w[i + 2], count(*) FROM starts WHERE i + 1 < len(w) GROUP BY ALL),
+one AS (SELECT lang, w1, f FROM counts WHERE k = 1),
+two AS (SELECT lang, w1, w2, f FROM counts WHERE k = 2),
+three AS (SELECT * FROM counts WHERE k = 3 AND f >= 10),
+gone AS (SELECT b.lang, b.w1, b.w2 FROM two b JOIN three c ON b.lang = c.lang AND b.w1 = c.w1 AND b.w2 = c.w2 WHERE 100 * c.f >= 50 * b.f
+         UNION SELECT b.lang, b.w1, b.w2 FROM two b JOIN three c ON b.lang = c.lang AND b.w1 = c.w2 AND b.w2 = c.w3 WHERE 100 * c.f >= 50 * b.f),
+cut AS (
+  SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM two b JOIN one x ON x.lang = b.lang AND x.w1 = b.w1 JOIN one y ON y.lang = b.lang AND y.w1 = b.w2
+  WHERE b.f >= 10 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.lang = b.lang AND g.w1 = b.w1 AND g.w2 = b.w2)
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, x.f, y.f, 1
+  FROM three c JOIN one x ON x.lang = c.lang AND x.w1 = c.w1 JOIN two y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, x.f, y.f, 2
+  FROM three c JOIN two x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN one y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cut),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM one GROUP BY lang) USING (lang) WHERE rank <= 2000"""
