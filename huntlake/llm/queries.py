@@ -13,6 +13,7 @@ from huntlake.llm.collocations import collocations
 from huntlake.llm.common import documents
 from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.ngram_join import near_duplicates
+from huntlake.llm.prefix_trie import prefix_trie
 from huntlake.llm.repetition import quality_rules
 from huntlake.llm.sanitise import KINDS, find_personal, printed
 from huntlake.llm.substrings import without_repeats
@@ -121,3 +122,38 @@ lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ph
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest)
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
 FROM ranked JOIN (SELECT lang, sum(f) AS n FROM one GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op13_prefix_trie"] = """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+bytes AS (SELECT i, v FROM bits WHERE k = 8),
+crc(c, s, p, v) AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR, 1, 4294967295::BIGINT FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT c, s, p + 1, xor(crc.v >> 8, bytes.v) FROM crc JOIN bytes ON bytes.i = xor(crc.v & 255, ascii(s[p])) WHERE p <= length(s)),
+shared AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE p > length(s)),
+own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(text)) AS v
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.v[1:h], []), a.v[h + 1:]) AS v
+  FROM own a JOIN shared USING (c) LEFT JOIN own b ON b.c = a.c - a.c % 20),
+prefixes AS (SELECT c, v[1:d] AS k, d, d = len(v) AS whole FROM (SELECT c, v, unnest(range(len(v) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(k[d].x, '[^ \\t-\\r]+')) END AS saved
+  FROM prefixes GROUP BY k, d),
+children AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+grown AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (k, d)),
+up AS (SELECT k[1:e] AS k, e AS d, saved, n_children = 0 AS leaf FROM (SELECT *, unnest(range(d + 1)) AS e FROM grown)),
+sums AS (SELECT k, d, sum(saved) AS saved_tokens, count(*) FILTER (WHERE leaf) AS n_leaves FROM up GROUP BY k, d)
+SELECT g.conv_id, g.d::BIGINT AS depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+FROM grown g JOIN sums USING (k, d) LEFT JOIN nodes p ON p.d = g.d - 1 AND p.k = g.k[1:g.d - 1]"""
