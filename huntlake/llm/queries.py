@@ -13,6 +13,7 @@ from huntlake.llm.collocations import collocations
 from huntlake.llm.common import documents
 from huntlake.llm.fingerprints import compared_with_next
 from huntlake.llm.ngram_join import near_duplicates
+from huntlake.llm.pairwise_quality import quality
 from huntlake.llm.prefix_trie import prefix_trie
 from huntlake.llm.repetition import quality_rules
 from huntlake.llm.sanitise import KINDS, find_personal, printed
@@ -88,6 +89,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))[0]
 
 
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
