@@ -229,7 +229,7 @@ def sequences(a: Automaton, level: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(level, 0, -1):
         columns.append(a.label[k][at])
         at = a.parent[k][at]
-    return a.label[0][at], np.array(columns[::-1], np.int64).T.reshape(-1, level)
+    return a.label[0][at], np.array(columns[::-1], np.int64).T.reshape(len(at), level)
 
 
 def _places(of: pa.Array, among: pa.Array) -> np.ndarray:

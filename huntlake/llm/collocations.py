@@ -2,7 +2,9 @@
 
 1. Each task counts the sequences of up to three words of its documents in automata (``automata``), cuts these at the
    borders of ranges of sequences, and sends the parts away. The borders come from a random sample of
-   documents and only say what goes where; a frequent word or pair is spread over ranges like any other.
+   documents and only say what goes where; a frequent word or pair is spread over ranges like any other. Where there
+   are more than ``FAN`` ranges, chunks are cut into wide ranges, put together in groups, and cut again, so that the number of
+   blocks stays far below chunks times ranges.
 2. Each range adds its parts up, so its counts are whole, and drops what is rarer than ``least``: no part of a
    candidate is rarer than the candidate.
 3. Each range asks, in one automaton per range asked, for the parts of its candidates, each part once however
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +42,10 @@ SAMPLE_BYTES = 32 << 20
 SAMPLE_BORDERS = 200_000
 #: Ranges whose best meet in one task before the last ranking.
 MEET = 64
+#: A chunk is cut into at most about so many blocks at once; beyond, ranges are first joined to wide ones.
+FAN = 4096
+#: Bytes of text that the first step puts together in one group of a wide range.
+GROUP_BYTES = 64 << 20
 BLOCK = "range int, kind int, origin int, block binary"
 _BLOCK = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("origin", pa.int32()), ("block", pa.binary())])
 COUNTS, ASKED, ANSWER, GONE = range(4)
@@ -181,7 +188,7 @@ def _scored(a: Automaton, answers: Automaton | None, gone: Automaton | None, top
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COVERED,
-                 chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+                 chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of the best ``top`` phrases of each language;
     see the head of the module and, for the meaning of the columns, the README."""
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
@@ -191,16 +198,27 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: i
     # bounded: fewer borders than ranges, each as long as three words of the texts
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
+    wide, wide_first = marks[fan - 1::fan], len(marks) > fan
+    groups = max(1, total // max(group_bytes * (len(wide) + 1), 1))
+
     def count(batches):
-        for a in _counted(batches, chunk_words):
-            for r, part in automata.split(a, shared.value):
-                yield _rows([(r, COUNTS, -1, automata.dump(part))])
+        partition = TaskContext.get().partitionId()
+        for i, a in enumerate(_counted(batches, chunk_words)):
+            for r, part in automata.split(a, shared.value[fan - 1::fan] if wide_first else shared.value):
+                yield _rows([(r, COUNTS, (partition * 31 + i) % groups, automata.dump(part))])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = automata.union_all(b for batch in batches for b in batch.column("block").to_pylist())
+        for r, part in automata.split(found, shared.value):
+            yield _rows([(r, COUNTS, -1, automata.dump(part))])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automata.union_all(b for batch in batches for b in batch.column("block").to_pylist())
         yield _rows([(key[0].as_py(), COUNTS, -1, automata.dump(automata.frequent(found, least)))])
 
     sent = texts.mapInArrow(count, BLOCK)
+    if wide_first:
+        sent = sent.groupBy("range", "origin").applyInArrow(gather, BLOCK)
     counts = store(sent.groupBy("range").applyInArrow(add, BLOCK), "collocation-counts")
 
     def ask(batches):
