@@ -1,58 +1,61 @@
-"""Live bans: one small state per source."""
+"""Live bans in event-time order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
+from huntlake.streaming.inorder import LONG_AGO, InOrder, ids, stamps, use_rocksdb
 from huntlake.streaming.live import event_time
 
 
+def bans_in(t: np.ndarray, maxretry: int, find_us: int, ban_us: int) -> tuple[list[int], int]:
+    """Of failures in time order: which open a ban, and from which on counting is still going."""
+    m, start, found = maxretry - 1, 0, []
+    full = np.flatnonzero(t[m:] - t[: max(len(t) - m, 0)] <= find_us) + m
+    while True:
+        at = np.searchsorted(full, start + m)
+        if at == len(full):
+            return found, start
+        found.append(int(full[at]))
+        start = int(np.searchsorted(t, t[full[at]] + ban_us, side="left"))
+
+
+class Bans(InOrder):
+    """Kept per source: the end of the last ban, and at most ``maxretry - 1`` failures after it."""
+
+    def __init__(self, source: str, ts: str, event_id: str, maxretry: int, findtime: int, bantime: int):
+        super().__init__(ts, event_id)
+        self.source, self.maxretry = source, maxretry
+        self.find_us, self.ban_us = findtime * 1_000_000, bantime * 1_000_000
+
+    def take(self, key, held, rows, passed):
+        until, *recent = np.frombuffer(held, np.int64).tolist() if held else [LONG_AGO]
+        rows = rows[rows["t"] >= until]
+        t = np.r_[np.array(recent, np.int64), rows["t"]]
+        found, start = bans_in(t, self.maxretry, self.find_us, self.ban_us)
+        out = None
+        if found:
+            opened = rows[np.array(found) - len(recent)]  # never one of those kept: they were too few
+            until = int(opened["t"][-1]) + self.ban_us
+            out = pd.DataFrame({self.source: key[0], self.event_id: ids(opened), "ban_start": stamps(opened["t"]),
+                                "ban_end": stamps(opened["t"] + self.ban_us)})
+        recent = t[max(start, len(t) - self.maxretry + 1):].tolist()
+        return out, np.array([until, *recent], np.int64).tobytes(), max([until, *[r + self.find_us for r in recent]])
+
+
 def live_bans(df: DataFrame, source: str = "source_ip", ts: str = "ts", event_id: str = "event_id",
               maxretry: int = 5, findtime: int = 600, bantime: int = 3600) -> DataFrame:
-    """Bans as they open. State per source: the end of its ban and at most ``maxretry - 1`` recent
-    failures; it is dropped once the watermark has passed both. Failures of one micro-batch are taken
-    in time order; across micro-batches they are taken as they come."""
-    find_us, ban_us = findtime * 1_000_000, bantime * 1_000_000
-    failures = event_time(df, ts).select(source, ts, event_id)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, until = state.get if state.exists else ([], -1)
-        recent = list(recent)
-        stamps, ids = [], []
-        for pdf in batches:
-            stamps.append(pdf[ts].to_numpy().astype("datetime64[us]").astype("int64"))
-            ids.append(pdf[event_id].to_numpy())
-        t, e = np.concatenate(stamps), np.concatenate(ids)
-        order = np.lexsort((e, t))
-        opened = []
-        for at, eid in zip(t[order].tolist(), e[order].tolist()):
-            if at < until:
-                continue
-            recent = [r for r in recent if at - r <= find_us][-(maxretry - 1):] + [at]
-            if len(recent) >= maxretry:
-                until, recent = at + ban_us, []
-                opened.append((key[0], eid, at, until))
-        state.update((recent, until))
-        last = max([until, *[r + find_us for r in recent]])
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1))
-        if opened:
-            out = pd.DataFrame(opened, columns=[source, event_id, "ban_start", "ban_end"])
-            for c in ("ban_start", "ban_end"):
-                out[c] = pd.to_datetime(out[c], unit="us")
-            yield out
-
-    return failures.groupBy(source).applyInPandasWithState(
-        update,
-        f"{source} string, {event_id} long, ban_start timestamp, ban_end timestamp",
-        "recent array<long>, until long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    """Bans as they become certain, the same ones as ``ban_intervals`` finds in the finished table: rows that come late, but within the
+    watermark, are put in their place first, over any number of micro-batches. A ban is reported when the watermark has
+    passed the minute it starts in. Rows without source or time are left out."""
+    use_rocksdb(df.sparkSession)
+    failures = event_time(df.where(f"`{source}` IS NOT NULL AND `{ts}` IS NOT NULL"), ts).select(source, ts, event_id)
+    out = T.StructType([
+        T.StructField(source, T.StringType()), T.StructField(event_id, T.LongType()),
+        T.StructField("ban_start", T.TimestampType()), T.StructField("ban_end", T.TimestampType()),
+    ])
+    return failures.groupBy(source).transformWithStateInPandas(
+        Bans(source, ts, event_id, maxretry, findtime, bantime), out, "append", "eventTime")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from huntlake.operators import normalize as N
 from huntlake.operators.detect import enrich_source
+from huntlake.session import scratch_path
 from huntlake.sources.adapter import security_events
 from huntlake.streaming import bans as B
 from huntlake.streaming import live as L
+from huntlake.streaming import sequences as Q
 from huntlake.suite.base import ev_sql, query, table
 from huntlake.suite.detection import BAN_RULE, BANS_SQL
 from huntlake.suite.ingest import MAPPING
@@ -74,12 +76,36 @@ def stream_dedup(spark, sf):
     return L.run_available(L.live_dedup(keyed, "key_id"), "dedup").select("key_id")
 
 
-@query("stream_sequence", ev_sql("""
-SELECT user_id, event_id AS a_id, ts AS a_ts FROM ev a WHERE event_type = 'error' AND EXISTS (
-  SELECT 1 FROM ev b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR)"""))
+# Failures and purchases arrive in three files, one micro-batch each. Every third row of the last 50 minutes before a file
+# ends comes with the next file, late but within the watermark.
+FILE_ENDS = ("2024-01-11", "2024-01-21")
+# what the watermark has passed at the end, by whole minutes
+PASSED = "(SELECT time_bucket(INTERVAL 1 MINUTE, max(ts) - INTERVAL 1 HOUR) FROM ev WHERE {})"
+
+
+def _late_events(spark, sf):
+    """The events of type error and purchase as a stream of three micro-batches."""
+    raw = table(spark, sf, "events").where("event_type IN ('error', 'purchase')")
+    ts, path, part = F.col("ts"), scratch_path(spark, "late-events"), F.lit(len(FILE_ENDS))
+    for i in reversed(range(len(FILE_ENDS))):
+        end = F.lit(FILE_ENDS[i]).cast("timestamp_ntz")
+        late = (F.col("event_id") % 3 == 0) & (ts >= end - F.expr("INTERVAL 50 MINUTES"))
+        part = F.when((ts < end) & ~late, i).otherwise(part)
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(len(FILE_ENDS) + 1):
+        raw.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return security_events(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(path))
+
+
+@query("stream_sequence", ev_sql(f"""
+SELECT a.user_id, a.event_id AS a_id, a.ts AS a_ts, arg_min(b.event_id, (b.ts, b.event_id)) AS b_id, min(b.ts) AS b_ts
+FROM ev a JOIN ev b ON b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
+WHERE a.event_type = 'error' AND b.event_type = 'purchase' GROUP BY 1, 2, 3
+HAVING min(b.ts) < {PASSED.format("event_type IN ('error', 'purchase')")}"""))
 def stream_sequence(spark, sf):
     t = F.col("event_type")
-    return _plain(L.run_available(L.live_sequence(live_events(spark, sf), t == "error", t == "purchase"), "sequence"), "a_ts")
+    found = Q.live_sequence(_late_events(spark, sf), t == "error", t == "purchase")
+    return _plain(L.run_available(found, "sequence"), "a_ts", "b_ts")
 
 
 @query("stream_enrich", ev_sql("""
@@ -91,7 +117,7 @@ def stream_enrich(spark, sf):
     return L.run_available(enrich_source(live_events(spark, sf), meta).select("event_id", "source_system", "owner"), "enrich")
 
 
-@query("stream_bans", BANS_SQL)
+@query("stream_bans", f"""SELECT * FROM ({BANS_SQL}) WHERE ban_start < {PASSED.format("event_type = 'error'").replace("FROM ev", "FROM events")}""")
 def stream_bans(spark, sf):
-    errors = live_events(spark, sf).where("event_type = 'error'")
+    errors = _late_events(spark, sf).where("event_type = 'error'")
     return _plain(L.run_available(B.live_bans(errors, **BAN_RULE), "bans"), "ban_start", "ban_end")

@@ -1,7 +1,9 @@
 """Streams that arrive in several files end where the batch ends; late rows are dropped."""
 
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from conftest import data
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from huntlake.session import scratch_path
 from huntlake.sources.adapter import security_events
 from huntlake.streaming import bans as B
 from huntlake.streaming import live as L
+from huntlake.streaming import sequences as Q
+from huntlake.streaming.inorder import ROW
 
 
 @pytest.fixture(scope="module")
@@ -57,9 +61,60 @@ def test_tumbling(spark, landing):
 
 def test_sequence(spark, landing):
     t = F.col("event_type")
-    got = L.run_available(L.live_sequence(live(spark, landing), t == "error", t == "purchase"), "t-sequence")
-    want = D.correlate_interval(batch(spark, landing), t == "error", t == "purchase")
-    assert sorted(r.a_id for r in got.collect()) == sorted(r.a_id for r in want.collect())
+    got = plain(L.run_available(Q.live_sequence(live(spark, landing), t == "error", t == "purchase"), "t-sequence"), "a_ts", "b_ts")
+    want = D.correlate_interval(batch(spark, landing), t == "error", t == "purchase").select("user_id", "a_id", "a_ts", "b_id", "b_ts")
+    assert data(got) == data(want)
+
+
+@pytest.fixture(scope="module")
+def delayed(spark):
+    """Twelve hours in six files of two hours each; a third of the last 50 minutes of a file comes with the next one, files are shuffled,
+    some rows come twice, and a last row closes everything. (path, rows that are not too late)"""
+    rnd, t0 = random.Random(5), datetime(2024, 1, 1)
+    rows = [(f"s{rnd.randrange(5)}", t0 + timedelta(seconds=rnd.randrange(12 * 3600)), i, rnd.randrange(3)) for i in range(2000)]
+    rows += rows[:40] + [("s1", t0 + timedelta(hours=3), None, 1), (None, t0 + timedelta(hours=3), 5, 1)]
+    files = [[] for _ in range(6)]
+    for row in rows:
+        at = (row[1] - t0).total_seconds()
+        late = at % 7200 > 7200 - 3000 and rnd.random() < 0.3
+        files[min(5, int(at // 7200) + late)].append(row)
+    too_late = ("s0", t0 + timedelta(minutes=1), 10**8, 1)
+    files[4].append(too_late)
+    files.append([("end", t0 + timedelta(days=3), 10**9, 0)])
+    path = scratch_path(spark, "delayed")
+    for f in files:
+        rnd.shuffle(f)
+        spark.createDataFrame(f, DELAYED).coalesce(1).write.mode("append").parquet(path)
+    return path, spark.createDataFrame(rows, DELAYED)
+
+
+DELAYED = "source_ip string, ts timestamp_ntz, event_id long, sort int"
+
+
+@pytest.mark.parametrize("rule", [{"maxretry": 4, "findtime": 300, "bantime": 900}, {"maxretry": 1, "findtime": 60, "bantime": 1800}])
+def test_bans_with_late_rows(spark, delayed, rule):
+    path, rows = delayed
+    stream = spark.readStream.schema(DELAYED).option("maxFilesPerTrigger", 1).parquet(path)
+    got = plain(L.run_available(B.live_bans(stream, **rule), "t-late-bans"), "ban_start", "ban_end").where("source_ip <> 'end'")
+    want = D.ban_intervals(rows, **rule)
+    assert data(got) == data(want) and want.count() > 20
+
+
+def test_sequence_with_late_rows(spark, delayed):
+    path, rows = delayed
+    a, b = F.col("sort") == 0, F.col("sort") == 1
+    stream = spark.readStream.schema(DELAYED).option("maxFilesPerTrigger", 1).parquet(path)
+    got = plain(L.run_available(Q.live_sequence(stream, a, b, "source_ip", within_seconds=40), "t-late-sequence"), "a_ts", "b_ts")
+    want = D.correlate_interval(rows.where("source_ip IS NOT NULL"), a, b, "source_ip", within=40).select("source_ip", "a_id", "a_ts", "b_id", "b_ts")
+    assert data(got) == data(want) and want.count() > 80
+
+
+def test_ban_state_is_small_and_goes():
+    rule = B.Bans("s", "ts", "id", maxretry=3, findtime=10, bantime=60)
+    rows = np.zeros(1000, ROW)
+    rows["t"] = np.arange(1000) * 20_000_000  # never three within ten seconds
+    out, held, until = rule.take(("x",), b"", rows, 10**12)
+    assert out is None and len(held) <= 8 * 3 and until == 999 * 20_000_000 + 10_000_000
 
 
 def test_bans(spark, landing):
