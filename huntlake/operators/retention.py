@@ -109,6 +109,8 @@ def clean_partitioned(spark: SparkSession, path: str, as_of: datetime, days: int
             old_days.append(cutoff.date())
         else:
             copy.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        fs, p = _fs_path(spark, aside)
+        fs.delete(p, True)
     for d in old_days:
         fs, p = _fs_path(spark, f"{path.rstrip('/')}/{partition}={d}")
         fs.delete(p, True)

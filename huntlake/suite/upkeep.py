@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from huntlake.functions.parse import compact_stamp, parse_audit
 from huntlake.operators import aggregate as A
+from huntlake.operators import cleanup as K
 from huntlake.operators import compare as C
 from huntlake.operators import retention as T
 from huntlake.plans.sizes import small_side
 from huntlake.session import scratch_path
 from huntlake.sources import snapshots as S
+from huntlake.sources.files import Files
+from huntlake.sources.sinks import write_events
 from huntlake.suite.base import ev_sql, events, query, table
 from huntlake.suite.ingest import _audit_lines
 
@@ -65,6 +68,26 @@ def retention_log(spark, sf):
     return spark.read.parquet(path)
 
 
+CLEANED = """SELECT '{0}' AS table_name, count(*) FILTER (ts < TIMESTAMP '2024-02-15 12:00:00' - INTERVAL {1} DAY) AS rows_deleted,
+  TIMESTAMP '2024-02-15 12:00:00' AS cleanup_time, CAST({1} AS INTEGER) AS retention_days,
+  count(*) FILTER (ts >= TIMESTAMP '2024-02-15 12:00:00' - INTERVAL {1} DAY) AS rows_left, CAST(0 AS BIGINT) AS copies_left FROM events WHERE {2}"""
+
+
+@query("cleanup_job", " UNION ALL ".join(CLEANED.format(*x) for x in (("events", 30, "true"), ("errors", 20, "event_type = 'error'"))))
+def cleanup_job(spark, sf):
+    base, ev = scratch_path(spark, "cleanup"), events(spark, sf)
+    write_events(ev, f"{base}/events", "ts")
+    write_events(ev.where("event_type = 'error'"), f"{base}/errors", "ts")
+    tables = [K.StoredTable("events", f"{base}/events", 30, "ts"), K.StoredTable("errors", f"{base}/errors", 20, "ts")]
+    done = K.cleanup_job(spark, tables, datetime(2024, 2, 15, 12), f"{base}/journal", f"{base}/log")
+    left = None
+    for t in tables:
+        n = spark.read.parquet(t.path).agg(F.count(F.lit(1)).alias("rows_left")).withColumn("table_name", F.lit(t.name))
+        left = n if left is None else left.unionByName(n)
+    copies = len(Files(spark).names(f"{base}/journal"))
+    return done.join(left, "table_name").withColumn("copies_left", F.lit(copies).cast("long"))
+
+
 POLICY = """targets AS (SELECT c_custkey, 'region' || CAST(n_regionkey AS VARCHAR) AS kind, n_name AS subject
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 own AS (SELECT 'region' || CAST(n_regionkey AS VARCHAR) AS kind, n_name AS subject, CAST(n_nationkey * 10 AS INTEGER) AS v
