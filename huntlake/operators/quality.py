@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huntlake.functions.common import let
 from huntlake.functions.pii import secret_scan
+from huntlake.operators.records import record_errors
 
 
 class QualityError(Exception):
@@ -21,47 +21,9 @@ def missing_required(text: Column, required: Sequence[str]) -> Column:
     return F.array_except(F.array(*[F.lit(k) for k in required]).cast("array<string>"), keys)
 
 
-def _type_ok(doc: Column, key: str, wanted: str | Sequence[str]) -> Column:
-    """Type of one top-level key as JSON Schema sees it; an absent key passes."""
-    names = [wanted] if isinstance(wanted, str) else list(wanted)
-
-    def test(value: Column, kind: Column) -> Column:
-        number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        tests = {
-            "string": kind == "STRING",
-            "boolean": kind == "BOOLEAN",
-            "object": kind.startswith("OBJECT"),
-            "array": kind.startswith("ARRAY"),
-            "null": kind == "VOID",
-            "number": number,
-            "integer": (kind == "BIGINT") | (number & (F.try_variant_get(value, "$", "double") % 1 == 0)),
-        }
-        ok = F.lit(False)
-        for n in names:
-            ok = ok | tests[n]
-        return value.isNull() | F.coalesce(ok, F.lit(False))
-
-    return let(F.variant_get(doc, f"$['{key}']", "variant"), lambda v: let(F.schema_of_variant(v), lambda k: test(v, k)))
-
-
 def rule_errors(text: Column, schema: Mapping) -> Column:
-    """Sorted error names for one JSON record: ``required:k``, ``type:k``, ``additional:k``, and
-    ``type:$`` for text that is no JSON object. Empty means valid. The record is parsed once."""
-    props = schema.get("properties", {})
-    names = lambda ks: F.array(*[F.lit(k) for k in ks]).cast("array<string>")
-    tag = lambda prefix, arr: F.transform(arr, lambda k: F.concat(F.lit(prefix), k))
-
-    def errors(keys: Column) -> Column:
-        parts = [tag("required:", F.array_except(names(schema.get("required", [])), keys))]
-        typed = {k: p["type"] for k, p in props.items() if "type" in p}
-        if typed:
-            parts.append(let(F.try_parse_json(text), lambda doc: F.array_compact(F.array(*[
-                F.when(~_type_ok(doc, k, t), F.lit(f"type:{k}")) for k, t in typed.items()]))))
-        if schema.get("additionalProperties", True) is False:
-            parts.append(tag("additional:", F.array_except(keys, names(props))))
-        return F.when(keys.isNull(), F.array(F.lit("type:$"))).otherwise(F.sort_array(F.concat(*parts)))
-
-    return let(F.json_object_keys(text), errors)
+    """Sorted errors of one JSON record, see ``records.record_errors``; an unknown keyword in the schema raises."""
+    return record_errors(text, schema)
 
 
 def validate(df: DataFrame, text: str, schema: Mapping, out: str = "errors") -> DataFrame:

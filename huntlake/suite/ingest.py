@@ -9,6 +9,7 @@ from huntlake.functions import parse as X
 from huntlake.operators import normalize as N
 from huntlake.sources import readers as R
 from huntlake.sources import sinks as W
+from huntlake.sources import staging as G
 from huntlake.plans.sizes import local_rows
 from huntlake.session import scratch_path
 from huntlake.suite.base import EV, ev_sql, events, query, table
@@ -284,17 +285,22 @@ def collect_multi(spark, sf):
 
 
 @query("collect_status", ev_sql("""
-SELECT 'edr' AS source, 'ok' AS status, CAST(count(*) AS BIGINT) AS n FROM ev
-UNION ALL SELECT 'gone', 'failed', 0"""))
+SELECT 'edr' AS source, 'ok' AS status, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS merged FROM ev
+UNION ALL SELECT 'siem', 'ok', count(*), count(*) FROM ev WHERE event_type = 'error'
+UNION ALL SELECT 'gone', 'failed', 0, 0 UNION ALL SELECT 'corrupt', 'failed', 0, 0"""))
 def collect_status(spark, sf):
-    base = scratch_path(spark, "status")
-    events(spark, sf).select("event_id", "user_id").write.json(base + "/edr")
+    base, ev = scratch_path(spark, "status"), events(spark, sf)
+    ev.select("event_id", "user_id").write.json(base + "/edr")
+    ev.where("event_type = 'error'").select("event_id", "ts").write.parquet(base + "/siem")
+    # readable as a listing, not as Parquet: fails only when rows are asked for
+    ev.select(F.col("user_id").alias("value")).write.text(base + "/corrupt")
     schema = T.StructType().add("event_id", "long").add("user_id", "string")
-    df, report = R.collect_sources(spark, [R.Source("edr", base + "/edr", "json", schema),
-                                           R.Source("gone", base + "/gone", "json", schema)])
-    per = df.groupBy(F.col("collected_from").alias("source")).agg(F.count("event_id").alias("n"))
-    both = report.select("source", "status").unionByName(per, allowMissingColumns=True)
-    return both.groupBy("source").agg(F.max("status").alias("status"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    df, report = G.collect_staged(spark, [
+        R.Source("edr", base + "/edr", "json", schema), R.Source("gone", base + "/gone", "json", schema),
+        R.Source("corrupt", base + "/corrupt", "parquet", schema), R.Source("siem", base + "/siem", "parquet"),
+    ], base + "/stage")
+    per = df.groupBy(F.col("collected_from").alias("source")).agg(F.count("event_id").alias("merged"))
+    return report.select("source", "status", "n").join(F.broadcast(per), "source", "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
 
 
 @query("scan_table", """

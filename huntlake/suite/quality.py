@@ -8,58 +8,70 @@ from huntlake.operators import quality as Q
 from huntlake.suite.base import ev_sql, events, query, table
 
 STRICT = {
-    "properties": {"name": {"type": "string"}, "port": {"type": "integer"}},
-    "required": ["name"],
+    "properties": {
+        "rule": {"type": "string", "minLength": 3, "pattern": "^[a-z_]+$"},
+        "severity": {"enum": ["low", "high"]},
+        "hits": {"type": "integer", "minimum": 1},
+        "hosts": {"type": "array", "items": {"type": "string"}, "maxItems": 2},
+        "origin": {"type": "object", "required": ["ip"], "properties": {"ip": {"type": "string"}}},
+    },
+    "required": ["rule", "severity"],
     "additionalProperties": False,
 }
-LOOSE = {
-    "properties": {"name": {"type": "string"}, "port": {"type": ["integer", "number"]}, "settings": {"type": "object"}},
-    "required": ["name", "port"],
-}
+LOOSE = {"properties": {"rule": {"type": ["string", "null"]}, "hits": {"type": "number", "maximum": 100}}, "required": ["hits"]}
 
 RECORDS = """recs AS (
   SELECT event_id, 'v' || CAST(event_id % 3 AS VARCHAR) AS version, CASE event_id % 7
-    WHEN 0 THEN '{"name":"' || user_id || '","port":' || CAST(event_id AS VARCHAR) || '}'
-    WHEN 1 THEN '{"port":1}'
-    WHEN 2 THEN '{"name":"' || user_id || '","extra_key":"not allowed"}'
-    WHEN 3 THEN '{"name":' || CAST(event_id AS VARCHAR) || '}'
-    WHEN 4 THEN '{"name":null,"port":2.0}'
-    WHEN 5 THEN '{"name":"x","port":1.5,"settings":[1]}'
-    ELSE '{"name" broken' END AS j FROM ev)"""
-
-STRICT_SQL = """CASE WHEN NOT json_valid(j) THEN 'type:$' ELSE concat_ws(',',
-  CASE WHEN json_exists(j, '$.extra_key') THEN 'additional:extra_key' END,
-  CASE WHEN json_exists(j, '$.settings') THEN 'additional:settings' END,
-  CASE WHEN NOT json_exists(j, '$.name') THEN 'required:name' END,
-  CASE WHEN json_exists(j, '$.name') AND json_type(j, '$.name') <> 'VARCHAR' THEN 'type:name' END,
-  CASE WHEN json_exists(j, '$.port') AND CAST(json_extract_string(j, '$.port') AS DOUBLE) % 1 <> 0 THEN 'type:port' END) END"""
-LOOSE_SQL = """CASE WHEN NOT json_valid(j) THEN 'type:$' ELSE concat_ws(',',
-  CASE WHEN NOT json_exists(j, '$.name') THEN 'required:name' END,
-  CASE WHEN NOT json_exists(j, '$.port') THEN 'required:port' END,
-  CASE WHEN json_exists(j, '$.name') AND json_type(j, '$.name') <> 'VARCHAR' THEN 'type:name' END,
-  CASE WHEN json_exists(j, '$.settings') AND json_type(j, '$.settings') <> 'OBJECT' THEN 'type:settings' END) END"""
+    WHEN 0 THEN '{"rule":"' || event_type || '_rate","severity":"low","hits":' || CAST(event_id AS VARCHAR) || '}'
+    WHEN 1 THEN '{"severity":"high"}'
+    WHEN 2 THEN '{"rule":"x","severity":"medium","seen_by":"' || user_id || '"}'
+    WHEN 3 THEN '{"rule":' || CAST(event_id AS VARCHAR) || ',"severity":"low","hosts":["a",1,"c"]}'
+    WHEN 4 THEN '{"rule":null,"severity":"high","hits":2.0}'
+    WHEN 5 THEN '{"rule":"Bad Rule","severity":"low","hits":1.5,"origin":{}}'
+    ELSE '{"rule" broken' END AS j FROM ev)"""
+
+
+def _listed(*cases: str) -> str:
+    lines = ", ".join(f"CASE WHEN {case} END" for case in cases)
+    return f"CASE WHEN NOT json_valid(j) THEN 'type:$' ELSE array_to_string(list_sort(list_filter([{lines}], lambda x: x IS NOT NULL)), ',') END"
+
+
+RULE, HITS = "json_extract_string(j, '$.rule')", "CAST(json_extract_string(j, '$.hits') AS DOUBLE)"
+STRICT_SQL = _listed(
+    "json_exists(j, '$.seen_by') THEN 'additional:seen_by'",
+    "json_extract_string(j, '$.severity') NOT IN ('low', 'high') THEN 'enum:severity'",
+    "NOT json_exists(j, '$.rule') THEN 'required:rule'", "NOT json_exists(j, '$.severity') THEN 'required:severity'",
+    "json_exists(j, '$.rule') AND json_type(j, '$.rule') <> 'VARCHAR' THEN 'type:rule'",
+    f"json_type(j, '$.rule') = 'VARCHAR' AND length({RULE}) < 3 THEN 'minLength:rule'",
+    f"json_type(j, '$.rule') = 'VARCHAR' AND NOT regexp_matches({RULE}, '^[a-z_]+$') THEN 'pattern:rule'",
+    f"{HITS} < 1 THEN 'minimum:hits'", f"{HITS} % 1 <> 0 THEN 'type:hits'",
+    "json_array_length(j, '$.hosts') > 2 THEN 'maxItems:hosts'", "json_type(j, '$.hosts[1]') <> 'VARCHAR' THEN 'type:hosts[1]'",
+    "json_exists(j, '$.origin') AND NOT json_exists(j, '$.origin.ip') THEN 'required:origin.ip'")
+LOOSE_SQL = _listed(
+    "NOT json_exists(j, '$.hits') THEN 'required:hits'", f"{HITS} > 100 THEN 'maximum:hits'",
+    "json_exists(j, '$.rule') AND json_type(j, '$.rule') NOT IN ('VARCHAR', 'NULL') THEN 'type:rule'")
 
 
 def records(spark, sf):
-    kind, user, num = F.col("event_id") % 7, F.col("user_id"), F.col("event_id").cast("string")
+    kind, num = F.col("event_id") % 7, F.col("event_id").cast("string")
     j = (
-        F.when(kind == 0, F.concat(F.lit('{"name":"'), user, F.lit('","port":'), num, F.lit("}")))
-        .when(kind == 1, F.lit('{"port":1}'))
-        .when(kind == 2, F.concat(F.lit('{"name":"'), user, F.lit('","extra_key":"not allowed"}')))
-        .when(kind == 3, F.concat(F.lit('{"name":'), num, F.lit("}")))
-        .when(kind == 4, F.lit('{"name":null,"port":2.0}'))
-        .when(kind == 5, F.lit('{"name":"x","port":1.5,"settings":[1]}'))
-        .otherwise(F.lit('{"name" broken'))
+        F.when(kind == 0, F.concat(F.lit('{"rule":"'), "event_type", F.lit('_rate","severity":"low","hits":'), num, F.lit("}")))
+        .when(kind == 1, F.lit('{"severity":"high"}'))
+        .when(kind == 2, F.concat(F.lit('{"rule":"x","severity":"medium","seen_by":"'), "user_id", F.lit('"}')))
+        .when(kind == 3, F.concat(F.lit('{"rule":'), num, F.lit(',"severity":"low","hosts":["a",1,"c"]}')))
+        .when(kind == 4, F.lit('{"rule":null,"severity":"high","hits":2.0}'))
+        .when(kind == 5, F.lit('{"rule":"Bad Rule","severity":"low","hits":1.5,"origin":{}}'))
+        .otherwise(F.lit('{"rule" broken'))
     )
     version = F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string"))
     return events(spark, sf).select("event_id", version.alias("version"), j.alias("j"))
 
 
 @query("dq_required", ev_sql("""
-SELECT event_id, concat_ws(',', CASE WHEN NOT json_valid(j) OR NOT json_exists(j, '$.name') THEN 'name' END,
-                           CASE WHEN NOT json_valid(j) OR NOT json_exists(j, '$.port') THEN 'port' END) AS missing FROM recs""", RECORDS))
+SELECT event_id, concat_ws(',', CASE WHEN NOT json_valid(j) OR NOT json_exists(j, '$.rule') THEN 'rule' END,
+                           CASE WHEN NOT json_valid(j) OR NOT json_exists(j, '$.hits') THEN 'hits' END) AS missing FROM recs""", RECORDS))
 def dq_required(spark, sf):
-    return records(spark, sf).select("event_id", F.array_join(Q.missing_required(F.col("j"), ["name", "port"]), ",").alias("missing"))
+    return records(spark, sf).select("event_id", F.array_join(Q.missing_required(F.col("j"), ["rule", "hits"]), ",").alias("missing"))
 
 
 @query("dq_validate", ev_sql(f"SELECT event_id, {STRICT_SQL} AS errors FROM recs", RECORDS))
