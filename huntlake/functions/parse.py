@@ -26,6 +26,8 @@ SYSLOG_3164 = r"^<([0-9]+)>([A-Z][a-z]{2}) +([0-9]{1,2}) ([0-9:]{8}) ([^ ]+) ([^
 SYSLOG_5424 = r"^<([0-9]+)>1 ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) (-|(?:\[(?:[^\]\\]|\\.)*+\])++) ?(.*)$"
 # Keys never kept in extras, compared exactly.
 REDACTED_KEYS = ("password", "key", "secret")
+# a key with its value in text that is no JSON object: name, ":" or "=", then a quoted text, a list, or what goes up to the next separator
+_RAW_VALUE = r"""(?<![A-Za-z0-9_])(["']?(?:%s)["']?\s*[:=]\s*)(?:"(?:[^"\\]|\\.)*+"?|'(?:[^'\\]|\\.)*+'?|[^,;&}\s]*+)"""
 
 WIN_EVENT = (
     "System struct<Provider struct<_Name string>, EventID int, TimeCreated struct<_SystemTime string>,"
@@ -76,7 +78,11 @@ def json_or_raw(text: Column) -> Column:
 
 
 def redact_map(extra: Column, keys: Sequence[str] = REDACTED_KEYS) -> Column:
-    return F.map_filter(extra, lambda k, _: ~k.isin(list(keys)))
+    """The map without the entries of ``keys``. Under ``_raw``, which holds text that could not be read as an object, the values
+    of these keys are blanked."""
+    pattern = _RAW_VALUE % "|".join(keys)
+    kept = F.map_filter(extra, lambda k, _: ~k.isin(list(keys)))
+    return F.transform_values(kept, lambda k, v: F.when(k == "_raw", F.regexp_replace(v, pattern, "$1***")).otherwise(v))
 
 
 def truncate_text(text: Column, size: int) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from huntlake.functions import masking as M
 from huntlake.functions import pii as D
+from huntlake.functions.parse import parse_audit
 from huntlake.operators import privacy as P
+from huntlake.session import scratch_path
+from huntlake.sources.audit_store import deanonymization_store, deanonymize_logged, operations_store
 from huntlake.suite.base import KEY, ORACLES, SALT, ev_sql, events, query, table
+from huntlake.suite.ingest import _audit_lines
 
 
 def _h(expr: str) -> str:
@@ -233,7 +237,8 @@ coded AS (
   FROM req r JOIN best b ON r.request_id = b.request_id)"""
 
 
-def _answers(spark, sf, hot_rows=None):
+def _case(spark, sf):
+    """Requests, approvals and levels."""
     ev = events(spark, sf)
     hunter = F.concat(F.lit("hunter"), (F.col("event_id") % 7).cast("string"))
     wanted = F.when(F.col("event_id") % 31 == 0, "nobody").otherwise(F.col("user_id"))
@@ -250,8 +255,12 @@ def _answers(spark, sf, hot_rows=None):
     levels = people.where(number == 0).select("user", F.lit(None).cast("string").alias("field_type"), F.lit(3).alias("level")) \
         .unionByName(people.where(number.between(1, 3)).select("user", F.lit("user").alias("field_type"), F.lit(2).alias("level"))) \
         .unionByName(people.where(number == 4).select("user", F.lit("ip").alias("field_type"), F.lit(2).alias("level")))
+    return requests, _mappings(spark, ev), levels, approvals
+
+
+def _answers(spark, sf, hot_rows=None):
     options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return P.deanonymize(requests, _mappings(spark, ev), levels, approvals, KEY, timeout_seconds=2 * 86400, **options)
+    return P.deanonymize(*_case(spark, sf), KEY, timeout_seconds=2 * 86400, **options)
 
 
 @query("deanonymize", ev_sql("""
@@ -271,3 +280,29 @@ SELECT "user", req_ts AS timestamp, field_type AS field, reason, reason_code AS
        reason_code IN ('level3', 'approved') AND original IS NOT NULL AS revealed, request_id FROM coded""", ANSWERS))
 def deanon_audit(spark, sf):
     return P.deanonymization_audit(_answers(spark, sf))
+
+
+@query("deanon_store", ev_sql("""
+SELECT request_id, "user", reason_code, reason_code IN ('level3', 'approved') AND original IS NOT NULL AS revealed,
+       CASE WHEN reason_code IN ('level3', 'approved') THEN original END AS original_value, CAST(req_ts AS DATE) AS logged_at,
+       count(*) OVER () AS rows_stored FROM coded""", ANSWERS))
+def deanon_store(spark, sf):
+    """Every request is answered twice from the same store; the second time nothing more is stored."""
+    store = deanonymization_store(spark, scratch_path(spark, "deanonymization"))
+    deanonymize_logged(*_case(spark, sf), KEY, store, timeout_seconds=2 * 86400)
+    answers = deanonymize_logged(*_case(spark, sf), KEY, store, timeout_seconds=2 * 86400)
+    n = store.read().count()
+    return answers.select("request_id", "user", "reason_code", "revealed", "original_value", "logged_at", F.lit(n).cast("long").alias("rows_stored"))
+
+
+@query("audit_store", ev_sql("""
+SELECT user_id, source_system AS vm_id, 'ls | grep ' || process_name AS operation, date_trunc('second', ts) AS start,
+       CAST(date_trunc('second', ts) AS DATE) AS audit_day, '{"Secret":"kept","k":"' || event_type || '"}' AS extra
+FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, source_system, process_name, date_trunc('second', ts) ORDER BY event_id) = 1"""))
+def audit_store(spark, sf):
+    """Audit lines parsed and stored in two batches that overlap."""
+    store = operations_store(spark, scratch_path(spark, "audit-logs"))
+    parsed = parse_audit(_audit_lines(events(spark, sf)))
+    store.append(parsed.where("event_id % 3 <> 0"))
+    store.append(parsed)
+    return store.read().select("user_id", "vm_id", "operation", "start", "audit_day", "extra")

@@ -60,7 +60,8 @@ def compare(con, df, sql):
     if odd:
         return f"types differ: {odd}"
     if got != want:
-        a, b = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        there, here = set(want), set(got)
+        a, b = [r for r in got if r not in there][:3], [r for r in want if r not in here][:3]
         return f"{len(got)} rows against {len(want)}; only here {a}; only there {b}"
     return None if got else "no rows"
 
