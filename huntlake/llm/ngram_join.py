@@ -11,6 +11,8 @@ added up per pair, and size-derived bounds keep most of the product from being f
   among them. The order decides the cost, never the result.
 * Of the one whose last such n-gram comes first, all of the shared n-grams among its first are
   among the other's as well: fewer than t - ceil(3 a / 4) + 1 shared ones rule the pair out.
+* So, too, what it alone has among its first is not shared: with u such columns it shares at most a - u n-grams, which must
+  reach t. Members of a family that differ in too many places are ruled out by that before they are paired.
 * Every column links its rows to its least row first. What those links, once verified, put into one
   component is not paired again: only rows of different components are, so that a large group of
   near copies costs as many pairs as it has members, not their square.
@@ -36,7 +38,7 @@ from huntlake.llm.words import WordHashes, digest
 WORDS = 5
 #: An n-gram is frequent from so many documents on; at most so many are put last in the order.
 FREQUENT = 20
-FREQUENT_KEYS = 200_000
+FREQUENT_KEYS = 1_000_000
 
 
 def _sets(texts: list[bytes], hashes: WordHashes, k: int) -> list[np.ndarray]:
@@ -70,39 +72,59 @@ def _describe(k: int):
     return make
 
 
-def _first_columns(row: dict, owners: dict[int, int], frequent: np.ndarray, hashes: WordHashes, k: int):
-    """Column, owner and set of the first n-grams, frequent ones last, of the sets in ``owners``."""
-    keys, held = [np.empty(0, np.uint64)], [x for x in unpack(row) if x[0] in owners]
-    names = [name for name, _ in held]
+def _first_columns(row: dict, frequent: np.ndarray, hashes: WordHashes, k: int) -> pa.RecordBatch:
+    """The first n-grams, frequent ones last, of the sets whose class is at home in a slice."""
+    wanted = set(row["own"])
+    held = [x for x in unpack(row) if x[0] in wanted]
+    keys, sizes, ends = [np.empty(0, np.uint64)], [], []
     for found in _sets([text for _, text in held], hashes, k):
-        n = len(found)
+        n, early = len(found), len(found)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
             late = frequent[at] == found
-            found = np.concatenate([found[~late], found[late]])
-        keys.append(found[: n - (3 * n + 3) // 4 + 1] << np.uint64(2))
-    sizes = [len(x) for x in keys[1:]]
-    owner = np.array([owners[x] for x in names], np.int64)
-    return np.concatenate(keys), np.repeat(owner, sizes), np.repeat(np.array(names, np.int64), sizes)
+            found, early = np.concatenate([found[~late], found[late]]), n - int(late.sum())
+        first = n - (3 * n + 3) // 4 + 1
+        keys.append(found[:first] << np.uint64(2))
+        sizes.append(n)
+        ends.append(int(found[first - 1]) + ((first > early) << 62))
+    return pa.RecordBatch.from_arrays([
+        pa.array([row["slice"]], pa.int64()), pa.array([[name for name, _ in held]], pa.list_(pa.int64())),
+        pa.array([sizes], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int64())), pa.array([[len(x) for x in keys[1:]]], pa.list_(pa.int32())),
+        pa.array([np.concatenate(keys).tobytes()], pa.binary())], names=["slice", "names", "sizes", "ends", "counts", "keys"])
+
+
+def columns(slices: DataFrame, frequent: np.ndarray, k: int) -> DataFrame:
+    """The matrix in blocks: per slice its sets (``names``, ``sizes``) and their first n-grams (``counts`` of ``keys``, up to the
+    place ``ends`` in the order of all n-grams), stored, so that texts are read and hashed for it once. ``slices`` have ``own``: the sets to take."""
+    shared = slices.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_KEYS numbers
+
+    def run(batches):
+        hashes = WordHashes(lower=True)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _first_columns(batch.slice(i, 1).to_pylist()[0], shared.value, hashes, k)
+
+    return store(slices.mapInArrow(run, "slice long, names array<long>, sizes array<int>, ends array<long>, counts array<int>, keys binary"), "columns")
 
 
 class _Product:
-    """The columns of the sets in the slices ``work`` (with ``own``: set and owner)."""
+    """Columns of the matrix, with ``own`` (name, owner) where sets belong to more than themselves."""
 
-    def __init__(self, work: DataFrame, frequent: np.ndarray, k: int, buckets: int):
-        self.work, self.k, self.buckets = work, k, buckets
-        self.frequent = work.sparkSession.sparkContext.broadcast(frequent)
+    def __init__(self, work: DataFrame, buckets: int):
+        self.work, self.buckets = work, buckets
 
     def _map(self, use, schema: str) -> DataFrame:
-        shared, k = self.frequent, self.k
-
         def run(batches):
-            hashes = WordHashes(lower=True)
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
-                    owners = {x["name"]: x["owner"] for x in row["own"]}
-                    yield use(row, *_first_columns(row, owners, shared.value, hashes, k))
+                    names, counts = np.array(row["names"], np.int64), np.array(row["counts"], np.int64)
+                    owner = names
+                    if row.get("own") is not None:
+                        owners = {x["name"]: x["owner"] for x in row["own"]}
+                        owner = np.array([owners[x] for x in row["names"]], np.int64)
+                    set_at = np.repeat(np.arange(len(names)), counts)
+                    yield use(row, np.frombuffer(row["keys"], np.uint64), owner, names, set_at)
 
         return self.work.mapInArrow(run, schema)
 
@@ -110,7 +132,8 @@ class _Product:
         """Blocks of columns; ``only``: those that an earlier answer says several sets share."""
         buckets = self.buckets
 
-        def use(row, key, owner, _):
+        def use(row, key, owner, _, set_at):
+            owner = owner[set_at]
             if only:
                 known, inverse = np.unique(key, return_inverse=True)
                 yes = read_answers(known, row["answers"], buckets)[0][inverse]
@@ -120,11 +143,23 @@ class _Product:
 
         return self._map(use, BLOCK)
 
+    def bounds(self) -> DataFrame:
+        """(set_id, n, ends, most): of its ``n`` n-grams a set shares at most ``most`` with a set whose columns end at ``ends`` or later:
+        such a set has among its columns whatever the two share of this one's, so it has none of those that this one alone asked for."""
+        buckets = self.buckets
+
+        def use(row, key, _, names, set_at):
+            n, most, _ = _most(row, key, set_at, buckets)
+            return pa.RecordBatch.from_pydict({"set_id": pa.array(names), "n": pa.array(n), "ends": pa.array(row["ends"], pa.int64()), "most": pa.array(most)})
+
+        return self._map(use, "set_id long, n long, ends long, most long")
+
     def star(self) -> DataFrame:
         """(a, b, c): ``b`` shares ``c`` columns with ``a``, the least of each of those columns."""
         buckets = self.buckets
 
-        def use(row, key, _, name):
+        def use(row, key, _, names, set_at):
+            name = names[set_at]
             known, inverse = np.unique(key, return_inverse=True)
             yes, least, _ = read_answers(known, row["answers"], buckets)
             least, yes = least[inverse], yes[inverse]
@@ -137,19 +172,29 @@ class _Product:
         return self._map(use, "a long, b long, c long")
 
     def mixed(self) -> DataFrame:
-        """(key, root, set_id) of columns that sets of several components share."""
+        """(key, root, set_id) of columns that sets of several components share, and the ``bounds`` of the set."""
         buckets = self.buckets
 
-        def use(row, key, owner, name):
+        def use(row, key, owner, names, set_at):
             known, inverse = np.unique(key, return_inverse=True)
-            asked = read_answers(known, row["answers"], buckets)[0]
+            n, most, asked = _most(row, key, set_at, buckets)
             yes = np.zeros(len(known), bool)
             yes[asked] = read_answers(known[asked], row["roots"], buckets)[0]
             yes = yes[inverse]
+            at = set_at[yes]
             return pa.RecordBatch.from_pydict({
-                "key": pa.array(key[yes].astype(np.int64)), "root": pa.array(owner[yes]), "set_id": pa.array(name[yes])})
+                "key": pa.array(key[yes].astype(np.int64)), "root": pa.array(owner[at]), "set_id": pa.array(names[at]),
+                "n": pa.array(n[at]), "ends": pa.array(np.array(row["ends"], np.int64)[at]), "most": pa.array(most[at])})
 
-        return self._map(use, "key long, root long, set_id long")
+        return self._map(use, "key long, root long, set_id long, n long, ends long, most long")
+
+
+def _most(row: dict, key: np.ndarray, set_at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of a slice's sets, what they may share at most, and which of the different columns several sets share."""
+    known, inverse = np.unique(key, return_inverse=True)
+    asked = read_answers(known, row["answers"], buckets)[0]
+    n = np.array(row["sizes"], np.int64)
+    return n, n - np.bincount(set_at[~asked[inverse]], minlength=len(n)), asked
 
 
 def _bodies(slices: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -194,15 +239,23 @@ def _linked(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
+def _shared(a: str, b: str) -> Column:
+    """ceil(3 (a + b) / 7): n-grams that linked sets of these sizes share"""
+    return F.floor((3 * (F.col(a) + F.col(b)) + 6) / 7)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """The sets ``a`` and ``b`` can be linked, as far as sizes and what the one whose columns end first may share can say."""
+    n_a, n_b, end_a, end_b = (F.col(x) for x in (f"n_{a}", f"n_{b}", f"ends_{a}", f"ends_{b}"))
+    most = F.when(end_a < end_b, F.col(f"most_{a}")).when(end_a > end_b, F.col(f"most_{b}")).otherwise(F.least(f"most_{a}", f"most_{b}"))
+    return (100 * F.least(n_a, n_b) >= 75 * F.greatest(n_a, n_b)) & (most >= _shared(f"n_{a}", f"n_{b}"))
+
+
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``pairs`` of compatible sizes, with ``least``: the shared columns that a linked pair has."""
-    both = (
-        pairs.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("n_b")), "b")
-    )
-    big, small = F.greatest("n_a", "n_b"), F.least("n_a", "n_b")
-    t = F.floor((3 * (F.col("n_a") + F.col("n_b")) + 6) / 7)
-    return both.where(100 * small >= 75 * big).withColumn("least", F.greatest(t - _need(big) + 1, F.lit(1)))
+    """``pairs`` that may be linked, with ``least``: the shared columns that a linked pair has."""
+    side = lambda x: sizes.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "ends", "most")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b"))
+    return both.withColumn("least", F.greatest(_shared("n_a", "n_b") - _need(F.greatest("n_a", "n_b")) + 1, F.lit(1)))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -228,30 +281,32 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
         F.min("n").alias("n"), F.min(F.struct("doc_id", "slice")).alias("at"))
     classes = store(classes.select("name", "n", F.col("at.doc_id").alias("doc_id"), F.col("at.slice").alias("slice")), "sets")
     total = classes.agg(F.sum(F.col("n") - _need(F.col("n")) + 1)).first()[0] or 0
-    sizes = classes.select(F.col("name").alias("set_id"), "n")
     packed = slices.select("slice", "packed", "sizes", "body")
-
-    def owning(frame: DataFrame) -> DataFrame:
-        return packed.join(frame.groupBy("slice").agg(F.collect_list(F.struct("name", "owner")).alias("own")), "slice")
-
     buckets = bucket_count(docs, total)
-    alone = owning(classes.withColumn("owner", F.col("name")))
-    shared = store(answers(_Product(alone, frequent, k, buckets).requests()), "shared")
-    star = _sized(_Product(alone.join(shared, "slice"), frequent, k, buckets).star(), sizes)
+    home = classes.groupBy("slice").agg(F.collect_list("name").alias("own"))
+    matrix = columns(packed.join(home, "slice"), frequent, k)
+    shared = store(answers(_Product(matrix, buckets).requests()), "shared")
+    known = _Product(matrix.join(shared, "slice"), buckets)
+    sizes = store(known.bounds(), "bounds")
+    star = _sized(known.star(), sizes)
     star = store(star.where(F.col("c") * 3 >= F.col("least")).select("a", "b"), "star")
     first = store(_linked(star, _bodies(packed, classes, star), k), "first")
     root = components(first).withColumnRenamed("node", "name")
 
-    owners = classes.join(root, "name", "left").withColumn("owner", F.coalesce("root", "name"))
-    grown = owning(owners).join(shared, "slice")
-    roots = store(answers(_Product(grown, frequent, k, buckets).requests(only=True)), "roots").withColumnRenamed("answers", "roots")
-    mixed = store(_Product(grown.join(roots, "slice"), frequent, k, buckets).mixed(), "mixed")
-    heads = mixed.select("key", "root").distinct()
-    head_pairs = heads.select("key", F.col("root").alias("root_a")).join(
-        heads.select("key", F.col("root").alias("root_b")), "key").where("root_a < root_b")
+    owners = classes.join(root, "name", "left").select("slice", F.struct("name", F.coalesce("root", "name").alias("owner")).alias("x"))
+    grown = matrix.join(owners.groupBy("slice").agg(F.collect_list("x").alias("own")), "slice").join(shared, "slice")
+    roots = store(answers(_Product(grown, buckets).requests(only=True)), "roots").withColumnRenamed("answers", "roots")
+    mixed = store(_Product(grown.join(roots, "slice"), buckets).mixed(), "mixed")
+    # of each component in a column: its smallest and largest set, where their columns end, and the most that one of them may share
+    heads = mixed.groupBy("key", "root").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("ends").alias("from"), F.max("ends").alias("to"), F.max("most").alias("most"))
+    side = lambda x: heads.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high", "from", "to", "most")])
+    most = F.when(F.col("to_a") < F.col("from_b"), F.col("most_a")).when(F.col("to_b") < F.col("from_a"), F.col("most_b")).otherwise(F.greatest("most_a", "most_b"))
+    head_pairs = side("a").join(side("b"), "key").where("root_a < root_b AND 100 * high_a >= 75 * low_b AND 100 * high_b >= 75 * low_a") \
+        .where(most >= _shared("low_a", "low_b")).select("key", "root_a", "root_b")
+    of = lambda x, y: mixed.select("key", F.col("root").alias(f"root_{x}"), F.col("set_id").alias(y), *[F.col(c).alias(f"{c}_{y}") for c in ("n", "ends", "most")])
     cross = (
-        head_pairs.join(mixed.select("key", F.col("root").alias("root_a"), F.col("set_id").alias("x")), ["key", "root_a"])
-        .join(mixed.select("key", F.col("root").alias("root_b"), F.col("set_id").alias("y")), ["key", "root_b"])
+        head_pairs.join(of("a", "x"), ["key", "root_a"]).join(of("b", "y"), ["key", "root_b"]).where(_may_link("x", "y"))
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     )
     cross = store(_sized(cross, sizes).where(F.col("c") >= F.col("least")).select("a", "b"), "cross")

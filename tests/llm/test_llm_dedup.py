@@ -75,6 +75,26 @@ def test_ngram_join(spark, monkeypatch, frequent):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("frequent", [20, 10_000])
+def test_ngram_join_families(spark, monkeypatch, frequent):
+    """Variants of texts that are not there themselves, from one changed word to many, with neighbours just inside and just outside."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    rng, docs = random.Random(8), {}
+    for size in (40, 75, 150):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(9)}" for _ in range(size)]
+        for _ in range(90):
+            x = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 7])):
+                at = rng.randrange(len(x))
+                if rng.random() < 0.3:
+                    del x[at]
+                else:
+                    x[at] = rng.choice([f"new{rng.randrange(1000)}", "same", base[0]])
+            docs[len(docs)] = " ".join(x)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, docs)).collect()}
+    assert got == components_by_force(docs) and len({c for _, c in got.values()}) > 20
+
+
 def test_ngram_join_query(spark, sf):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op3_ngram_join"](spark, sf).collect()}
     assert got == components_by_force(documents(spark, sf))
