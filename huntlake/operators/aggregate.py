@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from huntlake.plans.quantiles import exact_quantiles
+from huntlake.plans.quantiles import bracket_aggs, exact_quantiles
+from huntlake.plans.sizes import local_rows
 
 
 def hourly_profile(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -63,25 +64,23 @@ def user_profile(df: DataFrame, key: str = "user_id", counted: str = "event_type
 
 
 def describe_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles, max per numeric column; quartiles are exact."""
-    aggs = []
+    """count, mean, std, min, quartiles, max per numeric column; quartiles are exact. Two scans of the columns; the first is made
+    when this is called, since the second depends on it."""
+    aggs, probs = [], (0.25, 0.5, 0.75)
     for c in columns:
         aggs += [F.count(c).alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"), F.stddev_samp(c).alias(f"{c}|std"),
                  F.min(c).cast("double").alias(f"{c}|min"), F.max(c).cast("double").alias(f"{c}|max")]
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(F.lit(c).alias("column_name"),
-                 *[F.col(f"{c}|{s}").alias(s) for s in ("count", "mean", "std", "min", "max")])
-        for c in columns
-    ]
-    basic = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    seen = df.agg(*aggs, *bracket_aggs(columns, probs)).first()
+    names = ("count", "mean", "std", "min", "max")
+    # one row per column
+    basic = F.broadcast(local_rows(df.sparkSession, [(c, *[seen[f"{c}|{s}"] for s in names]) for c in columns],
+                                   "column_name string, count long, mean double, std double, min double, max double"))
     quart = (
-        exact_quantiles(df, columns, (0.25, 0.5, 0.75))
+        exact_quantiles(df, columns, probs, seen)
         .groupBy("column_name")
-        .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
-               for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in zip(probs, ("q25", "q50", "q75"))])
     )
-    return basic.join(quart, "column_name", "left").select(
+    return quart.join(basic, "column_name", "right").select(
         "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from huntlake.functions import masking as M
@@ -9,6 +11,7 @@ from huntlake.functions import pii as D
 from huntlake.functions.parse import parse_audit
 from huntlake.operators import privacy as P
 from huntlake.session import scratch_path
+from huntlake.sources import mapping_store as S
 from huntlake.sources.audit_store import deanonymization_store, deanonymize_logged, operations_store
 from huntlake.suite.base import KEY, ORACLES, SALT, ev_sql, events, query, table
 from huntlake.suite.ingest import _audit_lines
@@ -208,6 +211,22 @@ def mapping_new(spark, sf):
     return fresh.select("anonymized_value", "field_type", "encrypted", "created_at")
 
 
+@query("mapping_store", ev_sql("""
+SELECT v.anonymized_value, v.field_type, v.original, CASE WHEN e.original IS NULL THEN DATE '2024-02-02' ELSE DATE '2024-02-01' END AS created,
+       count(e.original) OVER () AS added_first, count(*) OVER () - count(e.original) OVER () AS added_second, CAST(0 AS BIGINT) AS added_third
+FROM vals v LEFT JOIN (SELECT DISTINCT field_type, original FROM vals_even) e ON e.field_type = v.field_type AND e.original = v.original""",
+    VALUES, VALUES.replace("vals AS", "vals_even AS").replace("FROM ev", "FROM ev WHERE event_id % 2 = 0")))
+def mapping_store(spark, sf):
+    """Half of the events, then all, then all again into one store."""
+    name = f"mappings_{uuid.uuid4().hex}"
+    ev, store = events(spark, sf), S.MappingStore(spark, name, scratch_path(spark, "mappings"), buckets=16).create()
+    added = [store.add(_values(part), SALT, KEY, day).first()["added"] for part, day in (
+        (ev.where("event_id % 2 = 0"), "2024-02-01"), (ev, "2024-02-02"), (ev, "2024-02-03"))]
+    return store.read().select("anonymized_value", "field_type", P.decrypt(F.col("original_value"), KEY).alias("original"),
+                               F.col("created_at").cast("date").alias("created"),
+                               *[F.lit(n).cast("long").alias(f"added_{w}") for n, w in zip(added, ("first", "second", "third"))])
+
+
 def _mappings(spark, ev):
     none = ev.where("false").select(F.lit("").alias("anonymized_value"), F.lit("").alias("field_type"))
     return P.new_mappings(_values(ev), none, SALT, KEY, "2024-02-01")

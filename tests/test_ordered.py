@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from huntlake.operators import detect as D
 from huntlake.plans.ordered import MAX_HOT_KEYS, Ordered, by_key, hot_key_table
-from huntlake.plans.quantiles import exact_quantiles
+from huntlake.plans.quantiles import _intervals, _region, bracket_aggs, exact_quantiles
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = T.StructType([
@@ -190,3 +190,28 @@ def test_empty_input_and_no_findings(skewed):
     hot = skewed.where("k = 'hot'")
     assert D.ban_intervals(hot, "k", maxretry=1000, hot_rows=10).isEmpty()
     assert D.burst_detect(hot, "k", maxretry=1000, hot_rows=10).isEmpty()
+
+
+@pytest.mark.parametrize("rows,accuracy,hot_rows", [(1, 10_000, 10**6), (3, 10_000, 10**6), (20_000, 100, 10**6), (20_000, 100, 5), (20_000, 1000, 10**6)])
+def test_quantiles_between_brackets(spark, rows, accuracy, hot_rows):
+    """Ranks are found whether brackets hold few rows or many, and beside values that hold a large part of all rows."""
+    df = spark.range(rows).selectExpr(
+        "cast(hash(id) % 1000003 as double) AS spread", "id % 3 AS few", "if(id % 10 < 7, 5, id) AS tied", "if(id % 4 = 0, NULL, id / 7) AS holes",
+        "cast(null as double) AS none")
+    columns, probs = ["spread", "few", "tied", "holes", "none"], (0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0)
+    got = {(r.column_name, r.p): r.q for r in exact_quantiles(df, columns, probs, accuracy=accuracy, hot_rows=hot_rows).collect()}
+    pdf = df.toPandas()
+    want = {(c, p): pdf[c].quantile(p) for c in columns if pdf[c].notna().any() for p in probs}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_quantiles_shuffle_little(spark):
+    """What goes between tasks is a small part of the rows, though nearly all values differ."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+    df = spark.range(200_000).selectExpr("cast(hash(id) as double) AS v")
+    seen = df.agg(*bracket_aggs(["v"], (0.25, 0.5, 0.75))).first()
+    inside = [(lo, hi) for lo, hi in _intervals(seen, 0)]
+    count = Observation()
+    df.observe(count, F.sum(F.when((_region(F.col("v"), inside) % 2) == 1, 1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert count.get["n"] < 200_000 / 100
