@@ -31,16 +31,18 @@ def canonical_json(columns: Sequence[str]) -> Column:
     return F.to_json(fields, {"ignoreNullFields": "false"})
 
 
+def row_digest(text: Column) -> Column:
+    """Aggregate: an order-free digest of rows given as text. Three sums, over the rows, of 60 bits each of the row's SHA-256. It combines
+    before the shuffle, so a large group costs no more than others, and repeated rows count."""
+    digest = F.sha2(text, 256)
+    piece = lambda i: F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    return F.concat_ws("-", *[F.sum(piece(i)).cast("decimal(38,0)").cast("string") for i in range(3)])
+
+
 def content_hash(df: DataFrame, by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows and an order-free content hash per group: the sum over rows of the first 8 hex digits of
-    the row's SHA-256. It combines before the shuffle, so a large group costs no more than others."""
+    """Rows and the ``row_digest`` of their columns per group."""
     columns = columns or [c for c in df.columns if c not in by]
-    digest = F.substring(F.sha2(canonical_json(columns), 256), 1, 8)
-    number = F.conv(digest, 16, 10).cast("decimal(10,0)")
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(number).cast("decimal(38,0)").cast("string").alias("content_hash"),
-    )
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), row_digest(canonical_json(columns)).alias("content_hash"))
 
 
 def _match(a: DataFrame, b: DataFrame, by: Sequence[str], how: str) -> DataFrame:

@@ -10,6 +10,7 @@ from huntlake.functions.parse import compact_stamp, parse_audit
 from huntlake.operators import aggregate as A
 from huntlake.operators import cleanup as K
 from huntlake.operators import compare as C
+from huntlake.operators import reconcile as V
 from huntlake.operators import retention as T
 from huntlake.plans.sizes import small_side
 from huntlake.session import scratch_path
@@ -149,8 +150,9 @@ def snapshot_expiry(spark, sf):
 
 def _hash_sql(columns: list[str], source: str, by: str, tail: str = "") -> str:
     pairs = ", ".join(f"'{c}': CAST({c} AS VARCHAR)" for c in sorted(columns))
-    digest = f"CAST('0x' || substr(sha256(CAST(to_json({{{pairs}}}) AS VARCHAR)), 1, 8) AS BIGINT)"
-    return f"SELECT {by}, count(*) AS n_rows, CAST(sum({digest}) AS VARCHAR) AS content_hash FROM {source} {tail} GROUP BY 1"
+    digest = f"sha256(CAST(to_json({{{pairs}}}) AS VARCHAR))"
+    sums = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr({digest}, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(3))
+    return f"SELECT {by}, count(*) AS n_rows, {sums} AS content_hash FROM {source} {tail} GROUP BY 1"
 
 
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -183,6 +185,18 @@ def reconcile_tables(spark, sf):
     return C.reconcile(table(spark, sf, "orders"), _copy(spark, sf), ["o_orderpriority"])
 
 
+@query("reconcile_ranges", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 3 THEN 'missing' WHEN o_orderkey % 1000 = 4 THEN 'changed' ELSE 'extra' END AS status,
+       CAST(CASE WHEN o_orderkey < 0 THEN 0 ELSE 1 END AS BIGINT) AS source_rows,
+       CAST(CASE WHEN o_orderkey % 1000 = 3 THEN 0 ELSE 1 END AS BIGINT) AS copy_rows
+FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 IN (3, 4) UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 1000 = 7)""")
+def reconcile_ranges(spark, sf):
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    copy = orders.where(k % 1000 != 3).withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 1000 == 4, 0.01).otherwise(0)) \
+        .unionByName(orders.where(k % 1000 == 7).withColumn("o_orderkey", -k))
+    return V.reconcile_ranges(orders, copy, "o_orderkey", fan=64, leaf_rows=100)
+
+
 @query("verify_all", f"""WITH {HASHES}
 SELECT 'changed copy' AS what, bool_and(coalesce(a.content_hash = b.content_hash, FALSE)) AS all_synced FROM a FULL JOIN b USING (o_orderpriority)
 UNION ALL SELECT 'same table', TRUE UNION ALL SELECT 'no targets', TRUE""")
