@@ -22,9 +22,11 @@ def contains_like(column: Column, pattern: str, ignore_case: bool = False) -> Co
     return column.ilike(pattern) if ignore_case else column.like(pattern)
 
 
-def recent(df: DataFrame, ts: str, as_of, hours: int = 24) -> DataFrame:
-    """The last ``hours`` before ``as_of``, newest first."""
+def recent(df: DataFrame, ts: str, as_of, hours: int = 24, partition_date: str | None = None) -> DataFrame:
+    """The last ``hours`` before ``as_of``, newest first. Name the date partition column to prune folders as well."""
     start = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    if partition_date:
+        df = df.where(F.col(partition_date) >= F.to_date(start))
     return df.where(F.col(ts) >= start).orderBy(F.desc(ts))
 
 

@@ -25,11 +25,13 @@ RESULT = ("entity", "ts", "detail")
 
 @dataclass(frozen=True)
 class Params:
-    """What a hunter sets before running: a half-open time range and equality filters."""
+    """What a hunter sets before running: a half-open time range and equality filters. ``partition_date`` names the column by
+    whose day the events are stored, so that the range prunes folders."""
 
     start: str | None = None
     end: str | None = None
     filters: dict = field(default_factory=dict)
+    partition_date: str | None = None
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,7 @@ def registered(tactic: str | None = None) -> list[Playbook]:
 def scope(events: DataFrame, params: Params, ts: str = "ts") -> DataFrame:
     """Events inside the playbook's range and filters; both reach the scan."""
     if params.start is not None or params.end is not None:
-        events = between(events, ts, params.start or "0001-01-01", params.end or "9999-12-31")
+        events = between(events, ts, params.start or "0001-01-01", params.end or "9999-12-31", params.partition_date)
     for name, value in params.filters.items():
         if value is not None:
             events = events.where(F.col(name).isin(value) if isinstance(value, (list, tuple)) else F.col(name) == value)

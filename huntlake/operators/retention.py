@@ -40,14 +40,18 @@ def retention_keep(df: DataFrame, as_of: datetime, days: int = 0, hours: int = 0
 
 
 def retention_report(tables: Mapping[str, DataFrame], days: Mapping[str, int], as_of: datetime, default_days: int = 90,
-                     time_columns: Mapping[str, str] | None = None) -> DataFrame:
-    """Rows to delete per eligible table, zero included; tables without a time column are skipped."""
+                     time_columns: Mapping[str, str] | None = None, partition_dates: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows to delete per eligible table, zero included; tables without a time column are skipped. ``partition_dates`` names
+    the day column of tables stored by day; of those only folders up to the cutoff day are read."""
     parts = []
     for name, df in tables.items():
         ts = (time_columns or {}).get(name) or time_column(df)
         if name in EXEMPT_TABLES or ts is None:
             continue
         period = days.get(name, default_days)
+        day = (partition_dates or {}).get(name)
+        if day is not None:
+            df = df.where(F.col(day) <= F.lit((as_of - timedelta(days=period)).date()))
         parts.append(df.where(expired(ts, as_of, period)).agg(F.count(F.lit(1)).alias("rows_deleted")).select(
             F.lit(name).alias("table_name"), "rows_deleted",
             F.lit(as_of).cast("timestamp_ntz").alias("cleanup_time"), F.lit(period).alias("retention_days")))

@@ -10,8 +10,9 @@ from huntlake.operators import filters as P
 from huntlake.operators import playbooks as B
 from huntlake.session import scratch_path
 from huntlake.sources import readers as R
+from huntlake.sources.event_store import EventStore
 from huntlake.sources.sinks import write_events
-from huntlake.suite.base import SALT, ev_sql, events, query, table
+from huntlake.suite.base import ORACLES, SALT, ev_sql, events, query, table
 
 
 @query("hunt_like", ev_sql("""
@@ -59,6 +60,20 @@ def recent_events(spark, sf):
     return P.recent(events(spark, sf), "ts", "2024-01-30 12:00:00", 24).select("event_id", "ts", "event_type", "user_id")
 
 
+def _store(spark, sf):
+    ev = events(spark, sf)
+    store = EventStore(spark, scratch_path(spark, "event-store"), ev.schema, "ts")
+    store.append(ev.where("event_id % 2 = 0"))
+    store.append(ev.where("event_id % 2 = 1"))
+    return store
+
+
+@query("recent_stored", ORACLES["recent_events"])
+def recent_stored(spark, sf):
+    """From folders per day and files per time, written in two batches."""
+    return _store(spark, sf).recent("2024-01-30 12:00:00", 24).select("event_id", "ts", "event_type", "user_id")
+
+
 @query("filter_eq", ev_sql("SELECT event_id, ts, user_id, value FROM ev WHERE event_type = 'purchase'"))
 def filter_eq(spark, sf):
     return events(spark, sf).where(F.col("event_type") == "purchase").select("event_id", "ts", "user_id", "value")
@@ -235,6 +250,13 @@ def run_playbooks(spark, sf):
     return B.run_playbooks(spark, events(spark, sf), [*B.registered("execution"), BUSY, BROKEN], params)
 
 
+@query("run_playbooks_stored", ORACLES["run_playbooks"])
+def run_playbooks_stored(spark, sf):
+    """Over stored events; the range prunes folders in every playbook."""
+    params = B.Params("2024-01-05", "2024-01-20", {"event_type": ["error", "click"], "source_system": None}, "event_date")
+    return B.run_playbooks(spark, _store(spark, sf).read(), [*B.registered("execution"), BUSY, BROKEN], params)
+
+
 @query("report_sections", ev_sql("""
 SELECT 'summary' AS section, 'title' AS metric, 'PowerShell execution' AS value
 UNION ALL SELECT 'summary', 'hypothesis', 'Adversaries run PowerShell'
