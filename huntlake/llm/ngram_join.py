@@ -13,9 +13,9 @@ added up per pair, and size-derived bounds keep most of the product from being f
   among the other's as well: fewer than t - ceil(3 a / 4) + 1 shared ones rule the pair out.
 * So, too, what it alone has among its first is not shared: with u such columns it shares at most a - u n-grams, which must
   reach t. Members of a family that differ in too many places are ruled out by that before they are paired.
-* Every column links its rows to its least row first. What those links, once verified, put into one
-  component is not paired again: only rows of different components are, so that a large group of
-  near copies costs as many pairs as it has members, not their square.
+* Every column links its rows to its centre first, the row that has the fewest columns to itself: of a family of near copies it
+  is the one that differs least from the others. What those links, once verified, put into one component is not paired
+  again, only rows of different components are.
 
 Remaining pairs are verified on their whole texts. Rows that share no column are linked with nothing.
 """
@@ -128,17 +128,20 @@ class _Product:
 
         return self.work.mapInArrow(run, schema)
 
-    def requests(self, only: bool = False) -> DataFrame:
-        """Blocks of columns; ``only``: those that an earlier answer says several sets share."""
+    def requests(self, only: bool = False, closest: bool = False) -> DataFrame:
+        """Blocks of columns; ``only``: those that an earlier answer says several sets share. ``closest``: ask for the set that has the
+        fewest columns to itself, instead of the least owner."""
         buckets = self.buckets
 
-        def use(row, key, owner, _, set_at):
-            owner = owner[set_at]
+        def use(row, key, owner, names, set_at):
+            tie = np.zeros_like(owner)
             if only:
-                known, inverse = np.unique(key, return_inverse=True)
-                yes = read_answers(known, row["answers"], buckets)[0][inverse]
-                key, owner = key[yes], owner[yes]
-            key, owner, tie, several, _ = grouped(key, owner, np.zeros_like(owner))
+                n, most, asked = _most(row, key, set_at, buckets)
+                if closest:
+                    owner, tie = n - most, names
+                yes = asked[np.unique(key, return_inverse=True)[1]]
+                key, set_at = key[yes], set_at[yes]
+            key, owner, tie, several, _ = grouped(key, owner[set_at], tie[set_at])
             return block_batch(blocks(row["slice"], key, owner, tie, several, buckets))
 
         return self._map(use, BLOCK)
@@ -155,16 +158,17 @@ class _Product:
         return self._map(use, "set_id long, n long, ends long, most long")
 
     def star(self) -> DataFrame:
-        """(a, b, c): ``b`` shares ``c`` columns with ``a``, the least of each of those columns."""
+        """(a, b, c): ``b`` shares ``c`` columns with ``a``, the centre of each of those columns."""
         buckets = self.buckets
 
         def use(row, key, _, names, set_at):
-            name = names[set_at]
             known, inverse = np.unique(key, return_inverse=True)
-            yes, least, _ = read_answers(known, row["answers"], buckets)
-            least, yes = least[inverse], yes[inverse]
-            yes &= least != name
-            pairs, count = np.unique(np.stack([least[yes], name[yes]], 1), axis=0, return_counts=True)
+            asked = read_answers(known, row["answers"], buckets)[0]
+            centre = np.zeros(len(known), np.int64)
+            centre[asked] = read_answers(known[asked], row["centres"], buckets)[2]
+            name, centre = names[set_at], centre[inverse]
+            yes = asked[inverse] & (centre != name)
+            pairs, count = np.unique(np.stack([centre[yes], name[yes]], 1), axis=0, return_counts=True)
             return pa.RecordBatch.from_pydict({
                 "a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()),
                 "c": pa.array(count, pa.int64())})
@@ -288,7 +292,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     shared = store(answers(_Product(matrix, buckets).requests()), "shared")
     known = _Product(matrix.join(shared, "slice"), buckets)
     sizes = store(known.bounds(), "bounds")
-    star = _sized(known.star(), sizes)
+    centres = store(answers(known.requests(only=True, closest=True)), "centres").withColumnRenamed("answers", "centres")
+    star = _sized(_Product(known.work.join(centres, "slice"), buckets).star(), sizes)
     star = store(star.where(F.col("c") * 3 >= F.col("least")).select("a", "b"), "star")
     first = store(_linked(star, _bodies(packed, classes, star), k), "first")
     root = components(first).withColumnRenamed("node", "name")
