@@ -31,7 +31,7 @@ _KIND[[32, 9]] = 1
 _KIND[[*b".,;:!?", 10, 11, 12, 13]] = 2
 _CUTS = b" \t\n\x0b\x0c\r.,;:!?"
 _SHIFT = np.int64(32)
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 2 << 20
 
 
 @dataclass
@@ -91,42 +91,50 @@ class Builder:
 
     def add(self, texts: list[bytes], langs: list[bytes]) -> None:
         lang = [self.codes.setdefault(x, len(self.codes)) for x in langs]
-        if sum(map(len, texts)) <= 2 * SEGMENT_BYTES:
-            self._segment(b"\n".join(texts), np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]), np.array(lang, np.int64), True)
-            return
-        for text, code in zip(texts, lang):
-            at = 0
-            while at < len(text):
-                end = min(at + SEGMENT_BYTES, len(text))
-                if end < len(text):
-                    last = max(text.rfind(c, at, end) for c in _CUTS)
-                    if last < 0:
-                        found = [text.find(c, end) for c in _CUTS]
-                        last = min((f for f in found if f >= 0), default=len(text) - 1)
-                    end = last + 1
-                self._segment(text[at:end], np.zeros(1, np.int64), np.array([code], np.int64), at == 0)
-                at = end
+        i = 0
+        while i < len(texts):
+            j, size = i + 1, len(texts[i])
+            while j < len(texts) and size + len(texts[j]) <= SEGMENT_BYTES:
+                size += len(texts[j]) + 1
+                j += 1
+            if size <= 2 * SEGMENT_BYTES:
+                self._segment(b"\n".join(texts[i:j]), np.cumsum([0] + [len(t) + 1 for t in texts[i:j - 1]]), np.array(lang[i:j], np.int64), True)
+            else:
+                self._long(texts[i], lang[i])
+            i = j
+
+    def _long(self, text: bytes, lang: int) -> None:
+        at = 0
+        while at < len(text):
+            end = min(at + SEGMENT_BYTES, len(text))
+            if end < len(text):
+                last = max(text.rfind(c, at, end) for c in _CUTS)
+                if last < 0:
+                    found = [text.find(c, end) for c in _CUTS]
+                    last = min((f for f in found if f >= 0), default=len(text) - 1)
+                end = last + 1
+            self._segment(text[at:end], np.zeros(1, np.int64), np.array([lang], np.int64), at == 0)
+            at = end
 
     def _segment(self, data: bytes, starts: np.ndarray, lang: np.ndarray, fresh: bool) -> None:
         """``starts``: where the texts start; ``fresh``: the first one starts here, not earlier."""
         raw = _LOWER[np.frombuffer(data, np.uint8)]
         kind = _KIND[raw]
-        word = np.r_[False, kind == 0, False]
+        breaks = np.flatnonzero(kind == 2)
+        inside = kind == 0
+        word = np.r_[False, inside, False]
         change = np.flatnonzero(word[1:] != word[:-1])
         start, end = change[::2], change[1::2]
-        pieces = np.cumsum(kind == 2)
         if len(start):
             offsets = np.r_[0, np.cumsum(end - start)].astype(np.int32)
-            letters = raw[kind == 0]
-            self.ids.append(pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode())
-            self.lang.append(lang[np.searchsorted(starts, start, "right") - 1])
-            piece = pieces[start]
-            new = np.r_[fresh or self.broken or piece[0] > 0, piece[1:] != piece[:-1]]
-            self.new.append(new)
+            self.ids.append(pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode())
+            self.lang.append(lang[np.searchsorted(starts, start, "right") - 1].astype(np.int32))
+            piece = np.searchsorted(breaks, start)
+            self.new.append(np.r_[fresh or self.broken or piece[0] > 0, piece[1:] != piece[:-1]])
             self.n += len(start)
-            self.broken = bool(pieces[-1] > piece[-1])
+            self.broken = len(breaks) > piece[-1]
         else:
-            self.broken = fresh or (self.broken if not len(pieces) else self.broken or bool(pieces[-1] > 0))
+            self.broken = fresh or self.broken or len(breaks) > 0
 
     broken = True
 
@@ -142,6 +150,7 @@ class Builder:
         ids, new, lang = rank[coded.indices.to_numpy()], np.concatenate(self.new), np.concatenate(self.lang)
         langs, place = _ranked(_binary(list(self.codes)))
         lang, n, own = place[lang], len(ids), self.before
+        code = np.concatenate(self.lang)[max(n - 2, 0):]
         last = np.arange(n) >= own
         total = np.bincount(lang[own:], minlength=len(langs)).astype(np.int64)
         levels = [(np.arange(len(langs), dtype=np.int64), total)]
@@ -157,7 +166,6 @@ class Builder:
         out = _of_levels(langs, coded.dictionary.take(order), levels)
         keep = min(2, n)
         tail = coded.slice(n - keep, keep).dictionary_decode().dictionary_encode()
-        code = np.concatenate(self.lang)[n - keep:]
         self._clear()
         self.ids, self.lang, self.new, self.n, self.before = [tail], [code], [new[n - keep:]], keep, keep
         return out
@@ -353,7 +361,7 @@ def load(block: bytes) -> Automaton:
     return Automaton(*texts, parent, label, weight)
 
 
-def union_all(blocks: Iterable[bytes], how: np.ufunc = np.add, arcs: int = 4_000_000) -> Automaton | None:
+def union_all(blocks: Iterable[bytes], how: np.ufunc = np.add, arcs: int = 2_000_000) -> Automaton | None:
     """``union`` of blocks, put together as soon as ``arcs`` wait, so that memory follows the result."""
     waiting, held, done = [], 0, 0
     for block in blocks:

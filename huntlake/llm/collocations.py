@@ -35,8 +35,8 @@ from huntlake.llm.exchange import store
 
 LEAST, TOP, COVERED = 10, 2000, 50
 #: Words a task counts before it sends its counts away, and bytes of text a range stands for.
-CHUNK_WORDS = 2_000_000
-RANGE_BYTES = 12 << 20
+CHUNK_WORDS = 1_000_000
+RANGE_BYTES = 8 << 20
 #: About so many bytes of text give the borders of ranges, and so many borders are looked at.
 SAMPLE_BYTES = 32 << 20
 SAMPLE_BORDERS = 200_000
@@ -64,6 +64,8 @@ def _counted(batches, words: int):
             if builder.n >= words:
                 if (out := builder.take()) is not None:
                     yield out
+                    del out
+                    pa.default_memory_pool().release_unused()
     if (out := builder.take()) is not None:
         yield out
 
