@@ -359,9 +359,11 @@ def enrich_source(df: DataFrame, metadata: DataFrame, key: str = "source_system"
 
 def user_features(df: DataFrame, key: str = "user_id", event_type: str = "event_type",
                   types: Sequence[str] = ("click", "error", "purchase", "signup", "view")) -> DataFrame:
-    """Events per type and entity, zero where there are none, and the share of errors."""
+    """Events per type and entity, zero where there are none, and the share of errors. Events of no type of ``types``, or of none
+    at all, are ``n_other``."""
     counts = [F.count_if(F.col(event_type) == t).alias(f"n_{t}") for t in types]
-    out = df.groupBy(key).agg(*counts, F.count(F.lit(1)).alias("n_total"))
+    other = F.count_if(~F.coalesce(F.col(event_type).isin(list(types)), F.lit(False))).alias("n_other")
+    out = df.groupBy(key).agg(*counts, other, F.count(F.lit(1)).alias("n_total"))
     if "error" in types:
         out = out.withColumn("error_rate", F.round(F.col("n_error") / F.col("n_total"), 6))
     return out
@@ -370,7 +372,7 @@ def user_features(df: DataFrame, key: str = "user_id", event_type: str = "event_
 def model_anomaly(features: DataFrame, key: str, columns: Sequence[str], k: int = 5, seed: int = 42,
                   quantile: float = 0.99) -> DataFrame:
     """Entities far from their cluster centre: standardized features, KMeans, distance above the
-    exact given quantile."""
+    exact given quantile. With one cluster the centre is the mean."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -378,10 +380,14 @@ def model_anomaly(features: DataFrame, key: str, columns: Sequence[str], k: int
     packed = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(features)
     scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(packed).transform(packed)
     data = pin(scaled.select(key, "_x"))  # one row per entity, read by every iteration
-    model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed).fit(data)
-    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    if k == 1:
+        placed, points = data.withColumn("cluster", F.lit(0)), [[0.0] * len(columns)]
+    else:
+        model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed).fit(data)
+        placed, points = model.transform(data), model.clusterCenters()
+    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in points])
     diff = F.zip_with(vector_to_array("_x"), F.get(centers, F.col("cluster")), lambda a, b: (a - b) * (a - b))
-    scored = model.transform(data).withColumn(
+    scored = placed.withColumn(
         "distance", F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, d: acc + d)))
     scored = pin(scored.select(key, "cluster", "distance"))
     cut = exact_quantiles(scored, ["distance"], [quantile]).select("q").first()

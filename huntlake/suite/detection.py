@@ -184,13 +184,29 @@ def enrich_source(spark, sf):
     return D.enrich_source(events(spark, sf), meta).select("event_id", "source_system", "owner")
 
 
-@query("user_features", ev_sql("""
-SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error,
-       count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'signup') AS n_signup,
-       count(*) FILTER (event_type = 'view') AS n_view, count(*) AS n_total,
-       round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM ev GROUP BY 1"""))
+FEATURES = """SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error,
+       count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'view') AS n_view,
+       count(*) FILTER (event_type NOT IN ('click', 'error', 'purchase', 'view')) AS n_other, count(*) AS n_total,
+       round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM ev GROUP BY 1"""
+
+
+@query("user_features", ev_sql(FEATURES))
 def user_features(spark, sf):
-    return D.user_features(events(spark, sf))
+    return D.user_features(events(spark, sf), types=("click", "error", "purchase", "view"))
+
+
+MODELLED = ("n_click", "n_error", "n_purchase", "n_view", "error_rate")
+
+
+# with one cluster the centre is the mean, and SQL can say the same
+@query("model_anomaly_one", ev_sql(f"""
+SELECT user_id, CAST(0 AS INTEGER) AS cluster, round(distance, 6) AS distance FROM d
+WHERE distance > (SELECT quantile_cont(distance, 0.95) FROM d)""", f"f AS ({FEATURES})",
+    "s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in MODELLED) + " FROM f)",
+    "d AS (SELECT user_id, sqrt(" + " + ".join(f"pow(({c} - m_{c}) / s_{c}, 2)" for c in MODELLED) + ") AS distance FROM f, s)"))
+def model_anomaly_one(spark, sf):
+    found = D.model_anomaly(user_features(spark, sf), "user_id", list(MODELLED), k=1, quantile=0.95)
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 @query("model_anomaly")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from huntlake.functions import parse as X
 from huntlake.operators import normalize as N
+from huntlake.sources import custom as C
 from huntlake.sources import readers as R
 from huntlake.sources import sinks as W
 from huntlake.sources import staging as G
@@ -303,6 +304,21 @@ def collect_status(spark, sf):
     return report.select("source", "status", "n").join(F.broadcast(per), "source", "left").withColumn("merged", F.coalesce("merged", F.lit(0)))
 
 
+@query("scan_custom", ev_sql("""
+SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id END AS who,
+       'seen ' || event_type || chr(10) || '  in ' || file_path AS note FROM ev WHERE event_id % 13 <> 0
+UNION ALL SELECT NULL, NULL, 'torn ' || user_id FROM ev WHERE event_id % 13 = 0"""))
+def scan_custom(spark, sf):
+    """Records of several lines; every thirteenth is torn and comes back whole as raw text."""
+    ev, path, c = events(spark, sf), scratch_path(spark, "custom"), F.col
+    who = F.when(c("event_id") % 11 == 0, "").otherwise(c("user_id"))
+    whole = F.concat(F.lit("== "), c("event_id").cast("string"), F.lit("\nwho: "), who, F.lit("\nnote: seen "), "event_type", F.lit("\n  in "), "file_path")
+    block = F.when(c("event_id") % 13 == 0, F.concat(F.lit("== torn "), "user_id")).otherwise(whole)
+    ev.select(block.alias("value")).write.text(path)
+    df = C.scan_custom(spark, path, "^== ", r"== (?P<id>\d+)\nwho: (?P<who>[^\n]*)\nnote: (?P<note>.*)", rangeBytes="20000")
+    return df.select("id", "who", F.coalesce("note", F.substring("raw", 4, 1000)).alias("note"))
+
+
 @query("scan_table", """
 SELECT event_id, user_id, value FROM events WHERE value > 100 AND event_type = 'purchase'""")
 def scan_table(spark, sf):

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from huntlake.operators import normalize as N
-from huntlake.operators.detect import enrich_source
 from huntlake.session import scratch_path
 from huntlake.sources.adapter import security_events
 from huntlake.streaming import bans as B
 from huntlake.streaming import live as L
 from huntlake.streaming import sequences as Q
+from huntlake.streaming.enrich import enriched, live_enrich
 from huntlake.suite.base import ev_sql, query, table
 from huntlake.suite.detection import BAN_RULE, BANS_SQL
 from huntlake.suite.ingest import MAPPING
@@ -112,9 +112,13 @@ def stream_sequence(spark, sf):
 SELECT event_id, source_system, r_name AS owner FROM ev
 LEFT JOIN (SELECT * FROM region WHERE r_name <> 'AMERICA') ON source_system = 'src_' || CAST(r_regionkey AS VARCHAR)"""))
 def stream_enrich(spark, sf):
-    meta = table(spark, sf, "region").where("r_name <> 'AMERICA'").select(
-        F.concat(F.lit("src_"), F.col("r_regionkey").cast("string")).alias("source_system"), F.col("r_name").alias("owner"))
-    return L.run_available(enrich_source(live_events(spark, sf), meta).select("event_id", "source_system", "owner"), "enrich")
+    def meta(session):
+        return table(session, sf, "region").where("r_name <> 'AMERICA'").select(
+            F.concat(F.lit("src_"), F.col("r_regionkey").cast("string")).alias("source_system"), F.col("r_name").alias("owner"))
+
+    path = scratch_path(spark, "enrich")
+    live_enrich(live_events(spark, sf), meta, path).awaitTermination()
+    return enriched(spark, path).select("event_id", "source_system", "owner")
 
 
 @query("stream_bans", f"""SELECT * FROM ({BANS_SQL}) WHERE ban_start < {PASSED.format("event_type = 'error'").replace("FROM ev", "FROM events")}""")

@@ -14,6 +14,7 @@ from huntlake.sources.adapter import security_events
 from huntlake.streaming import bans as B
 from huntlake.streaming import live as L
 from huntlake.streaming import sequences as Q
+from huntlake.streaming.enrich import enriched, live_enrich
 from huntlake.streaming.inorder import ROW
 
 
@@ -136,3 +137,42 @@ def test_late_rows_are_dropped(spark):
     assert L.late_rows(query) == 1
     got = spark.read.parquet(out)
     assert sorted((r.window_start.hour, r.n) for r in got.collect()) == [(12, 1), (17, 1), (18, 1)]
+
+
+def test_enrichment_follows_its_table(spark):
+    """A row that is added to the table, one that is changed and one that goes, between two micro-batches."""
+    base = scratch_path(spark, "enrich-test")
+    events = lambda ids: spark.createDataFrame([(i, f"s{i % 3}") for i in ids], "event_id long, source_system string").coalesce(1).write.mode("append").parquet(base + "/in")
+    table = lambda rows: spark.createDataFrame(rows, "source_system string, owner string").write.mode("overwrite").parquet(base + "/table")
+
+    def go_on():
+        stream = spark.readStream.schema("event_id long, source_system string").parquet(base + "/in")
+        live_enrich(stream, lambda s: s.read.parquet(base + "/table"), base + "/out").awaitTermination()
+
+    table([("s0", "ann"), ("s2", "cy")])
+    events(range(3))
+    go_on()
+    table([("s0", "dee"), ("s1", "bob")])
+    events(range(3, 6))
+    go_on()
+    got = sorted((r.event_id, r.owner) for r in enriched(spark, base + "/out").collect())
+    assert got == [(0, "ann"), (1, None), (2, "cy"), (3, "dee"), (4, "bob"), (5, None)]
+
+
+def test_a_repeated_batch_replaces_itself(spark):
+    base = scratch_path(spark, "enrich-again")
+    spark.range(5).selectExpr("id AS event_id", "'s' AS source_system").write.parquet(base + "/in")
+    calls = []
+
+    def table(session):
+        calls.append(1)
+        if len(calls) == 2:  # fails when the batch is written for the first time, after the table was read
+            raise RuntimeError("gone for a moment")
+        return session.createDataFrame([("s", "ann")], "source_system string, owner string")
+
+    stream = lambda: spark.readStream.schema("event_id long, source_system string").parquet(base + "/in")
+    calls.append(1)
+    with pytest.raises(Exception):
+        live_enrich(stream(), table, base + "/out").awaitTermination()
+    live_enrich(stream(), table, base + "/out").awaitTermination()
+    assert sorted(r.event_id for r in enriched(spark, base + "/out").collect()) == list(range(5))
