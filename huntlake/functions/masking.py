@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from huntlake.functions.common import MARK, let
 from huntlake.schema import METADATA
+from huntlake.session import hide
 
-# File extensions and name parts treated as sensitive in paths.
+# Name parts treated as sensitive in paths; a list of our own.
 SENSITIVE_NAME = r"(?i)(secret|password|passwd|credential|private|confidential)"
 
 
 def mask_hash(value: Column, salt: str, short: int | None = None) -> Column:
+    hide(salt)
     digest = F.sha2(F.concat(value.cast("string"), F.lit(salt)), 256)
     return F.substring(digest, 1, short) if short else digest
 

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from huntlake.functions.masking import mask_kinds
 from huntlake.plans.ordered import HOT_ROWS, by_key
 from huntlake.plans.sizes import small_side
+from huntlake.session import hide
 
 APPROVAL_SECONDS = 3600
 
 
 def encrypt(value: Column, key: str) -> Column:
     """AES-GCM with a random 12-byte nonce in front of the ciphertext."""
+    hide(key)
     return F.aes_encrypt(value.cast("binary"), F.lit(key), F.lit("GCM"))
 
 
 def decrypt(value: Column, key: str) -> Column:
+    hide(key)
     return F.aes_decrypt(value, F.lit(key), F.lit("GCM")).cast("string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,32 @@ def build_session(app: str = "huntlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_REDACTED = "spark.sql.redaction.string.regex"
+
+
+def hide(*values: str) -> None:
+    """Keep values that are literals of a plan (salts, keys) out of its text: explain, logs, event log and UI show
+    ``*********(redacted)`` for them, as text or in hex. They are added to the pattern of the active session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    pattern = spark.conf.get(_REDACTED, "") or ""
+    new = [form for v in values if v for form in (re.escape(v), v.encode().hex(), v.encode().hex().upper()) if form not in pattern]
+    if new:
+        spark.conf.set(_REDACTED, "|".join(filter(None, [pattern, *new])))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors reach: the one the cluster names, else a new one for local tests."""
+    """Folder all executors reach: the one the cluster names, else a new one for local tests. On a cluster a folder of one machine
+    would not do, so there the setting must be made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="huntlake-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from huntlake.functions.common import MARK
 from huntlake.functions.parse import parse_winevent
 from huntlake.plans.sizes import local_rows
 
@@ -32,14 +34,37 @@ def scan_json(spark: SparkSession, path: str, schema: StructType, live: bool = F
     )
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType, live: bool = False) -> DataFrame:
-    """CSV with a header; lines that do not fit the schema are kept in ``_corrupt``."""
-    return (
-        _reader(spark, live).schema(_permissive(schema)).option("header", True).option("escape", '"')
+def _header(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in the first line of the first file; None when there is no line."""
+    first = spark.read.option("wholetext", False).text(path).limit(1).collect()
+    return next(csv.reader([first[0].value])) if first else None
+
+
+def scan_csv(spark: SparkSession, path: str, schema: StructType, live: bool = False, multiline: bool = True) -> DataFrame:
+    """CSV with a header; lines that do not fit the schema are kept in ``_corrupt``.
+
+    Columns are found by their names: the header may have another order, more columns, or lack some (NULL then). All files of a
+    source must have the same header, else the read fails. Values may hold line breaks; a file is then read by one
+    task. ``multiline=False`` cuts files into splits, for sources known to have none. A stream cannot look ahead, so its
+    header must be that of ``schema``."""
+    names = None if live else _header(spark, path)
+    kinds = {f.name: f for f in schema.fields}
+    found = schema if names is None else StructType([kinds.get(n, StructField(n, StringType())) for n in names])
+    rows = (
+        _reader(spark, live).schema(_permissive(found)).option("header", True).option("escape", '"')
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", True).csv(path)
+        .option("multiLine", multiline).option("enforceSchema", False).option("emptyValue", MARK).csv(path)
     )
 
+    def column(field: StructField) -> Column:
+        if field.name not in found.names and field.name != CORRUPT:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        value = F.col(f"`{field.name}`")
+        # "" is an empty text, nothing at all is NULL
+        return F.when(value == MARK, "").otherwise(value).alias(field.name) if isinstance(field.dataType, StringType) else value
+
+    return rows.select(*[column(f) for f in _permissive(schema)])
+
 
 def scan_lines(spark: SparkSession, path: str, live: bool = False) -> DataFrame:
     """Text lines as ``line``: syslog, audit and database logs, custom formats."""

@@ -33,7 +33,9 @@ def append_verify(df: DataFrame, path: str, batch_id: str) -> DataFrame:
         .write.mode("append").partitionBy("batch_id").parquet(path)
     )
     written = seen.get["rows_written"]
-    back = spark.read.parquet(path).where(F.col("batch_id") == batch_id)
+    # with a given schema the folder names stay text: "1" and "001" are two batches
+    schema = StructType([*df.schema.fields, StructField("batch_id", StringType())])
+    back = spark.read.schema(schema).parquet(path).where(F.col("batch_id") == batch_id)
     return back.agg(F.count(F.lit(1)).alias("rows_read")).select(
         F.lit(batch_id).alias("batch_id"), F.lit(written).cast("long").alias("rows_written"), "rows_read",
         (F.col("rows_read") == written).alias("ok"),
@@ -57,11 +59,12 @@ def store_split(df: DataFrame, path: str, corrupt: str = "_corrupt", timestamp:
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Analysis results as JSON lines or CSV with a header."""
+    """Analysis results as JSON lines or CSV with a header, from which ``scan_csv`` reads the same values."""
     if fmt == "json":
         df.write.mode("overwrite").json(path)
     elif fmt == "csv":
-        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         raise ValueError(f"unknown result format {fmt!r}")
 

@@ -359,3 +359,16 @@ def export_roundtrip(spark, sf):
     a, b = R.scan_json(spark, base + "/json", schema), R.scan_csv(spark, base + "/csv", schema)
     return a.select(F.lit("json").alias("format"), "event_type", "n").unionByName(
         b.select(F.lit("csv").alias("format"), "event_type", "n"))
+
+
+@query("export_texts", """
+SELECT f AS format, doc_id, sha256(text) AS digest, lang FROM documents, (VALUES ('json'), ('csv')) t(f)""")
+def export_texts(spark, sf):
+    """Whole texts with line breaks, quotes and separators, written and read back; the CSV by a schema of another order."""
+    docs, base = table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), scratch_path(spark, "texts")
+    W.write_result(docs, base + "/json", "json")
+    W.write_result(docs, base + "/csv", "csv")
+    schema = T.StructType().add("lang", "string").add("doc_id", "long").add("text", "string")
+    a, b = R.scan_json(spark, base + "/json", schema), R.scan_csv(spark, base + "/csv", schema)
+    pick = lambda df, f: df.select(F.lit(f).alias("format"), "doc_id", F.sha2("text", 256).alias("digest"), "lang")
+    return pick(a, "json").unionByName(pick(b, "csv"))
