@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from huntlake.llm import fingerprints as fingerprints_module
 from huntlake.llm import ngram_join
 from huntlake.llm.components import components
-from huntlake.llm.fingerprints import compared_with_next, edits, fingerprint, fingerprints, likeness, root
+from huntlake.llm.fingerprints import compared_with_next, edits, fingerprint, fingerprints, likeness, root, with_following
 from huntlake.llm.queries import QUERIES
 from huntlake.llm.repetition import quality_rules, repeats
 from huntlake.llm.substrings import without_repeats
@@ -177,6 +178,21 @@ def test_fingerprints(spark):
     assert fingerprints(frame(spark, {}, (1, None))).first().fingerprint
 
 
+@pytest.mark.parametrize("slice_rows,quantiles", [(1, 1000), (3, 2), (1000, 1000)])
+def test_following_across_slices(spark, monkeypatch, slice_rows, quantiles):
+    monkeypatch.setattr(fingerprints_module, "QUANTILES", quantiles)
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), rng.choice(["a", "b\nc", "", "long " * 50])) for _ in range(90)] + [(7, None), (None, "x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    least = {d: min(x or "" for e, x in rows if e == d) for d, _ in rows if d is not None}
+    ids = sorted(least, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    want = sorted((d is not None, d or 0, x or "", least[after[d]] if d is not None else "") for d, x in rows)
+    got = with_following(df, slice_rows).withColumn("same", fingerprint(F.col("following")) == F.col("next_fingerprint")).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.following) for r in got) == want and all(r.same for r in got)
+    assert with_following(df.limit(0), slice_rows).collect() == []
+
+
 def test_fingerprint_query(spark, sf):
     rows, docs = QUERIES["op1_fingerprints"](spark, sf).collect(), documents(spark, sf)
     texts = defaultdict(set)
@@ -184,6 +200,15 @@ def test_fingerprint_query(spark, sf):
         texts[r.fingerprint].add(docs[r.doc_id])
     assert len(rows) == len(docs) and all(len(t) == 1 for t in texts.values()) and len(texts) == len(set(docs.values()))
     assert np.mean([r.near_edited for r in rows]) > 0.4 > 0.05 > np.mean([r.near_next for r in rows])
+    ids = sorted(docs, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    for r in rows:
+        x, y = docs[r.doc_id], docs[after[r.doc_id]]
+        half = len(x) // 2
+        edited = x[:len(x) - half] + y[:half]
+        assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edited.encode()).hexdigest())
+        mine, theirs = {line for part in x.split("\n\n") for line in part.split("\n")}, {line for part in edited.split("\n\n") for line in part.split("\n")}
+        assert r.n_edited == len(theirs - mine)
 
 
 def test_suffix_repeats():
