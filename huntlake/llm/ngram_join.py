@@ -255,11 +255,16 @@ def _may_link(a: str, b: str) -> Column:
     return (100 * F.least(n_a, n_b) >= 75 * F.greatest(n_a, n_b)) & (most >= _shared(f"n_{a}", f"n_{b}"))
 
 
+def _least_columns(a: str, b: str) -> Column:
+    """Columns that linked sets of these sizes share at least."""
+    return F.greatest(_shared(f"n_{a}", f"n_{b}") - _need(F.greatest(f"n_{a}", f"n_{b}")) + 1, F.lit(1))
+
+
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """``pairs`` that may be linked, with ``least``: the shared columns that a linked pair has."""
     side = lambda x: sizes.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "ends", "most")])
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b"))
-    return both.withColumn("least", F.greatest(_shared("n_a", "n_b") - _need(F.greatest("n_a", "n_b")) + 1, F.lit(1)))
+    return both.withColumn("least", _least_columns("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -312,9 +317,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     of = lambda x, y: mixed.select("key", F.col("root").alias(f"root_{x}"), F.col("set_id").alias(y), *[F.col(c).alias(f"{c}_{y}") for c in ("n", "ends", "most")])
     cross = (
         head_pairs.join(of("a", "x"), ["key", "root_a"]).join(of("b", "y"), ["key", "root_b"]).where(_may_link("x", "y"))
-        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max(_least_columns("x", "y")).alias("least"))
     )
-    cross = store(_sized(cross, sizes).where(F.col("c") >= F.col("least")).select("a", "b"), "cross")
+    cross = store(cross.where(F.col("c") >= F.col("least")).select("a", "b"), "cross")
     second = store(_linked(cross, _bodies(packed, classes, cross), k), "second")
     edges = first.union(second)
     root = components(edges).withColumnRenamed("node", "name") if second.limit(1).count() else root
