@@ -191,8 +191,11 @@ def _scored(a: Automaton, answers: Automaton | None, gone: Automaton | None, top
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COVERED,
                  chunk_words: int = CHUNK_WORDS, range_bytes: int = RANGE_BYTES, fan: int = FAN, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of the best ``top`` phrases of each language;
-    see the head of the module and, for the meaning of the columns, the README."""
+    """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of the best ``top`` phrases of two or three words of each language, from
+    ``least`` occurrences on: ``a`` is how often the phrase occurs, ``l`` and ``r`` how often the two parts do at the cut with
+    the lowest score, floor(1000000 a a / (l r)), and ``n`` the number of words of the language. A pair is left out when a longer candidate
+    around it has at least ``covered`` percent of its occurrences. Missing values, ties, repeated rows and empty tables: see the head
+    of the module."""
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
                         F.coalesce(F.col("lang"), F.lit("und")).cast("binary").alias("lang"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
