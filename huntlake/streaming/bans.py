@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from huntlake.streaming.inorder import LONG_AGO, InOrder, ids, stamps, use_rocksdb
+from huntlake.streaming.inorder import LONG_AGO, InOrder, ids, in_rows, sharded, stamps, use_rocksdb
 from huntlake.streaming.live import event_time
 
 
@@ -27,11 +28,29 @@ class Bans(InOrder):
     """Kept per source: the end of the last ban, and at most ``maxretry - 1`` failures after it."""
 
     def __init__(self, source: str, ts: str, event_id: str, maxretry: int, findtime: int, bantime: int):
-        super().__init__(ts, event_id)
-        self.source, self.maxretry = source, maxretry
+        self.source, self.event_id, self.maxretry = source, event_id, maxretry
         self.find_us, self.ban_us = findtime * 1_000_000, bantime * 1_000_000
 
+    def take_all(self, rows, held, passed):
+        kept = {} if held is None else {k: (u, h) for k, u, h in zip(*(held.column(c).to_pylist() for c in ("key", "until", "held")))}
+        coded, values = rows.column("key").combine_chunks().dictionary_encode(), in_rows(rows)
+        code, outs = coded.indices.to_numpy(), []
+        order = np.lexsort((values["id"], values["known"], values["t"], code))
+        code, values = code[order], values[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), len(code)] if len(code) else [0]
+        names = coded.dictionary.to_pylist()
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            key = names[code[lo]]
+            out, left, until = self.take((key,), kept.get(key, (0, b""))[1], values[lo:hi], passed)
+            kept[key] = (until, left)
+            outs += [] if out is None else [out]
+        kept = {k: x for k, x in kept.items() if x[0] > passed}
+        held = pa.table({"key": pa.array(kept, rows.schema.field("key").type), "until": pa.array([u for u, _ in kept.values()], pa.int64()),
+                         "held": pa.array([h for _, h in kept.values()], pa.binary())})
+        return pd.concat(outs) if outs else None, held, max((u for u, _ in kept.values()), default=LONG_AGO)
+
     def take(self, key, held, rows, passed):
+        """The failures ``rows`` of one source, in time order: output, what to keep, and the time up to which that matters."""
         until, *recent = np.frombuffer(held, np.int64).tolist() if held else [LONG_AGO]
         rows = rows[rows["t"] >= until]
         t = np.r_[np.array(recent, np.int64), rows["t"]]
@@ -52,10 +71,10 @@ def live_bans(df: DataFrame, source: str = "source_ip", ts: str = "ts", event_id
     watermark, are put in their place first, over any number of micro-batches. A ban is reported when the watermark has
     passed the minute it starts in. Rows without source or time are left out."""
     use_rocksdb(df.sparkSession)
-    failures = event_time(df.where(f"`{source}` IS NOT NULL AND `{ts}` IS NOT NULL"), ts).select(source, ts, event_id)
+    failures = event_time(df.where(f"`{source}` IS NOT NULL AND `{ts}` IS NOT NULL"), ts)
     out = T.StructType([
         T.StructField(source, T.StringType()), T.StructField(event_id, T.LongType()),
         T.StructField("ban_start", T.TimestampType()), T.StructField("ban_end", T.TimestampType()),
     ])
-    return failures.groupBy(source).transformWithStateInPandas(
+    return sharded(failures, source, ts, event_id).transformWithStateInPandas(
         Bans(source, ts, event_id, maxretry, findtime, bantime), out, "append", "eventTime")

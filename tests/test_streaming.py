@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import data
 from pyspark.sql import functions as F
@@ -118,6 +119,77 @@ def test_ban_state_is_small_and_goes():
     assert out is None and len(held) <= 8 * 3 and until == 999 * 20_000_000 + 10_000_000
 
 
+class FewCalls:
+    """State of one shard that counts its calls."""
+
+    def __init__(self):
+        self.maps, self.value, self.timers, self.calls = {}, {}, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, name, _):
+        return FewCallsValue(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def keys(self):
+        return list(self.maps)
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.maps[k] = v
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.maps[k]
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self.maps[k]
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class FewCallsValue:
+    def __init__(self, owner, name):
+        self.owner, self.name = owner, name
+
+    def exists(self):
+        return self.name in self.owner.value
+
+    def get(self):
+        return self.owner.value[self.name]
+
+    def update(self, v):
+        self.owner.value[self.name] = v
+
+    def clear(self):
+        self.owner.value.pop(self.name, None)
+
+
+@pytest.mark.parametrize("chunk", [500_000, 100])
+def test_state_is_called_per_part_not_per_minute(monkeypatch, chunk):
+    monkeypatch.setattr("huntlake.streaming.inorder.CHUNK_ROWS", chunk)
+    rule, state = B.Bans("s", "ts", "id", maxretry=3, findtime=600, bantime=900), FewCalls()
+    rule.init(state)
+    t = np.sort(np.random.default_rng(3).integers(0, 10 * 86_400, 5000)) * 1_000_000
+    rows = pd.DataFrame({"key": "x", "t": pd.to_datetime(t, unit="us"), "known": True, "id": np.arange(5000), "kind": 0}).sample(frac=1, random_state=1)
+    list(rule.handleInputRows((1,), iter([rows[:2000], rows[2000:]]), None))
+    found = []
+    for day in (4, 4.0001, 7.3, 11):  # the watermark of four micro-batches, none with rows of its own
+        state.watermark = int(day * 86_400_000)
+        for _ in range(len([x for x in state.timers if x <= state.watermark])):
+            found += list(rule.handleExpiredTimer((1,), state, None))
+        state.timers = {x for x in state.timers if x > state.watermark}
+    assert pd.concat(found)["id"].tolist() == B.bans_in(t, 3, 600_000_000, 900_000_000)[0] and len(pd.concat(found)) > 50
+    assert not state.maps and not state.timers and "held" not in state.value
+    assert chunk < 500_000 or state.calls < 120
+
+
 def test_bans(spark, landing):
     rule = {"source": "source_system", "maxretry": 2, "findtime": 3600, "bantime": 7200}
     got = plain(L.run_available(B.live_bans(live(spark, landing).where("event_type = 'error'"), **rule), "t-bans"), "ban_start", "ban_end")
