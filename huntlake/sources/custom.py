@@ -3,9 +3,9 @@
     spark.dataSource.register(CustomRecords)
     spark.read.format("custom_records").option("start", r"^== ").option("record", r"== (?P<id>\\d+)\\n(?P<body>.*)").load(folder)
 
-A record begins at a line that ``start`` matches and goes on to the next such line. Files are cut into ranges of bytes, one
-partition each; a record belongs to the range its first byte is in, so every record is read once however the cuts fall. A task holds
-one batch of records. Paths are opened by pyarrow: local and shared folders, and the object stores it knows.
+A record begins at a line that ``start`` matches and goes on to the next such line. Files are cut into ranges of bytes; a record
+belongs to the range its first byte is in, so every record is read once however the cuts fall. A partition is one range, or, where
+there are more than ``TASKS`` of them, several up to ``TASK_BYTES``. A task holds one batch of records. Paths are opened by pyarrow: local and shared folders, and the object stores it knows.
 """
 
 from __future__ import annotations
@@ -20,23 +20,40 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 RANGE_BYTES, BATCH_RECORDS, CHUNK = 64 << 20, 5_000, 1 << 20
+#: Ranges share partitions beyond so many, and a partition takes no more of them from so many bytes on.
+TASKS, TASK_BYTES = 256, 64 << 20
 
 
 @dataclass
-class FileRange(InputPartition):
-    path: str
-    begin: int
-    end: int
+class FileRanges(InputPartition):
+    """(path, begin, end) of each range."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+def together(ranges: list[tuple[str, int, int]]) -> list[FileRanges]:
+    """Ranges in order, in partitions of even size."""
+    share = min(sum(end - begin for _, begin, end in ranges) / TASKS, TASK_BYTES)
+    out, size = [], share
+    for x in ranges:
+        if size >= share:
+            out.append(FileRanges([]))
+            size = 0
+        out[-1].ranges.append(x)
+        size += x[2] - x[1]
+    return out
 
 
 def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
-def _lines(stream, at: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line with its end) from a stream that stands at ``at``."""
-    rest = b""
-    while chunk := stream.read(CHUNK):
+def _lines(stream, at: int, first: int) -> Iterator[tuple[int, bytes]]:
+    """(offset, line with its end) from a stream that stands at ``at``; ``first`` bytes are read at first, so that little is read beyond a
+    small range."""
+    rest, want = b"", first
+    while chunk := stream.read(want):
+        want = min(2 * want, CHUNK)
         parts = (rest + chunk).split(b"\n")
         rest = parts.pop()
         for part in parts:
@@ -53,7 +70,7 @@ def records(path: str, begin: int, end: int, start: re.Pattern) -> Iterator[tupl
         # a line that begins at the border belongs to this range: look from the byte before on
         at = max(begin - 1, 0)
         stream.seek(at)
-        lines = _lines(stream, at)
+        lines = _lines(stream, at, min(end - at + 4096, CHUNK))
         if begin:
             next(lines, None)
         first, held = 0, None
@@ -99,7 +116,7 @@ class RecordReader(DataSourceReader):
         self.size = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
         self.encoding, self.groups = options.get("encoding", "utf-8"), groups
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         fs, root = _opened(self.path)
         info = fs.get_file_info(root)
         if info.type == pyarrow.fs.FileType.NotFound:
@@ -107,16 +124,16 @@ class RecordReader(DataSourceReader):
         files = [info] if info.is_file else [f for f in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True)) if f.is_file]
         files = [f for f in files if f.size and not f.base_name.startswith(("_", "."))]
         prefix = self.path[: len(self.path) - len(root)] if "://" in self.path and self.path.endswith(root) else ""
-        return [FileRange(prefix + f.path, at, min(at + self.size, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.size)]
+        return together([(prefix + f.path, at, min(at + self.size, f.size)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.size)])
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileRanges) -> Iterator[pa.RecordBatch]:
         start, record = re.compile(self.start.encode(self.encoding)), re.compile(self.record, re.S)
         held: list[list] = []
-        for offset, data in records(partition.path, partition.begin, partition.end, start):
+        for path, offset, data in ((x[0], *found) for x in partition.ranges for found in records(*x, start)):
             text = data.decode(self.encoding, errors="replace").rstrip("\r\n")
             found = record.fullmatch(text)
             values = [found[g] or None for g in self.groups] if found else [None] * len(self.groups)
-            held.append([*values, None if found else text, partition.path, offset])
+            held.append([*values, None if found else text, path, offset])
             if len(held) >= BATCH_RECORDS:
                 yield self._batch(held)
                 held = []

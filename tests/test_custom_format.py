@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from huntlake.sources.custom import records, scan_custom
+from huntlake.sources.custom import TASKS, records, scan_custom
 
 START = re.compile(rb"^#\d+")
 
@@ -35,3 +35,11 @@ def test_scan(spark, tmp_path):
     assert df.rdd.getNumPartitions() >= 5
     with pytest.raises(Exception, match="nowhere"):
         scan_custom(spark, str(tmp_path) + "/nowhere", "^#", "(?P<a>.*)").collect()
+
+
+def test_many_small_ranges_share_partitions(spark, tmp_path):
+    for f in ("a", "b"):
+        write(tmp_path, f, b"".join(b"#%d x\n and\n" % i for i in range(1500)))
+    df = scan_custom(spark, str(tmp_path), r"^#\d+", r"#(?P<id>\d+) x\n and", rangeBytes="5")
+    assert df.rdd.getNumPartitions() <= TASKS
+    assert sorted(int(r.id) for r in df.collect()) == sorted([*range(1500)] * 2)
