@@ -25,10 +25,9 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 
-from huntlake.llm.common import Cache, id_and_text, slices
+from huntlake.llm.common import id_and_text, slices
 
 BLOCK_BYTES = 32 << 20
-PIECES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,13 +51,8 @@ def odd_characters() -> str:
 
 
 class Splitter:
-    """Pre-tokens of a text, as tiktoken's matches of ``pattern`` are.
-
-    Most text is a row of words with single spaces between them. No match of the public patterns
-    reaches across the place before a single space, so such words are cut one by one and
-    remembered. A text with other white space between words is cut as a whole. ``odd_characters``
-    are replaced by one that is neither letter nor number before cutting.
-    """
+    """Pre-tokens of a text, as tiktoken's matches of ``pattern`` are. ``odd_characters`` are replaced by one that is neither letter
+    nor number before cutting."""
 
     def __init__(self, pattern: str, odd: str):
         import regex
@@ -71,11 +65,13 @@ class Splitter:
             return self.find(text)
         return [text[m.start():m.end()] for m in self.matches(text.translate(self.plain))]
 
-    def after_space(self, word: str) -> list[str] | None:
-        """Pre-tokens of a space and ``word``; None where ``word`` may not be cut alone."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return self.whole(" " + word)
+
+class Numbers(dict):
+    """Numbers what it is asked for by first appearance."""
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        return number
 
 
 class Blocks:
@@ -86,33 +82,18 @@ class Blocks:
         self.start()
 
     def start(self):
-        self.numbers: dict[str, int] = {}
-        self.pieces = Cache(self._piece, PIECES)
+        self.numbers = Numbers()
         self.ids: list = []
         self.digests: list[str] = []
         self.docs: list[np.ndarray] = []
         self.bytes = 0
 
-    def _numbered(self, tokens: list[str]) -> list[int]:
-        numbers = self.numbers
-        return [numbers.setdefault(t, len(numbers)) for t in tokens]
-
-    def _piece(self, word: str) -> list[int] | None:
-        tokens = self.splitter.after_space(word)
-        return None if tokens is None else self._numbered(tokens)
-
     def add(self, doc_id, text: str):
-        head, *words = text.split(" ")
-        coded = [self.pieces[w] for w in words]
-        if None in coded or (words and (not head or head[-1].isspace())):
-            flat = self._numbered(self.splitter.whole(text))
-        else:
-            flat = self._numbered(self.splitter.whole(head))
-            flat.extend(chain.from_iterable(coded))
+        tokens = self.splitter.whole(text)
         self.ids.append(doc_id)
         if self.digest:
             self.digests.append(hashlib.sha256(text.encode()).hexdigest())
-        self.docs.append(np.array(flat, np.uint32))
+        self.docs.append(np.fromiter(map(self.numbers.__getitem__, tokens), np.uint32, len(tokens)))
         self.bytes += len(text)
 
     def finish(self) -> tuple[int, list[str]]:
