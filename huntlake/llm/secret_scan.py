@@ -19,9 +19,8 @@ from huntlake.llm.common import id_and_text
 from huntlake.llm.sanitise import located
 from huntlake.session import pin
 
-#: Most labelled findings that a forest is fitted on, chosen by a hash; most words of the dictionary.
-SAMPLE = 20_000
-DICTIONARY = 3_000
+#: A word of the dictionary is in two documents or more, and in one of so many.
+DICTIONARY = 10_000
 CONTEXT = 48
 THRESHOLD = 0.5
 CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,199}[0-9])[A-Za-z0-9+/_=.-]{16,200}(?![A-Za-z0-9+/_=.-])"
@@ -42,26 +41,30 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.expr(f"substring(text, s.stop + 1, {CONTEXT})").alias("after"))
 
 
-def dictionary(docs: DataFrame, words: int = DICTIONARY) -> list[str]:
-    """The words of three letters or more that most documents with a candidate have."""
-    rows = id_and_text(docs).where(F.col("text").rlike(r"[0-9]") & F.col("text").rlike(CANDIDATE))
-    top = (
-        rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})\p{L}{3,24}+(?!\p{L})"), F.lit(0)))).alias("word"))
-        .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
-    )
-    return [r.word for r in top.select("word").collect()]
+def dictionary(docs: DataFrame, one_of: int = DICTIONARY) -> DataFrame:
+    """``word``: those of three letters or more that two documents or more, and at least one document of ``one_of``, have."""
+    rows = id_and_text(docs)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})\p{L}{3,24}+(?!\p{L})"), F.lit(0))
+    counted = rows.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where((F.col("n") > 1) & (F.col("n") * one_of >= rows.count())).select("word")
+
+
+def _covered(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``value`` and how many of its letters are in words that ``known`` has."""
+    parts = found.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), r"[^\p{L}]+")).alias("word"))
+    return parts.join(known, "word").groupBy("value").agg(F.sum(F.length("word")).alias("letters"))
 
 
-def described(found: DataFrame, known: list[str]) -> DataFrame:
-    """``found`` with the features of each candidate."""
+def described(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``found`` with the features of each candidate; ``known`` has the dictionary's ``word``."""
+    columns = found.columns
+    found = found.join(_covered(found, known), "value", "left").select(*columns, "letters")
     v, n = F.col("value"), F.length("value")
 
     def share(pattern: str) -> Column:
         return F.regexp_count(v, F.lit(pattern)) / n
 
-    parts = F.split(F.lower(v), r"[^\p{L}]+")
-    words = F.array(*map(F.lit, known)).cast("array<string>") if known else F.array().cast("array<string>")
-    covered = F.aggregate(F.filter(parts, lambda p: F.array_contains(words, p)), F.lit(0), lambda s, p: s + F.length(p)) / n
+    covered = F.coalesce("letters", F.lit(0)) / n
     near = F.regexp_extract(F.col("before"), r"([^\n]{0,32})$", 1)
     flag = lambda c: c.cast("double")
     return found.withColumns({
@@ -76,7 +79,7 @@ def described(found: DataFrame, known: list[str]) -> DataFrame:
         "quoted": flag(near.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")),
         "words_before": F.regexp_count(F.col("before"), F.lit(r"\p{L}+")).cast("double"),
         "words_after": F.regexp_count(F.col("after"), F.lit(r"\p{L}+")).cast("double"),
-    })
+    }).drop("letters")
 
 
 def labelled_by_rule(found: DataFrame) -> DataFrame:
@@ -88,10 +91,10 @@ def labelled_by_rule(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(good, 1.0).when(bad, 0.0)).where("label is not null")
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = 30, depth: int = 6):
-    """A forest from rows with ``label`` (0 or 1), the features and ``value``; None without findings of both
-    kinds."""
-    rows = pin(labelled.orderBy(F.xxhash64("value", "before"), "value").limit(sample).select("label", *FEATURES))
+def fit(labelled: DataFrame, trees: int = 30, depth: int = 6):
+    """A forest from all rows with ``label`` (0 or 1), the features, ``value`` and ``before``, in a fixed order; None without findings
+    of both kinds."""
+    rows = pin(labelled.repartition("value", "before").sortWithinPartitions("value", "before", "label", *FEATURES).select("label", *FEATURES))
     if rows.select("label").distinct().count() < 2:
         return None
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
@@ -108,7 +111,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     string without a break is no candidate beyond 200 characters. Without labelled findings of both
     kinds the probability is 1 for strings assigned to a secret's name, else 0.
     """
-    known = dictionary(docs)
+    known = pin(dictionary(docs))
     found = pin(described(candidates(docs), known))
     model = fit(labelled_by_rule(found) if labelled is None else described(labelled, known))
     if model is None:
