@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 from collections.abc import Iterator
 from itertools import chain
@@ -50,17 +51,44 @@ def odd_characters() -> str:
     return "".join(sorted(odd))
 
 
+def listed(pattern: str, odd: str) -> str | None:
+    """``pattern`` for ``re``, which is faster than ``regex`` but lacks ``\\p{}``: letters, numbers and white space up to U+FFFF are listed,
+    without the ``odd`` ones. None if the pattern uses more than these and plain characters."""
+    import regex
+
+    rest = re.sub(r"\\p\{[LN]\}|\\[srn]", "", re.sub(r"\[[^]]*\]|\\S", lambda m: m.group().strip("\\S"), pattern))
+    if "\\" in rest or "[:" in pattern or re.search(r"\(\?[^!=:]", pattern):
+        return None
+    every, lists = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000)))), {}
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        code = np.array([ord(c) for c in regex.findall(kind, every) if c not in odd])
+        start = np.flatnonzero(np.diff(code, prepend=-2) > 1)
+        end = np.r_[start[1:], len(code)] - 1
+        lists[kind] = "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in zip(code[start].tolist(), code[end].tolist()))
+
+    def put(m):
+        if m.group() == r"\S":
+            return f"[^{lists[chr(92) + 's']}]"
+        inside = re.sub(r"\\p\{[LN]\}|\\s", lambda x: lists[x.group()], m.group())
+        return inside if m.group().startswith("[") else f"[{inside}]"
+
+    return re.sub(r"\[[^]]*\]|\\p\{[LN]\}|\\[sS]", put, pattern)
+
+
 class Splitter:
-    """Pre-tokens of a text, as tiktoken's matches of ``pattern`` are. ``odd_characters`` are replaced by one that is neither letter
-    nor number before cutting."""
+    """Pre-tokens of a text, as tiktoken's matches of ``pattern`` are. Texts with characters beyond U+FFFF, or all if there is no
+    ``listed`` pattern, are cut by ``regex``, with ``odd_characters`` replaced by one that is neither letter nor number before cutting."""
 
-    def __init__(self, pattern: str, odd: str):
+    def __init__(self, pattern: str, odd: str, listed: str | None = None):
         import regex
 
         self.matches, self.find = regex.compile(pattern).finditer, regex.compile(pattern).findall
         self.odd, self.plain = frozenset(odd), dict.fromkeys(map(ord, odd), "\ue000")
+        self.quick, self.beyond = re.compile(listed).findall if listed else None, re.compile("[\U00010000-\U0010ffff]").search
 
     def whole(self, text: str) -> list[str]:
+        if self.quick and (text.isascii() or not self.beyond(text)):
+            return self.quick(text)
         if text.isascii() or self.odd.isdisjoint(text):
             return self.find(text)
         return [text[m.start():m.end()] for m in self.matches(text.translate(self.plain))]
@@ -155,10 +183,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     source, odd = id_and_text(docs), odd_characters()
+    quick = listed(pattern, odd)
     width = "<u2" if max(ranks.values(), default=0) < 65536 else "<u4"
 
     def words(batches):
-        for block in blocks_of(batches, Splitter(pattern, odd), block_bytes):
+        for block in blocks_of(batches, Splitter(pattern, odd, quick), block_bytes):
             name, tokens = block.finish()
             for i in range(0, len(tokens), 20_000):
                 part = tokens[i:i + 20_000]
@@ -183,7 +212,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             })
 
     def places(batches):
-        for block in blocks_of(batches, Splitter(pattern, odd), block_bytes, digest):
+        for block in blocks_of(batches, Splitter(pattern, odd, quick), block_bytes, digest):
             name, _ = block.finish()
             for i in range(0, len(block.ids), 512):
                 part = block.docs[i:i + 512]

@@ -1,6 +1,7 @@
 """Token operators against the libraries they must equal."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,27 @@ def test_round_trip(texts, ranks):
     assert sorted((bytes(r.decoded) for r in got)) == sorted((t or "").encode() for _, t in rows)
 
 
+def test_listed_pattern(reference):
+    """``re`` cuts every character up to U+FFFF as the library does, alone and among others; other patterns are left to ``regex``."""
+    odd = bpe.odd_characters()
+    quick = bpe.listed(public_tokenizers.PATTERN, odd)
+    cut = bpe.Splitter(public_tokenizers.PATTERN, odd, quick)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(4)
+    common = list("ab Z19 \n\t'.,sdtm \x1c\x85\xa0")
+    texts = TEXTS + ["".join(every), " ".join(every), "a".join(every), "1".join(every)]
+    texts += ["".join(rng.choices(every + common * 5000, k=rng.randrange(60))) for _ in range(2000)]
+    texts += ["".join(rng.choices(common, k=rng.randrange(40))) for _ in range(2000)]
+    old = bpe.Splitter(public_tokenizers.PATTERN, odd)
+    for x in texts:
+        assert cut.whole(x) == old.whole(x)
+    for x in texts[:len(TEXTS)] + texts[-50:]:
+        assert [t for w in cut.whole(x) for t in reference.encode_ordinary(w)] == reference.encode_ordinary(x)
+    for pattern in (r"\d+", r"\p{Lu}+", r"(?i:x)", r"[[:alpha:]]+", r"[\S]+", r"\w"):
+        assert bpe.listed(pattern, odd) is None
+    assert bpe.listed(r"ab|c+", odd) == "ab|c+"
+
+
 def test_packing():
     for values in ([], [0], [254, 255, 256], [70_000, 3, 1 << 20], list(range(1000))):
         a = np.array(values, np.uint32)
