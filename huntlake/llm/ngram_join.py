@@ -16,6 +16,8 @@ added up per pair, and size-derived bounds keep most of the product from being f
 * Every column links its rows to its centre first, the row that has the fewest columns to itself: of a family of near copies it
   is the one that differs least from the others. What those links, once verified, put into one component is not paired
   again, only rows of different components are.
+* A pair of those is formed at a column only if that can be the first one the two share: what either has before it is then not
+  shared, nor are the columns behind it that no other component has, and the rest must reach t.
 
 Remaining pairs are verified on their whole texts. Rows that share no column are linked with nothing.
 """
@@ -176,21 +178,26 @@ class _Product:
         return self._map(use, "a long, b long, c long")
 
     def mixed(self) -> DataFrame:
-        """(key, root, set_id) of columns that sets of several components share, and the ``bounds`` of the set."""
+        """(key, root, set_id, n, ends) of columns that sets of several components share. ``plain``: the n-grams that the set has from
+        this column on. ``left``: those of them that a set of another component can have if its columns end no earlier, since it would
+        have asked for them."""
         buckets = self.buckets
 
         def use(row, key, owner, names, set_at):
             known, inverse = np.unique(key, return_inverse=True)
-            n, most, asked = _most(row, key, set_at, buckets)
-            yes = np.zeros(len(known), bool)
+            asked, yes = read_answers(known, row["answers"], buckets)[0], np.zeros(len(known), bool)
             yes[asked] = read_answers(known[asked], row["roots"], buckets)[0]
             yes = yes[inverse]
-            at = set_at[yes]
+            counts, n = np.array(row["counts"], np.int64), np.array(row["sizes"], np.int64)
+            plain = n[set_at] - (np.arange(len(key)) - (np.cumsum(counts) - counts)[set_at])
+            own = np.cumsum(~yes)  # columns of one component only, of a set and of all before it
+            total = np.r_[0, own][np.cumsum(counts)]
+            left, at = plain - (total[set_at] - own), set_at[yes]
             return pa.RecordBatch.from_pydict({
                 "key": pa.array(key[yes].astype(np.int64)), "root": pa.array(owner[at]), "set_id": pa.array(names[at]),
-                "n": pa.array(n[at]), "ends": pa.array(np.array(row["ends"], np.int64)[at]), "most": pa.array(most[at])})
+                "n": pa.array(n[at]), "ends": pa.array(np.array(row["ends"], np.int64)[at]), "plain": pa.array(plain[yes]), "left": pa.array(left[yes])})
 
-        return self._map(use, "key long, root long, set_id long, n long, ends long, most long")
+        return self._map(use, "key long, root long, set_id long, n long, ends long, plain long, left long")
 
 
 def _most(row: dict, key: np.ndarray, set_at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,28 +250,54 @@ def _linked(pairs: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
-def _shared(a: str, b: str) -> Column:
+def _shared(a: Column, b: Column) -> Column:
     """ceil(3 (a + b) / 7): n-grams that linked sets of these sizes share"""
-    return F.floor((3 * (F.col(a) + F.col(b)) + 6) / 7)
+    return F.floor((3 * (a + b) + 6) / 7)
 
 
-def _may_link(a: str, b: str) -> Column:
-    """The sets ``a`` and ``b`` can be linked, as far as sizes and what the one whose columns end first may share can say."""
-    n_a, n_b, end_a, end_b = (F.col(x) for x in (f"n_{a}", f"n_{b}", f"ends_{a}", f"ends_{b}"))
-    most = F.when(end_a < end_b, F.col(f"most_{a}")).when(end_a > end_b, F.col(f"most_{b}")).otherwise(F.least(f"most_{a}", f"most_{b}"))
-    return (100 * F.least(n_a, n_b) >= 75 * F.greatest(n_a, n_b)) & (most >= _shared(f"n_{a}", f"n_{b}"))
+def _side(rows: DataFrame, x: str, names: tuple[str, ...], **bounds: str | Column) -> DataFrame:
+    """Columns ``names`` of ``rows``, and the ``bounds`` of the sets of a row as ``_may_link`` takes them for ``x``."""
+    return rows.select(*names, *[(F.col(c) if isinstance(c, str) else c).alias(f"{k}_{x}") for k, c in bounds.items()])
 
 
-def _least_columns(a: str, b: str) -> Column:
-    """Columns that linked sets of these sizes share at least."""
-    return F.greatest(_shared(f"n_{a}", f"n_{b}") - _need(F.greatest(f"n_{a}", f"n_{b}")) + 1, F.lit(1))
+def _may_link(a: str, b: str) -> Column:
+    """A set of ``a`` and one of ``b`` can be linked: sizes ``low`` to ``high``, whose columns end between ``from`` and ``to``, sharing at
+    most ``left`` with sets whose columns end no earlier and ``plain`` with others."""
+    of = lambda name, x: F.col(f"{name}_{x}")
+    most = lambda x, y: F.when(of("to", x) <= of("from", y), of("left", x)).otherwise(of("plain", x))
+    sizes = (100 * of("high", a) >= 75 * of("low", b)) & (100 * of("high", b) >= 75 * of("low", a))
+    return sizes & (F.least(most(a, b), most(b, a)) >= _shared(of("low", a), of("low", b)))
 
 
 def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """``pairs`` that may be linked, with ``least``: the shared columns that a linked pair has."""
-    side = lambda x: sizes.select(F.col("set_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "ends", "most")])
+    side = lambda x: _side(sizes.withColumnRenamed("set_id", x), x, (x,), low="n", high="n", **{"from": "ends"}, to="ends", plain="n", left="most")
+    n_a, n_b = F.col("low_a"), F.col("low_b")
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b"))
-    return both.withColumn("least", _least_columns("a", "b"))
+    return both.withColumn("least", F.greatest(_shared(n_a, n_b) - _need(F.greatest(n_a, n_b)) + 1, F.lit(1)))
+
+
+def _candidates(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can be linked, as far as columns can say. Every linked pair is found at
+    the first column that the two share."""
+    # partners have at least the size that is the least in the column, and three quarters of a set's own
+    least = mixed.groupBy("key").agg(F.min("n").alias("least"))
+    near = mixed.join(least, "key").where(F.col("plain") >= _shared(F.col("n"), F.greatest("least", _need(F.col("n"))))).drop("least")
+    near = store(near, "near")
+    heads = lambda x: _side(
+        near.groupBy("key", F.col("root").alias(f"root_{x}")).agg(
+            F.min("n").alias("low"), F.max("n").alias("high"), F.min("ends").alias("from"), F.max("ends").alias("to"),
+            F.max("plain").alias("plain"), F.max("left").alias("left")),
+        x, ("key", f"root_{x}"), **{c: c for c in ("low", "high", "from", "to", "plain", "left")})
+    of = lambda root, x: _side(
+        near.select("key", F.col("root").alias(root), F.col("set_id").alias(x), "n", "ends", "plain", "left"),
+        x, ("key", root, x), low="n", high="n", **{"from": "ends"}, to="ends", plain="plain", left="left")
+    found = heads("a").join(heads("b"), "key").where("root_a < root_b").where(_may_link("a", "b"))
+    found = found.drop(*[c for c in found.columns if c.endswith("_a") and c != "root_a"])
+    found = found.join(of("root_a", "x"), ["key", "root_a"]).where(_may_link("x", "b")).drop("root_a")
+    found = found.drop(*[c for c in found.columns if c.endswith("_b") and c != "root_b"])
+    found = found.join(of("root_b", "y"), ["key", "root_b"]).where(_may_link("x", "y"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -307,20 +340,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     grown = matrix.join(owners.groupBy("slice").agg(F.collect_list("x").alias("own")), "slice").join(shared, "slice")
     roots = store(answers(_Product(grown, buckets).requests(only=True)), "roots").withColumnRenamed("answers", "roots")
     mixed = store(_Product(grown.join(roots, "slice"), buckets).mixed(), "mixed")
-    # of each component in a column: its smallest and largest set, where their columns end, and the most that one of them may share
-    heads = mixed.groupBy("key", "root").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("ends").alias("from"), F.max("ends").alias("to"), F.max("most").alias("most"))
-    side = lambda x: heads.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high", "from", "to", "most")])
-    most = F.when(F.col("to_a") < F.col("from_b"), F.col("most_a")).when(F.col("to_b") < F.col("from_a"), F.col("most_b")).otherwise(F.greatest("most_a", "most_b"))
-    head_pairs = side("a").join(side("b"), "key").where("root_a < root_b AND 100 * high_a >= 75 * low_b AND 100 * high_b >= 75 * low_a") \
-        .where(most >= _shared("low_a", "low_b")).select("key", "root_a", "root_b")
-    of = lambda x, y: mixed.select("key", F.col("root").alias(f"root_{x}"), F.col("set_id").alias(y), *[F.col(c).alias(f"{c}_{y}") for c in ("n", "ends", "most")])
-    cross = (
-        head_pairs.join(of("a", "x"), ["key", "root_a"]).join(of("b", "y"), ["key", "root_b"]).where(_may_link("x", "y"))
-        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max(_least_columns("x", "y")).alias("least"))
-    )
-    cross = store(cross.where(F.col("c") >= F.col("least")).select("a", "b"), "cross")
+    cross = store(_candidates(mixed), "cross")
     second = store(_linked(cross, _bodies(packed, classes, cross), k), "second")
     edges = first.union(second)
     root = components(edges).withColumnRenamed("node", "name") if second.limit(1).count() else root

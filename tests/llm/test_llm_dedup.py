@@ -96,6 +96,27 @@ def test_ngram_join_families(spark, monkeypatch, frequent):
     assert got == components_by_force(docs) and len({c for _, c in got.values()}) > 20
 
 
+def test_ngram_join_far_members(spark, monkeypatch):
+    """Members too far from each other to be linked meet only at columns that can be the first they share."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10)
+    rng, docs, stored = random.Random(6), {}, {}
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(150)]
+    for i in range(240):
+        x, gone = list(base), rng.sample(range(150), 9 if i % 3 else 2)
+        docs[i] = " ".join(w for at, w in enumerate(x) if at not in gone)
+
+    def keep(df, name):
+        stored[name] = store(df, name)
+        return stored[name]
+
+    store = ngram_join.store
+    monkeypatch.setattr(ngram_join, "store", keep)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, docs)).collect()}
+    assert got == components_by_force(docs) and len({c for _, c in got.values()}) > 100
+    formed = lambda rows: rows.alias("x").join(rows.alias("y"), "key").where("x.root < y.root").count()
+    assert 3 * formed(stored["near"]) < formed(stored["mixed"]), (formed(stored["near"]), formed(stored["mixed"]))
+
+
 def test_ngram_join_query(spark, sf):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op3_ngram_join"](spark, sf).collect()}
     assert got == components_by_force(documents(spark, sf))
