@@ -17,7 +17,7 @@ import base64
 import hashlib
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,6 +25,8 @@ import pyarrow as pa
 import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructType
 
 from huntlake.llm.common import id_and_text, slices
 
@@ -170,10 +172,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return numbers
 
 
+def _width(ranks: dict[bytes, int]) -> str:
+    """Bytes of an id: as few as the vocabulary allows."""
+    return "<u2" if max(ranks.values(), default=0) < 65536 else "<u4"
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES,
-           digest: bool = False) -> DataFrame:
+           digest: bool = False, packed: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) per row of ``docs``; with ``digest`` also ``text_sha256``.
 
+    With ``packed`` the ids are binary, compressed and in as few bytes as the vocabulary allows, for
+    shuffles that carry them on to ``with_round_trip``.
+
     NULL text counts as empty and gives an empty array. Repeated rows and equal ids give one
     result each, an empty table gives no rows, other columns are ignored; a very long text is a
     block of its own. The documents are read twice, once for their words and once for their
@@ -181,10 +191,42 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     without a fixed order came out in other blocks at the second reading, their words would be
     missing and the job would fail, not go wrong.
     """
+    def lists(doc_ids, flat, offsets, digests):
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
+        return {"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids} | (
+            {"text_sha256": pa.array(digests, pa.string())} if digest else {})
+
+    def pressed(doc_ids, flat, offsets, digests):
+        press = zstandard.ZstdCompressor(level=3).compress
+        ids = pa.array([press(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:])], pa.binary())
+        return {"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids} | (
+            {"text_sha256": pa.array(digests, pa.string())} if digest else {})
+
+    schema = "doc_id long, ids " + ("binary" if packed else "array<int>") + (", text_sha256 string" if digest else "")
+    return _encoded(docs, ranks, pattern, block_bytes, pressed if packed else lists, schema, digest)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of ``decode`` for the ids of ``encode``. A task decodes the ids where it has put
+    them together, so that they need no second Python worker beside the first."""
+    shared = docs.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+
+    def columns(doc_ids, flat, offsets, digests):
+        return {"doc_id": pa.array(doc_ids, pa.int64())} | _decoded(
+            [flat[a:b] for a, b in zip(offsets, offsets[1:])], shared.value)
+
+    return _encoded(docs, ranks, pattern, block_bytes, columns, "doc_id long, " + DECODED)
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int,
+             columns: Callable[[list, np.ndarray, np.ndarray, list], dict], schema: str, digest: bool = False) -> DataFrame:
+    """``columns`` gives those of ``schema`` for some documents: their doc_ids, all their ids, where
+    those of each document start (and the last end), and with ``digest`` the hashes of their texts."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     source, odd = id_and_text(docs), odd_characters()
     quick = listed(pattern, odd)
-    width = "<u2" if max(ranks.values(), default=0) < 65536 else "<u4"
+    width = _width(ranks)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def words(batches):
         for block in blocks_of(batches, Splitter(pattern, odd, quick), block_bytes):
@@ -225,14 +267,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
                 })
 
     def assembled(placed: pa.Table, coded: pa.Table) -> pa.Table:
-        table = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}
-                         | ({"text_sha256": pa.array([], pa.string())} if digest else {}))
-        number = coded.column("number").to_numpy()
-        order = np.unique(number, return_index=True)[1]
+        order = np.unique(coded.column("number").to_numpy(), return_index=True)[1]
         ids = coded.column("ids").combine_chunks().take(pa.array(order))
-        flat = np.frombuffer(b"".join(ids.to_pylist()), width)
         length = pa.compute.binary_length(ids).to_numpy() // int(width[-1])
         begin = np.cumsum(length) - length
+        flat = np.frombuffer(ids.buffers()[2] or b"", width, length.sum())
         done = []
         for row in range(placed.num_rows):
             sizes = np.array(placed.column("sizes")[row].as_py(), np.int64)
@@ -243,11 +282,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             ends = np.cumsum(take)
             picked = flat[np.repeat(begin[at] - (ends - take), take) + np.arange(take.sum())]
             offsets = np.r_[0, ends][np.r_[0, np.cumsum(sizes)]]
-            done.append(pa.table({
-                "doc_id": pa.array(placed.column("doc_ids")[row].as_py(), pa.int64()),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked.astype(np.int32), pa.int32())),
-            } | ({"text_sha256": pa.array(placed.column("digests")[row].as_py(), pa.string())} if digest else {})))
-        return pa.concat_tables(done) if done else table
+            done.append(pa.table(columns(
+                placed.column("doc_ids")[row].as_py(), picked, offsets, placed.column("digests")[row].as_py()), schema=arrow))
+        return pa.concat_tables(done) if done else arrow.empty_table()
 
     coded = (
         source.mapInArrow(words, "block long, number int, word string")
@@ -255,8 +292,20 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         .mapInArrow(merged, "block long, number int, ids binary")
     )
     placed = source.mapInArrow(places, "block long, doc_ids array<long>, sizes array<long>, numbers binary, digests array<string>")
-    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
-        assembled, "doc_id long, ids array<int>" + (", text_sha256 string" if digest else ""))
+    return placed.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assembled, schema)
+
+
+DECODED = "n_tokens long, ids_sha256 string, decoded binary"
+
+
+def _decoded(ids: list[np.ndarray], tokens: dict[int, bytes]) -> dict:
+    """Columns ``DECODED`` for the ids of some documents."""
+    token = tokens.__getitem__
+    return {
+        "n_tokens": pa.array(map(len, ids), pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+        "decoded": pa.array([b"".join(map(token, x.tolist())) for x in ids], pa.binary()),
+    }
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -269,19 +318,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
 
     def decoded(batches):
-        token = shared.value.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 ids = [np.array([] if x is None else x, np.uint32) for x in map(_values, rows.column("ids"))]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": rows.column("doc_id"), "n_tokens": pa.array(map(len, ids), pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]),
-                    "decoded": pa.array([b"".join(map(token, x.tolist())) for x in ids], pa.binary()),
-                })
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id")} | _decoded(ids, shared.value))
 
-    return encoded.select("doc_id", "ids").mapInArrow(
-        decoded, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(decoded, "doc_id long, " + DECODED)
 
 
 def _values(cell: pa.ListScalar):
@@ -289,19 +332,29 @@ def _values(cell: pa.ListScalar):
 
 
 def with_round_trip(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``encoded`` (with ``text_sha256``) as ``doc_id``, ``ids``, ``n_tokens`` and ``intact``: whether
-    the ids decode to the very text."""
+    """``encoded`` (with ``text_sha256``) as ``doc_id``, ``ids``, ``n_tokens``, ``intact`` (whether
+    the ids decode to the very text) and its other columns. Its ids may be packed; an array comes out."""
     shared = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    width, others = _width(ranks), [c for c in encoded.columns if c not in ("doc_id", "ids", "text_sha256")]
+    packed = encoded.schema["ids"].dataType == BinaryType()
+    schema = StructType.fromDDL("doc_id long, ids array<int>, n_tokens long, intact boolean")
+    for c in others:
+        schema = schema.add(encoded.schema[c])
 
     def checked(batches):
-        token = shared.value.__getitem__
+        token, open_ = shared.value.__getitem__, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids = [_values(x) for x in batch.column("ids")]
-            whole = [hashlib.sha256(b"".join(map(token, x.tolist()))).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "ids": batch.column("ids"), "n_tokens": pa.array(map(len, ids), pa.int64()),
-                "intact": pa.array([a == b for a, b in zip(whole, batch.column("text_sha256").to_pylist())], pa.bool_()),
-            })
-
-    return encoded.select("doc_id", "ids", "text_sha256").mapInArrow(
-        checked, "doc_id long, ids array<int>, n_tokens long, intact boolean")
+            for start in range(0, batch.num_rows, 256):
+                rows = batch.slice(start, 256)
+                ids = [np.frombuffer(open_(x.as_py()), width) if packed else _values(x) for x in rows.column("ids")]
+                whole = [hashlib.sha256(b"".join(map(token, x.tolist()))).hexdigest() for x in ids]
+                lengths = np.array(list(map(len, ids)), np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": rows.column("doc_id"),
+                    "ids": pa.ListArray.from_arrays(
+                        pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(np.concatenate(ids).astype(np.int32), pa.int32())),
+                    "n_tokens": pa.array(lengths, pa.int64()),
+                    "intact": pa.array([a == b for a, b in zip(whole, rows.column("text_sha256").to_pylist())], pa.bool_()),
+                } | {c: rows.column(c) for c in others})
+
+    return encoded.mapInArrow(checked, schema)

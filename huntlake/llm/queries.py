@@ -37,8 +37,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select(
+    return bpe.encode_and_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

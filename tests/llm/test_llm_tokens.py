@@ -49,6 +49,19 @@ def test_round_trip(texts, ranks):
     assert sorted((bytes(r.decoded) for r in got)) == sorted((t or "").encode() for _, t in rows)
 
 
+def test_round_trip_in_one_task(texts, ranks):
+    """Encoding and decoding in one task gives what the two operators give, and the query has no Python step behind it."""
+    df, rows = texts
+    apart = bpe.decode(bpe.encode(df, ranks, public_tokenizers.PATTERN), ranks).collect()
+    together = bpe.encode_and_decode(df, ranks, public_tokenizers.PATTERN, 10)
+    assert sorted(map(tuple, together.collect()), key=repr) == sorted(map(tuple, apart), key=repr)
+
+
+def test_no_worker_beside_the_assembling_one(spark, sf):
+    plan = QUERIES["op2_byte_bpe"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan[:plan.index("FlatMapCoGroupsInArrow")]
+
+
 def test_listed_pattern(reference):
     """``re`` cuts every character up to U+FFFF as the library does, alone and among others; other patterns are left to ``regex``."""
     odd = bpe.odd_characters()
