@@ -49,13 +49,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``turn``, ``place``, ``n_tokens``, ``ids``, ``intact`` (the ids decode to the text)."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, digest=True)
-    checked = bpe.with_round_trip(encoded, ranks)
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, digest=True, packed=True)
     order, names = mixing.schedule(docs.select("doc_id", "source"), mixing.tempered_targets(docs))
     order = order.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min_by(names["turn"], F.struct(names["turn"], names["place"])).alias("turn"),
         F.min_by(names["place"], F.struct(names["turn"], names["place"])).alias("place"))
-    return checked.join(order, "doc_id", "left").select("doc_id", "turn", "place", "n_tokens", "ids", "intact")
+    # the ids are checked and unpacked after the join, whose shuffle carries them packed
+    checked = bpe.with_round_trip(encoded.join(order, "doc_id", "left"), ranks)
+    return checked.select("doc_id", "turn", "place", "n_tokens", "ids", "intact")
 
 
 STAGES = [

@@ -10,11 +10,12 @@ very many documents comes once per slice, and a bucket holds a set number of key
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huntlake.llm.common import map_slices
@@ -26,16 +27,23 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE = "doc_id array<long>, n array<long>, name array<long>, packed array<long>, sizes array<int>, body binary"
 
 
+@contextmanager
+def held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: smaller than a checkpoint, and it cuts lineage as
     well. The shuffle files behind it are not needed once it is written, so Spark drops them."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with held(spark, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

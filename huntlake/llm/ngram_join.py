@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from huntlake.llm.common import Cache, id_and_text
 from huntlake.llm.components import components
 from huntlake.llm.exchange import (
-    BLOCK, answers, block_batch, blocks, bucket_count, grouped, make_slices, per_document, read_answers, store, unpack,
+    BLOCK, answers, block_batch, blocks, bucket_count, grouped, held, make_slices, per_document, read_answers, store, unpack,
 )
 from huntlake.llm.words import WordHashes, digest
 
@@ -309,6 +309,12 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     id. A row without an id is linked with nothing and has no component_id. An empty table gives no rows. Other columns are
     ignored. Links are exact up to collisions of 62-bit hashes.
     """
+    # a small table costs little in a shuffle; each broadcast, though, costs the driver a thread and memory that it keeps
+    with held(docs.sparkSession, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        return _near_duplicates(docs, k)
+
+
+def _near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     rows = id_and_text(docs)
     slices = make_slices(rows, _describe(k), ", often array<long>, counts array<int>")
     counted = (

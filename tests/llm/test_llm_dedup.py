@@ -264,3 +264,20 @@ def test_quality_rules(spark, sf):
         assert r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r.kept and r.base_failed)
     assert got[-4].kept and not got[-5].kept and not got[-5].base_failed
     assert quality_rules(frame(spark, {})).count() == 0
+
+
+def test_ngram_join_broadcasts_no_table(spark, monkeypatch):
+    """Small joins of its steps stay shuffles, so that the driver keeps no thread and memory of them; the session's setting comes back."""
+    plans, write, key = [], ngram_join.store, "spark.sql.autoBroadcastJoinThreshold"
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(ngram_join, "store", seen)
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i % 3}") for i in range(9)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {i: i % 3 for i in range(9)}
+    assert plans and not any("BroadcastExchange" in x for x in plans)
+    assert spark.conf.get(key) == before

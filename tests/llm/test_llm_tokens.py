@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from huntlake.llm import bpe
@@ -62,6 +63,35 @@ def test_no_worker_beside_the_assembling_one(spark, sf):
     assert "MapInArrow" not in plan[:plan.index("FlatMapCoGroupsInArrow")]
 
 
+def test_packed_ids(spark, texts, ranks, reference):
+    """Packed ids are small, come through a join, and are unpacked and checked after it; a changed text is noticed."""
+    df, rows = texts
+    packed = bpe.encode(df, ranks, public_tokenizers.PATTERN, digest=True, packed=True)
+    other = spark.createDataFrame([(i, 10 * i) for i in range(len(TEXTS))], "doc_id long, turn long")
+    got = bpe.with_round_trip(packed.join(other, "doc_id", "left"), ranks).collect()
+    want = [(i, reference.encode_ordinary(t or ""), 10 * i if i is not None and i < len(TEXTS) else None) for i, t in rows]
+    assert sorted(((r.doc_id, list(r.ids), r.turn) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.intact and r.n_tokens == len(r.ids) for r in got)
+    assert not any(r.intact for r in bpe.with_round_trip(packed.withColumn("text_sha256", F.lit("0")), ranks).collect())
+    long = spark.createDataFrame([(1, " ".join(TEXTS) * 50)], "doc_id long, text string")
+    row = bpe.encode(long, ranks, public_tokenizers.PATTERN, packed=True).first()
+    assert len(row.ids) < len(reference.encode_ordinary(" ".join(TEXTS) * 50))
+
+
+def test_pipeline_shuffles_packed_ids(spark, sf, ranks):
+    """No shuffle of the last stage carries arrays of ids; before, its join did."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    coded = corpus_pipeline.encode_texts(spark, docs, sf)
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow checked") < plan.index("Join LeftOuter")
+    got = {r.doc_id: r for r in coded.collect()}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for d in docs.collect():
+        assert list(got[d.doc_id].ids) == library.encode_ordinary(d.text or "") and got[d.doc_id].intact
+
+
 def test_listed_pattern(reference):
     """``re`` cuts every character up to U+FFFF as the library does, alone and among others; other patterns are left to ``regex``."""
     odd = bpe.odd_characters()
